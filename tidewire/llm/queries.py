@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, merkle, pii, url_lists
+from . import bpe, decontamination, merkle, pii, resampling, simhash, url_lists
 
 QUERIES = {
     "op2_url_filters": url_lists.op2_url_filters,
+    "op3_quality": resampling.op3_quality,
     "op4_pii": pii.op4_pii,
     "op6_bpe": bpe.op6_bpe,
+    "op8_simhash": simhash.op8_simhash,
+    "op9_decontamination": decontamination.op9_decontamination,
     "op10_fingerprints": merkle.op10_fingerprints,
     "pipeline": corpus_pipeline.run,
 }

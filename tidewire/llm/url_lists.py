@@ -124,7 +124,7 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP2_SQL = r"""
 WITH captures AS (
-  SELECT page_id, url, 1704067200 + (page_id * 7919) % 31536000 AS fetched_at,
+  SELECT page_id, url, 1704067200::BIGINT + (page_id * 7919) % 31536000 AS fetched_at,
          regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^[^@]*@', ''), ':[0-9]*$', ''), '^www\.', '') AS host,
          regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path
   FROM pages),
@@ -138,9 +138,9 @@ chosen AS (
   SELECT key, kind, action, ('0x' || substr(md5(key), 2, 2))::INT AS day, ('0x' || substr(md5(key), 4, 2))::INT AS stay
   FROM named WHERE instr(hits, substr(md5(key), 1, 1)) > 0),
 events_ AS (
-  SELECT key, kind, action, TRUE AS adds, 1704067200 + day * 86400 AS at_s FROM chosen
-  UNION ALL SELECT key, kind, action, FALSE, 1704067200 + (day + stay) * 86400 FROM chosen
-  UNION ALL SELECT key, kind, action, TRUE, 1704067200 + (day + 2 * stay) * 86400 FROM chosen),
+  SELECT key, kind, action, TRUE AS adds, 1704067200::BIGINT + day * 86400 AS at_s FROM chosen
+  UNION ALL SELECT key, kind, action, FALSE, 1704067200::BIGINT + (day + stay) * 86400 FROM chosen
+  UNION ALL SELECT key, kind, action, TRUE, 1704067200::BIGINT + (day + 2 * stay) * 86400 FROM chosen),
 states AS (SELECT key, kind, action, at_s, bool_or(adds) AS active FROM events_ GROUP BY ALL),
 changes AS (SELECT *, coalesce(lag(active) OVER (PARTITION BY key, kind, action ORDER BY at_s), FALSE) AS was FROM states),
 spans AS (
