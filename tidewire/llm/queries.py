@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, decontamination, merkle, pii, resampling, simhash, url_lists
+from . import bpe, decontamination, fm_dedup, merkle, pii, resampling, simhash, suffix_dedup, url_lists
 
 QUERIES = {
     "op2_url_filters": url_lists.op2_url_filters,
     "op3_quality": resampling.op3_quality,
     "op4_pii": pii.op4_pii,
+    "op5_fm_dedup": fm_dedup.op5_fm_dedup,
     "op6_bpe": bpe.op6_bpe,
+    "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
     "op8_simhash": simhash.op8_simhash,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_fingerprints": merkle.op10_fingerprints,
