@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, decontamination, fm_dedup, merkle, pii, resampling, simhash, suffix_dedup, url_lists
+from . import bpe, decontamination, fm_dedup, merkle, pii, resampling, simhash, suffix_dedup, url_lists, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
     "op2_url_filters": url_lists.op2_url_filters,
     "op3_quality": resampling.op3_quality,
     "op4_pii": pii.op4_pii,
@@ -19,6 +20,6 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL = {"op2_url_filters": url_lists.OP2_SQL}
+ORACLE_SQL = {"op1_warc": warc.OP1_SQL, "op2_url_filters": url_lists.OP2_SQL}
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
