@@ -63,7 +63,7 @@ class _Hasher:
         if not words:
             return np.zeros(0, np.int64)
         known = self.known
-        fresh = set(words) - known.keys()
+        fresh = {w for w in words if w not in known}
         if fresh:
             if len(known) + len(fresh) > KNOWN_WORDS:
                 known.clear()
