@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from .plans import knowledge
+
+QUERIES: dict = knowledge.QUERIES
+ORACLE_SQL: dict[str, str] = knowledge.ORACLE_SQL
 FLAGSHIP = "feed_recent"
