@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import knowledge
+from .plans import knowledge, reconciling
 
-QUERIES: dict = knowledge.QUERIES
-ORACLE_SQL: dict[str, str] = knowledge.ORACLE_SQL
+QUERIES: dict = {**knowledge.QUERIES, **reconciling.QUERIES}
+ORACLE_SQL: dict[str, str] = {**knowledge.ORACLE_SQL, **reconciling.ORACLE_SQL}
 FLAGSHIP = "feed_recent"
