@@ -11,10 +11,11 @@ Target counts are shrunk to what the raw model expects (PRIOR), and a bucket's
 ratio counts only where its counts differ from chance by MIN_Z deviations: words
 too rare to judge are neutral.
 
-k is the number of documents whose log weight reaches a cutoff.  The cutoff is
-fitted on at most FIT_ROWS labelled documents, chosen by a hash of their ids:
-the quantile FIT_LOSS of the good ones' log weights.  All counts cover all
-documents.
+k is the number of documents whose log weight reaches a cutoff.  The target
+model and the cutoff are fitted on at most FIT_ROWS of the documents labelled
+good, chosen by a hash of their ids; the cutoff is the quantile FIT_LOSS of
+their log weights.  That list of ids is broadcast, so that no text is shuffled.
+Raw counts, weights and the selection cover all documents.
 
 Defined cases: null text counts as empty, weight 1; without labels everything
 has weight 1 and all are kept; ties of keys go by id; repeated rows have one
@@ -76,11 +77,11 @@ class _Hasher:
 
 
 def models(docs: DataFrame, good: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Counts by bucket of the raw text and of the target text; two arrays of 2 * BUCKETS numbers.
+    """Counts by bucket of the raw text and of the target text; two arrays of 2 * BUCKETS numbers.  good: (doc_id), FIT_ROWS rows at most.
 
     Tasks count before the shuffle; what reaches the driver has the models' fixed size.
     """
-    marked = texts(docs).withColumn("k", id_key()).join(good.select(F.col("doc_id").alias("k"), F.lit(True).alias("target")), "k", "left")
+    marked = texts(docs).withColumn("k", id_key()).join(F.broadcast(good.select(F.col("doc_id").alias("k"), F.lit(True).alias("target"))), "k", "left")
 
     def count(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, raw, target = _Hasher(), np.zeros(2 * BUCKETS, np.int64), np.zeros(2 * BUCKETS, np.int64)
@@ -179,10 +180,9 @@ def kth_largest(scored: DataFrame, k: int) -> tuple[int, int] | None:
     return -value, tied[0]
 
 
-def _cutoff(scored: DataFrame, labels: DataFrame) -> float:
-    """The log weight that all but FIT_LOSS of the good documents in a bounded sample of labels reach."""
-    good = labels.where("good").orderBy(F.xxhash64("doc_id")).limit(FIT_ROWS)
-    found = scored.join(good.select(F.col("doc_id").alias("k")), "k").agg(F.percentile("log_weight", F.lit(FIT_LOSS))).first()[0]
+def _cutoff(scored: DataFrame, good: DataFrame) -> float:
+    """The log weight that all but FIT_LOSS of the good documents reach."""
+    found = scored.join(F.broadcast(good.select(F.col("doc_id").alias("k"))), "k").agg(F.percentile("log_weight", F.lit(FIT_LOSS))).first()[0]
     return -math.inf if found is None else min(float(found), HIGHEST_CUTOFF)
 
 
@@ -190,9 +190,10 @@ def resample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, n_words, log_weight, key, selected for every row of docs."""
     judged = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg((F.min("quality") >= 1).alias("fine"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
     judged = judged.select("doc_id", (F.col("fine") & (F.col("toxic") < 1)).alias("good"))
-    raw, target = models(docs, judged.where("good"))
+    good = cut(judged.where("good").orderBy(F.xxhash64("doc_id")).limit(FIT_ROWS).select("doc_id"))
+    raw, target = models(docs, good)
     scored = cut(weights(docs, log_ratios(raw, target)))
-    cutoff = _cutoff(scored, judged)
+    cutoff = _cutoff(scored, good)
     k = scored.where(F.col("log_weight") >= F.lit(cutoff)).select("k").distinct().count()
     last = kth_largest(scored, k)
     if last is None:
@@ -209,4 +210,4 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def selected_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of documents that the sample takes."""
     out = resample(docs, labels).where("NOT selected").select(id_key().alias("__unselected")).distinct()
-    return docs.join(out, id_key() == F.col("__unselected"), "left_anti")
+    return docs.join(out.hint("merge"), id_key() == F.col("__unselected"), "left_anti")  # the list grows with the data
