@@ -235,4 +235,4 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of documents that no item contaminates."""
     bad = matches(docs, items).where("contaminated").select(F.col("k").alias("__contaminated")).distinct()
-    return docs.join(bad, id_key() == F.col("__contaminated"), "left_anti")
+    return docs.join(bad.hint("merge"), id_key() == F.col("__contaminated"), "left_anti")

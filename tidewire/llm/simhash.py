@@ -85,30 +85,30 @@ def _signed(mask: int) -> int:
 
 
 def tiles(fps: DataFrame, radius: int, near: int = 0) -> DataFrame:
-    """Deal rows (fp, band) to pairs of tiles: (grp, one, two, own, fp).
+    """Deal rows (fp, n, band) to pairs of tiles: (mask, key, one, two, own, fp, n).
 
     Tiles of one group hold fingerprints of one band and population count, TILE
     of them at most about.  A pair of tiles comes up if bands differ by ``near``
     at most and population counts by ``radius``.
     """
     masks = _bands(radius)
-    keyed = fps.select("fp", "band", F.bit_count("fp").cast("int").alias("pop"), F.explode(F.array(*[F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)])).alias("k"))
-    keyed = keyed.select("fp", "band", "pop", F.col("k.mask").alias("mask"), F.col("k.key").alias("key"))
-    sizes = keyed.groupBy("mask", "key", "band", "pop").agg(F.count("*").alias("n"))
+    keyed = fps.select("fp", "n", "band", F.bit_count("fp").cast("int").alias("pop"), F.explode(F.array(*[F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)])).alias("k"))
+    keyed = keyed.select("fp", "n", "band", "pop", F.col("k.mask").alias("mask"), F.col("k.key").alias("key"))
+    sizes = keyed.groupBy("mask", "key", "band", "pop").agg(F.count("*").alias("held"))
     groups = sizes.groupBy("mask", "key").agg(
-        F.sum("n").alias("total"), F.collect_list(F.struct("band", "pop", F.ceil(F.col("n") / TILE).cast("int").alias("parts"))).alias("cells")
+        F.sum("held").alias("total"), F.collect_list(F.struct("band", "pop", F.ceil(F.col("held") / TILE).cast("int").alias("parts"))).alias("cells")
     ).where("total > 1")  # at most 65 counts times the bands of a key
     rows = keyed.join(groups, ["mask", "key"])
     # a small group is one tile
-    small = rows.where(F.col("total") <= TILE).select("mask", "key", F.lit(0).alias("one"), F.lit(0).alias("two"), F.lit(0).alias("own"), "band", "fp")
+    small = rows.where(F.col("total") <= TILE).select("mask", "key", F.lit(0).alias("one"), F.lit(0).alias("two"), F.lit(0).alias("own"), "fp", "n")
     large = rows.where(F.col("total") > TILE)
     number = lambda band, pop, part: (band * 65 + pop) * 100_000 + part
     parts = F.element_at(F.filter("cells", lambda c: (c["band"] == F.col("band")) & (c["pop"] == F.col("pop"))), 1)["parts"]
     own = number(F.col("band").cast("long"), F.col("pop"), F.pmod(F.xxhash64("fp"), parts))
     close = F.filter("cells", lambda c: (F.abs(c["band"] - F.col("band")) <= near) & (F.abs(c["pop"] - F.col("pop")) <= radius))
     others = F.flatten(F.transform(close, lambda c: F.transform(F.sequence(F.lit(0), c["parts"] - 1), lambda i: number(c["band"].cast("long"), c["pop"], i))))
-    large = large.withColumn("own", own).select("mask", "key", "own", "band", "fp", F.explode(others).alias("other"))
-    large = large.select("mask", "key", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "band", "fp")
+    large = large.withColumn("own", own).select("mask", "key", "own", "fp", "n", F.explode(others).alias("other"))
+    large = large.select("mask", "key", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "fp", "n")
     return small.unionByName(large)
 
 
@@ -169,8 +169,6 @@ def links(fps: DataFrame, radius: int = 2, close: int | None = None, ratio: floa
     band = F.floor(F.ln(F.greatest(F.col("n"), F.lit(1))) / F.lit(float(width))).cast("int") if width else F.lit(0)
     sized = fps.select("fp", "n", band.alias("band"))
     dealt = tiles(sized, radius, 1 if width else 0)
-    # n travels with the fingerprint only where it is used
-    dealt = dealt.join(sized.select("fp", "n"), "fp") if width else dealt.withColumn("n", F.lit(0).cast("long"))
     order = ["mask", "key", "one", "two"]
     dealt = dealt.select(*order, "own", "fp", "n").repartition(*[F.col(c) for c in order]).sortWithinPartitions(*order, "own", "fp")
 
@@ -235,7 +233,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, similarity: float)
         sets = [shingle_hashes(t, width, True).tobytes() for t in batch.column("text").to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "grams"])
 
-    wanted = texts(docs).join(ids, "doc_id", "left_semi")
+    wanted = texts(docs).join(ids.hint("merge"), "doc_id", "left_semi")
     grams = map_rows(wanted, shingles, "doc_id long, grams binary").dropDuplicates(["doc_id"])
     both = pairs.join(grams.select(F.col("doc_id").alias("a"), F.col("grams").alias("ga")), "a").join(grams.select(F.col("doc_id").alias("b"), F.col("grams").alias("gb")), "b")
 
@@ -267,5 +265,5 @@ def deduplicated_documents(docs: DataFrame) -> DataFrame:
     component = connected_components(sure.unionByName(checked), cut)
     heads = classes.select("fp", "least").join(component, F.col("least") == F.col("node"), "left").where("component IS NULL OR component = least").select(F.col("least").alias("doc_id"))
     once = own.groupBy("doc_id").count().where("count > 1").isEmpty()
-    kept = (docs if once else docs.dropDuplicates(["doc_id"])).join(heads, "doc_id", "left_semi")
+    kept = (docs if once else docs.dropDuplicates(["doc_id"])).join(heads.hint("merge"), "doc_id", "left_semi")
     return kept.unionByName(docs.where("doc_id IS NULL"))
