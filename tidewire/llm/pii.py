@@ -13,7 +13,6 @@ rows are scanned each for itself; texts are scanned whole, whatever their length
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 import pyarrow as pa
@@ -169,9 +168,6 @@ def op4_pii(spark, sf_dir: str) -> DataFrame:
     return spans.select("doc_id", *counts, F.sha2(F.array_join(F.transform(base, one), ","), 256).alias("base_sha256"), F.array_join(F.transform("spans", one), ",").alias("spans"))
 
 
-def digest(spans: list[tuple[str, int, int]]) -> str:
-    return hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
-
 
 def redacted_documents(docs: DataFrame) -> DataFrame:
     """redact() for the documents table: n_chars, where there is such a column, becomes the new text's length."""
