@@ -4,9 +4,9 @@ A batch of texts is cut at the tokenizer's pattern.  Pieces not met before in
 the task become rows (piece, position, token); a recursive query joins
 neighbouring rows with the merge table and contracts each piece's leftmost pair
 of least rank, until no piece has a pair left.  Decoding turns ids into rows
-(unit, position, id), joins them with the vocabulary and puts the bytes together
-by an ordered aggregation.  Both keep the results of the last pieces they met,
-in tables of bounded size.
+(document, position, id), joins them with the vocabulary and puts the bytes
+together by an ordered aggregation.  The encoder keeps the results of the last
+stretches of text it met, in a table of bounded size.
 
 Defined cases: null text counts as empty and has no tokens; special tokens'
 strings are ordinary text; a lone surrogate becomes U+FFFD; an unknown id fails.
@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,32 +27,60 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import batches, table, texts
 
-#: Entries that each table of known pieces holds before it is emptied.
+#: Entries that the table of known stretches holds before it is emptied.
 KNOWN = 600_000
 #: Pieces that one recursive query takes.
 PIECES = 60_000
+#: Bytes of a piece above which a step contracts all its pairs of the least rank, where that comes to the same.
+LONG_PIECE = 256
 
+#: One contraction a piece and step: its leftmost pair of least rank.  Rows also hold what stands to the right, so that a step takes hash joins only.
 _ENCODE = """
-WITH RECURSIVE state(step, piece, pos, tok) AS (
-  SELECT 0, piece, pos, tok FROM fresh
+WITH RECURSIVE state(step, piece, pos, next_pos, tok, next_tok) AS (
+  SELECT 0, piece, pos, next_pos, tok, next_tok FROM fresh
   UNION ALL
-  (WITH beside AS (
-     SELECT step, piece, pos, tok, lead(tok) OVER w AS next_tok, lag(pos) OVER w AS left_pos
-     FROM state WINDOW w AS (PARTITION BY piece ORDER BY pos)),
-   best AS (
-     SELECT b.piece, min(struct_pack(made := m.made, pos := b.pos)) AS pair
-     FROM beside b JOIN merges m ON m.left_tok = b.tok AND m.right_tok = b.next_tok
-     GROUP BY b.piece)
-   SELECT b.step + 1, b.piece, b.pos, CASE WHEN b.pos = best.pair.pos THEN best.pair.made ELSE b.tok END
-   FROM beside b JOIN best USING (piece)
-   WHERE b.left_pos IS DISTINCT FROM best.pair.pos)
+  (WITH best AS (
+     SELECT s.piece, min((m.made::BIGINT << 32) | s.pos) AS pair
+     FROM state s JOIN merges m ON m.pair = (s.tok::BIGINT << 32) | s.next_tok
+     WHERE s.next_pos >= 0 GROUP BY s.piece),
+   chosen AS (
+     SELECT b.piece, l.pos AS at, (b.pair >> 32)::INT AS made, r.pos AS gone, r.next_pos, r.next_tok
+     FROM best b
+     JOIN state l ON l.piece = b.piece AND l.pos = b.pair & 4294967295
+     JOIN state r ON r.piece = b.piece AND r.pos = l.next_pos)
+   SELECT s.step + 1, s.piece, s.pos,
+          CASE WHEN s.pos = c.at THEN c.next_pos ELSE s.next_pos END,
+          CASE WHEN s.pos = c.at THEN c.made ELSE s.tok END,
+          CASE WHEN s.pos = c.at THEN c.next_tok WHEN s.next_pos = c.at THEN c.made ELSE s.next_tok END
+   FROM state s JOIN chosen c USING (piece)
+   WHERE s.pos <> c.gone)
 ), last AS (SELECT piece, max(step) AS step FROM state GROUP BY piece)
 SELECT piece, list(tok ORDER BY pos) AS ids FROM state JOIN last USING (piece, step) GROUP BY piece ORDER BY piece
 """
 
+#: For long pieces: where no pair with the token made has a lower rank than it, the piece's other pairs of that rank
+#: come next anyway, so one step contracts them all, leftmost first.  Only the last step's rows are kept.
+_ENCODE_LONG = """
+WITH RECURSIVE state(piece, pos, tok, step) USING KEY (piece, pos) AS (
+  SELECT piece, pos, tok, 0 FROM fresh
+  UNION ALL
+  (WITH beside AS (
+     SELECT piece, pos, tok, row_number() OVER w AS place, lead(tok) OVER w AS next_tok
+     FROM (SELECT * FROM recurring.state WHERE tok >= 0) WINDOW w AS (PARTITION BY piece ORDER BY pos)),
+   pairs AS (SELECT b.piece, b.place, m.made, m.calm FROM beside b JOIN merges m ON m.pair = (b.tok::BIGINT << 32) | b.next_tok),
+   least AS (SELECT piece, made, calm, place, row_number() OVER (PARTITION BY piece ORDER BY place) AS nth
+             FROM (SELECT *, min(made) OVER (PARTITION BY piece) AS low FROM pairs) WHERE made = low),
+   runs AS (SELECT piece, made, calm, place, nth, row_number() OVER (PARTITION BY piece, place - nth ORDER BY place) AS in_run FROM least),
+   chosen AS (SELECT piece, made, place FROM runs WHERE (calm AND in_run % 2 = 1) OR nth = 1)
+   SELECT b.piece, b.pos, CASE WHEN c.place = b.place THEN c.made ELSE -1 END, 0
+   FROM beside b JOIN chosen c ON c.piece = b.piece AND (b.place = c.place OR b.place = c.place + 1))
+)
+SELECT piece, list(tok ORDER BY pos) AS ids FROM state WHERE tok >= 0 GROUP BY piece ORDER BY piece
+"""
+
 _DECODE = """
-SELECT unit, string_agg(v.bytes_hex, '' ORDER BY pos) AS bytes_hex
-FROM fresh f JOIN vocabulary v USING (id) GROUP BY unit ORDER BY unit
+SELECT doc, array_to_string(list(v.bytes_hex ORDER BY pos), '') AS bytes_hex
+FROM fresh f JOIN vocabulary v USING (id) GROUP BY doc ORDER BY doc
 """
 
 
@@ -66,95 +95,90 @@ class Codec:
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
-        self.begins = np.zeros(max(ranks.values()) + 1, bool)
-        self.begins[[i for b, i in ranks.items() if b[:1] == b" "]] = True
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         rows = [(ranks[t[:s]], ranks[t[s:]], r) for t, r in ranks.items() for s in range(1, len(t)) if t[:s] in ranks and t[s:] in ranks]
-        self._load("merges", zip(*rows, strict=True), ("left_tok", "right_tok", "made"))
+        lowest: dict[int, int] = {}  # the lowest rank that a token takes part in making
+        for left, right, made in rows:
+            lowest[left] = min(lowest.get(left, made), made)
+            lowest[right] = min(lowest.get(right, made), made)
+        left, right, made = zip(*rows, strict=True)
+        calm = [lowest.get(m, m) >= m for m in made]
+        self._load("merges", ([(a << 32) | b for a, b in zip(left, right, strict=True)], made, calm), ("pair", "made", "calm"))
         self._load("vocabulary", (list(self.bytes_of), [b.hex() for b in self.bytes_of.values()]), ("id", "bytes_hex"))
-        self.known: dict[str, str] = {}
-        self.known_units: dict[bytes, bytes] = {}
+        self.whole = {t: array("i", [r]).tobytes() for t, r in ranks.items()}
+        self.decimal = [str(i) for i in range(max(ranks.values()) + 1)]
+        self.known: dict[str, bytes] = {}
 
     def _load(self, name: str, columns, names: tuple[str, ...]) -> None:
-        loaded = pa.table([pa.array(c, pa.string() if n == "bytes_hex" else pa.int32()) for c, n in zip(columns, names, strict=True)], names=list(names))
+        kinds = {"bytes_hex": pa.string(), "pair": pa.int64(), "calm": pa.bool_()}
+        loaded = pa.table([pa.array(c, kinds.get(n, pa.int32())) for c, n in zip(columns, names, strict=True)], names=list(names))
         self.db.register("loaded", loaded)
         self.db.execute(f"CREATE TABLE {name} AS FROM loaded")
         self.db.unregister("loaded")
 
-    def _merge(self, pieces: list[bytes]) -> list[list[int]]:
-        """The recursive query over distinct pieces that are no tokens themselves."""
-        out = []
-        for start in range(0, len(pieces), PIECES):
-            some = pieces[start : start + PIECES]
-            sizes = np.array([len(p) for p in some])
-            codes = np.frombuffer(b"".join(some), np.uint8)
-            places = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            fresh = pa.table({"piece": np.repeat(np.arange(len(some), dtype=np.int32), sizes), "pos": places.astype(np.int32), "tok": self.single[codes]})
-            self.db.register("fresh", fresh)
-            ids = self.db.execute(_ENCODE).to_arrow_table().column("ids").to_pylist()
-            self.db.unregister("fresh")
-            out += ids
+    def _merge(self, pieces: list[bytes]) -> list[bytes]:
+        """The recursive query over distinct pieces that are no tokens themselves; ids as bytes of int32."""
+        out = [b""] * len(pieces)
+        long = [i for i, p in enumerate(pieces) if len(p) > LONG_PIECE]
+        short = [i for i, p in enumerate(pieces) if len(p) <= LONG_PIECE]
+        for query, numbers, most in ((_ENCODE, short, PIECES), (_ENCODE_LONG, long, 16)):
+            for start in range(0, len(numbers), most):
+                some = numbers[start : start + most]
+                sizes = np.array([len(pieces[i]) for i in some])
+                codes = np.frombuffer(b"".join(pieces[i] for i in some), np.uint8)
+                pos = (np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
+                tok, ends = self.single[codes], np.cumsum(sizes) - 1
+                next_pos, next_tok = pos + 1, np.append(tok[1:], 0).astype(np.int32)
+                next_pos[ends], next_tok[ends] = -1, 0
+                fresh = pa.table({"piece": np.repeat(np.arange(len(some), dtype=np.int32), sizes), "pos": pos, "next_pos": next_pos.astype(np.int32), "tok": tok, "next_tok": next_tok})
+                self.db.register("fresh", fresh)
+                found = self.db.sql(query).to_arrow_table().column("ids").combine_chunks()
+                self.db.unregister("fresh")
+                at = (4 * np.asarray(found.offsets, np.int64)).tolist()
+                raw = np.asarray(found.values, np.int32).tobytes()
+                for i, x, y in zip(some, at[:-1], at[1:], strict=True):
+                    out[i] = raw[x:y]
         return out
 
     def _learn(self, units: list[str]) -> None:
         """Fill the table of known units; a unit is a stretch of text that the pattern cuts alike wherever it stands."""
         cut = [[p.encode("utf-8", "replace") for p in self.pattern.findall(u)] for u in units]
-        fresh = sorted({p for ps in cut for p in ps} - self.ranks.keys())
-        found = dict(zip(fresh, self._merge(fresh), strict=True)) if fresh else {}
+        fresh = list({p for ps in cut for p in ps if p not in self.whole})
+        found = {**self.whole, **dict(zip(fresh, self._merge(fresh), strict=True))} if fresh else self.whole
         for unit, pieces in zip(units, cut, strict=True):
-            ids: list[int] = []
-            for p in pieces:
-                if (whole := self.ranks.get(p)) is not None:
-                    ids.append(whole)
-                else:
-                    ids += found[p]
-            self.known[unit] = np.array(ids, np.int32).tobytes()
+            self.known[unit] = found[pieces[0]] if len(pieces) == 1 else b"".join([found[p] for p in pieces])
 
     def encode(self, texts_: list[str]) -> list[bytes]:
         """The ids of each text, as bytes of int32."""
         cut = [units(t) for t in texts_]
-        fresh = set().union(*cut) - self.known.keys() if cut else set()
+        fresh = {u for us in cut for u in us if u not in self.known}
         if len(self.known) + len(fresh) > KNOWN:
             self.known.clear()
             fresh = set().union(*cut)
         if fresh:
-            self._learn(sorted(fresh))
+            self._learn(list(fresh))
         known = self.known
         return [b"".join(map(known.__getitem__, us)) for us in cut]
 
     def decode(self, rows: list[np.ndarray]) -> list[bytes]:
-        """The bytes of each row of ids; ids are taken in units that begin where a token begins with a space."""
-        cut, fresh = [], set()
-        for ids in rows:
-            at = np.flatnonzero(self.begins[ids]) * 4
-            raw = ids.astype(np.int32).tobytes()
-            ends = [*at.tolist(), len(raw)]
-            cut.append([raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True) if b > a])
-            fresh.update(cut[-1])
-        wanted, fresh = fresh, fresh - self.known_units.keys()
-        if len(self.known_units) + len(fresh) > KNOWN:
-            self.known_units.clear()
-            fresh = wanted
-        ordered = sorted(fresh)
-        for start in range(0, len(ordered), PIECES):
-            some = ordered[start : start + PIECES]
-            sizes = np.array([len(u) // 4 for u in some])
-            ids = np.frombuffer(b"".join(some), np.int32)
-            places = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            self.db.register("fresh", pa.table({"unit": np.repeat(np.arange(len(some), dtype=np.int32), sizes), "pos": places.astype(np.int32), "id": ids}))
-            done = self.db.execute(_DECODE).to_arrow_table().column("bytes_hex").to_pylist()
-            self.db.unregister("fresh")
-            if len(done) != len(some):
-                raise ValueError("an id is not in the vocabulary")
-            self.known_units.update(zip(some, map(bytes.fromhex, done), strict=True))
-        known = self.known_units
-        return [b"".join(map(known.__getitem__, us)) for us in cut]
+        """The bytes of each row of ids."""
+        sizes = np.array([len(r) for r in rows], np.int64)
+        ids = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+        if len(ids) and (int(ids.min()) < 0 or int(ids.max()) >= len(self.decimal)):
+            raise ValueError("an id is not in the vocabulary")
+        pos = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        fresh = pa.table({"doc": np.repeat(np.arange(len(rows), dtype=np.int32), sizes), "pos": pos.astype(np.int32), "id": ids.astype(np.int32)})
+        self.db.register("fresh", fresh)
+        done = self.db.sql(_DECODE).to_arrow_table()
+        self.db.unregister("fresh")
+        out = [b""] * len(rows)
+        for doc, text in zip(done.column("doc").to_pylist(), done.column("bytes_hex").to_pylist(), strict=True):
+            out[doc] = bytes.fromhex(text)
+        return out
 
 
 _ODD_SPACE = re.compile(r" \s|\s ")
 _SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
-#: A unit's longest length; longer ones (no spaces in long texts) are cut by the pattern itself.
-LONG_UNIT = 4096
 
 
 def units(text: str) -> list[str]:
@@ -222,9 +246,9 @@ def decode(tokens: DataFrame, path: str | None = None, pattern: str | None = Non
     return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 
 
-def _digests(batch: pa.RecordBatch) -> pa.RecordBatch:
+def _digests(batch: pa.RecordBatch, coder: Codec) -> pa.RecordBatch:
     rows = [np.asarray(x.values, np.int32) for x in batch.column("ids")]
-    ids_sha = [hashlib.sha256(" ".join(map(str, r.tolist())).encode()).hexdigest() for r in rows]
+    ids_sha = [hashlib.sha256(" ".join(map(coder.decimal.__getitem__, r.tolist())).encode()).hexdigest() for r in rows]
     text_sha = [hashlib.sha256(b).hexdigest() for b in batch.column("decoded").to_pylist()]
     return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(r) for r in rows], pa.int64()), pa.array(ids_sha), pa.array(text_sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
@@ -236,7 +260,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(iterator, 4 << 20):
             coder = codec(path, pattern)
-            yield _digests(decoded(encoded(batch, coder), coder))
+            yield _digests(decoded(encoded(batch, coder), coder), coder)
 
     return texts(table(spark, sf_dir, "documents")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
@@ -249,7 +273,7 @@ def tokenised_documents(docs: DataFrame, path: str | None = None, pattern: str |
         for batch in batches(iterator, 4 << 20):
             coder = codec(path, pattern)
             ids = encoded(batch, coder)
-            told = _digests(decoded(ids, coder))
+            told = _digests(decoded(ids, coder), coder)
             yield pa.RecordBatch.from_arrays([*told.columns[:2], ids.column("ids"), *told.columns[2:]], ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
 
     return texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
