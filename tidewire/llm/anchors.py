@@ -3,15 +3,19 @@
 A document is a row of symbols (bytes or words).  Each window of ``window``
 symbols has an anchor: the gram of least hash in it.  Neighbouring windows with
 one anchor make a segment.  Equal windows have equal anchors, so a window can
-only repeat where its segment's anchor repeats: anchors are counted over all
-documents, and segments with a repeated anchor are brought together by it.
-
-Three rules keep every group small, whatever repeats:
-
-* a batch of documents tells an anchor it holds several times in one row;
-* documents equal to one with a smaller id are settled by that alone;
-* segments of anchors that occur HOT times or more are cut into single windows,
-  which meet by their own hash; of equal ones in a batch, the first goes on.
+only repeat where its segment's anchor repeats.
+
+1. Every document tells its segments: hash of the anchor, hash of the segment's
+   symbols, where it is.  Equal segments need no further look: all but the first
+   repeat it.
+2. Where one anchor has segments of different symbols, the first of each is
+   fetched from its document.
+3. Fetched segments of an anchor come together in a shard, whose index finds the
+   windows that they share.
+
+Two rules keep every group small, whatever repeats: of equal segments in a batch
+the first goes on and the rest are settled; segments of an anchor that has HOT
+different ones or more are cut into single windows, which meet by their own hash.
 """
 
 from __future__ import annotations
@@ -22,13 +26,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, id_key
 
-#: Rows that tell of an anchor from which on its segments are cut into windows.
-HOT = 512
 #: Symbols of a document taken at a time; a stretch overlaps the next by a window.
 STRETCH = 1 << 22
 _POSITION = np.uint64((1 << 23) - 1)
@@ -51,16 +53,20 @@ class Unit:
     read: Callable[[str], tuple[np.ndarray, object]]
     #: symbols -> hashes of all grams
     grams: Callable[[np.ndarray], np.ndarray]
+    #: symbols -> a mixed uint64 of each
+    mix: Callable[[np.ndarray], np.ndarray]
     #: (what pack needs, from, to) -> bytes of those symbols
     pack: Callable[[object, int, int], bytes]
     #: symbols in packed bytes
     count: Callable[[bytes], int]
     #: whether a repeat within one document counts
     within: bool
+    #: different segments of an anchor from which on they are cut into windows
+    hot: int = 512
 
 
 def segments(hashes: np.ndarray, n: int, unit: Unit) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, first window, end of windows) of each segment of a document of n symbols."""
+    """(48 bits of the anchor's hash, first window, end of windows) of each segment of a document of n symbols."""
     if n < unit.window:
         none = np.zeros(0, np.int64)
         return none.astype(np.uint64), none, none
@@ -78,102 +84,208 @@ def segments(hashes: np.ndarray, n: int, unit: Unit) -> tuple[np.ndarray, np.nda
         at = (least & _POSITION).astype(np.int64)
         cuts = np.flatnonzero(at[1:] != at[:-1]) + 1
         first = np.concatenate([[0], cuts])
-        found.append((part[at[first]], first + start, np.append(cuts, len(at)) + start))
+        found.append((part[at[first]] >> np.uint64(16), first + start, np.append(cuts, len(at)) + start))
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
-def anchor_rows(docs: DataFrame, unit: Unit) -> DataFrame:
-    """(h, n, doc, more): an anchor in a document, or, where a batch holds it in several places, in all those of the batch."""
+class _Powers:
+    """Powers of an odd number and of its inverse, modulo 2 ** 64."""
+
+    factor, inverse = np.uint64(0xD6E8FEB86659FD93), np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n + 1:
+            size = max(n + 1, 1 << 15)
+            self.up = np.cumprod(np.append(np.uint64(1), np.full(size, self.factor)), dtype=np.uint64)
+            self.down = np.cumprod(np.append(np.uint64(1), np.full(size, self.inverse)), dtype=np.uint64)
+        return self.up, self.down
+
+
+_powers = _Powers()
+
+
+def stretch_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """40 bits for each stretch of symbols, given a mixed uint64 of each symbol; with the anchor they make 88."""
+    up, down = _powers.get(len(values))
+    total = np.append(np.uint64(0), np.cumsum(values * up[: len(values)], dtype=np.uint64))
+    return mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)) >> np.uint64(24)
+
+
+def _five(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def _of_five(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // 5, 8), np.uint8)
+    wide[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    return wide.view(np.uint64).reshape(-1)
+
+
+def _narrow(x: np.ndarray) -> bytes:
+    """Four bytes a number if that will do, else eight."""
+    return x.astype(np.uint32 if not len(x) or (int(x.max()) < 1 << 32 and int(x.min()) >= 0) else np.int64).tobytes()
+
+
+def _wide(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, np.int64) if len(raw) == 8 * n else np.frombuffer(raw, np.uint32).astype(np.int64)
+
+
+@dataclass
+class _Places:
+    """Segments: anchor, symbols' hash, document, mark, first window, number of windows."""
+
+    h: np.ndarray
+    c: np.ndarray
+    doc: np.ndarray
+    mark: np.ndarray
+    start: np.ndarray
+    n: np.ndarray
+
+    def take(self, at: np.ndarray) -> _Places:
+        return _Places(*(getattr(self, f)[at] for f in ("h", "c", "doc", "mark", "start", "n")))
+
+    def settle(self, within: bool) -> tuple[_Places, _Places]:
+        """(those that stay, those that repeat a segment before them) in the order of anchor and symbols."""
+        order = np.lexsort((self.start, self.doc, self.c, self.h))
+        own = self.take(order)
+        first = np.append(True, (own.h[1:] != own.h[:-1]) | (own.c[1:] != own.c[:-1]))
+        lead = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
+        stays = own.doc == own.doc[lead]
+        if within:
+            stays &= own.start == own.start[lead]
+        return own.take(np.flatnonzero(stays)), own.take(np.flatnonzero(~stays))
+
+
+_PLACES = "kind int, bucket int, h binary, c binary, doc binary, mark binary, start binary, n binary"
+
+
+def _place_row(kind: int, bucket: int, p: _Places) -> tuple:
+    return kind, bucket, _five(p.h >> np.uint64(8)) if kind == 0 else None, _five(p.c) if kind == 0 else None, _narrow(p.doc), p.mark.tobytes() if p.mark.any() else None, _narrow(p.start), p.n.astype(np.uint8).tobytes()
+
+
+def _places_of(row: tuple) -> _Places:
+    _, bucket, h, c, doc, mark, start, n = row  # the bucket has the low bits of the anchor, 8 at least
+    count = len(n)
+    none = np.zeros(count, np.uint64)
+    return _Places((_of_five(h) << np.uint64(8)) | np.uint64(bucket & 255) if h else none, _of_five(c) if c else none, _wide(doc, count), np.frombuffer(mark, np.int64) if mark else np.zeros(count, np.int64), _wide(start, count), np.frombuffer(n, np.uint8).astype(np.int64))
+
+
+def segment_places(docs: DataFrame, unit: Unit, bits: int) -> DataFrame:
+    """Segments by the low ``bits`` of their anchor, packed, a row a batch and bucket.
+
+    Kind 0: those that stay when a batch is settled.  Kind 1: those that repeat one of the batch; any bucket will do.
+    """
 
     def scan(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(iterator):
-            all_h, all_doc = [], []
-            for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        for number, batch in enumerate(batches(iterator)):
+            parts = []
+            for doc, mark, text in zip(*(batch.column(c).to_pylist() for c in ("doc", "mark", "text")), strict=True):
                 symbols, _ = unit.read(text)
-                h = segments(unit.grams(symbols), len(symbols), unit)[0]
-                all_h.append(h if unit.within else np.unique(h))
-                all_doc.append(np.full(len(all_h[-1]), doc, np.int64))
-            h, doc = np.concatenate(all_h), np.concatenate(all_doc)
-            order = np.lexsort((doc, h))
-            h, doc = h[order], doc[order]
-            if not unit.within:  # rows that repeat an id are one document
-                keep = np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])) if len(h) else np.zeros(0, bool)
-                h, doc = h[keep], doc[keep]
-            first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
-            n = np.diff(np.append(first, len(h)))
-            more = [None] * len(first)
-            for i in np.flatnonzero(n > 1).tolist():
-                more[i] = np.unique(doc[first[i] : first[i] + n[i]]).tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int32)), pa.array(doc[first]), pa.array(more, pa.binary())], ["h", "n", "doc", "more"])
-
-    return docs.select("doc", "text").mapInArrow(scan, "h long, n int, doc long, more binary")
-
-
-def repeated_anchors(rows: DataFrame, unit: Unit) -> DataFrame:
-    """(doc, h, hot) of every anchor that occurs more than once."""
+                h, a, b = segments(unit.grams(symbols), len(symbols), unit)
+                if len(h):
+                    parts.append((h, stretch_hashes(unit.mix(symbols), a, b + unit.window - 1), np.full(len(h), doc, np.int64), np.full(len(h), mark, np.int64), a.astype(np.int64), (b - a).astype(np.int64)))
+            if not parts:
+                continue
+            stay, repeat = _Places(*(np.concatenate(c) for c in zip(*parts, strict=True))).settle(unit.within)
+            bucket = (stay.h & np.uint64((1 << bits) - 1)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            bucket = bucket[order]
+            cuts = [*np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist(), len(bucket)]
+            rows = [_place_row(0, int(bucket[x]), stay.take(order[x:y])) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+            if len(repeat.doc):
+                rows.append(_place_row(1, hash((int(repeat.h[0]), number)) & ((1 << bits) - 1), repeat))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), *[pa.binary()] * 6), strict=True)], [f.split()[0] for f in _PLACES.split(", ")])
+
+    return docs.select("doc", "mark", "text").mapInArrow(scan, _PLACES)
+
+
+#: A segment to fetch.
+_ASK = np.dtype([("start", "<u4"), ("n", "u1"), ("hot", "u1"), ("h", "<i8")])
+
+
+class _Told:
+    """Arrays by (document, mark), given out as rows of packed bytes."""
+
+    def __init__(self) -> None:
+        self.spans: list[np.ndarray] = []
+        self.asks: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, p: _Places, window: int) -> None:
+        self.spans.append(np.stack([p.doc, p.mark, p.start, p.start + p.n + window - 1], 1))
+        self.size += len(p.doc)
+
+    def ask(self, p: _Places, hot: np.ndarray) -> None:
+        self.asks.append(np.stack([p.doc, p.mark, p.start, p.n, p.h.view(np.int64), hot.astype(np.int64)], 1))
+        self.size += len(p.doc)
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        for what, parts in (("spans", self.spans), ("asks", self.asks)):
+            if not parts:
+                continue
+            data = np.concatenate(parts)
+            data = data[np.lexsort((data[:, 2], data[:, 1], data[:, 0]))]
+            cuts = [*np.flatnonzero(np.append(True, (data[1:, :2] != data[:-1, :2]).any(1))).tolist(), len(data)]
+            if what == "asks":
+                rest = np.empty(len(data), _ASK)
+                rest["start"], rest["n"], rest["h"], rest["hot"] = data[:, 2], data[:, 3], data[:, 4], data[:, 5]
+            else:
+                rest = np.ascontiguousarray(data[:, 2:])
+            packed = [rest[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+            none = [None] * len(packed)
+            yield pa.RecordBatch.from_arrays([pa.array(data[cuts[:-1], 0]), pa.array(data[cuts[:-1], 1]), pa.array(packed if what == "spans" else none, pa.binary()), pa.array(packed if what == "asks" else none, pa.binary())], ["doc", "mark", "spans", "asks"])
+        self.spans, self.asks, self.size = [], [], 0
+
+
+def settled_places(rows: DataFrame, unit: Unit) -> DataFrame:
+    """(doc, mark, spans, asks): packed stretches that repeat a segment before them, or packed segments to fetch.
+
+    A task takes bucket after bucket and holds one.
+    """
 
     def scan(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        told, number, held = _Told(), None, []
+
+        def settle() -> None:
+            if not held:
+                return
+            all_ = _Places(*(np.concatenate([getattr(p, f) for p in held]) for f in ("h", "c", "doc", "mark", "start", "n")))
+            stay, repeat = all_.settle(unit.within)
+            if len(repeat.doc):
+                told.add(repeat, unit.window)
+            new_h = np.append(True, stay.h[1:] != stay.h[:-1])
+            new_c = new_h | np.append(True, stay.c[1:] != stay.c[:-1])
+            first = np.flatnonzero(new_h)
+            several = np.repeat(np.add.reduceat(new_c.astype(np.int64), first), np.diff(np.append(first, len(new_h))))
+            at = np.flatnonzero(several > 1)
+            if len(at):
+                told.ask(stay.take(at), several[at] >= unit.hot)
+
         for batch in iterator:
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table]).combine_chunks()
-            out, held = _repeats(held, False)
-            if out is not None:
-                yield out
-        if held is not None and held.num_rows:
-            out, _ = _repeats(held, True)
-            if out is not None:
-                yield out
-
-    return rows.repartition("h").sortWithinPartitions("h").mapInArrow(scan, "doc long, h long, hot boolean")
-
-
-def _repeats(table: pa.Table, last: bool) -> tuple[pa.RecordBatch | None, pa.Table]:
-    """Repeated anchors of all complete groups, and the rows of the last group if more may come."""
-    h = table.column("h").to_numpy()
-    first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-    end = len(h) if last else int(first[-1])
-    rest = table.slice(end)
-    if not end:
-        return None, rest
-    first = first[first < end]
-    n = table.column("n").to_numpy()[:end]
-    doc = table.column("doc").to_numpy()[:end]
-    size = np.diff(np.append(first, end))
-    # one batch may tell a document twice (repeated rows), so a group of one document in two rows still counts where repeats within one do
-    total = np.add.reduceat(n, first)
-    group = np.repeat(np.arange(len(first)), size)
-    flagged, hot = (total > 1)[group], (size >= HOT)[group]
-    more = table.column("more").slice(0, end)
-    has_more = more.is_valid().to_numpy()
-    plain = np.flatnonzero(flagged & ~has_more)
-    docs, hs, hots = [doc[plain]], [h[:end][plain]], [hot[plain]]
-    for i in np.flatnonzero(flagged & has_more).tolist():
-        some = np.frombuffer(more[i].as_py(), np.int64)
-        docs.append(some)
-        hs.append(np.full(len(some), h[i]))
-        hots.append(np.full(len(some), hot[i]))
-    docs, hs, hots = np.concatenate(docs), np.concatenate(hs), np.concatenate(hots)
-    if not len(docs):
-        return None, rest
-    return pa.RecordBatch.from_arrays([pa.array(docs), pa.array(hs), pa.array(hots)], ["doc", "h", "hot"]), rest
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[0] == 1:
+                    told.add(_places_of(row), unit.window)
+                else:
+                    if row[1] != number:
+                        settle()
+                        number, held = row[1], []
+                    held.append(_places_of(row))
+                if told.size > 1_000_000:
+                    yield from told.rows()
+        settle()
+        yield from told.rows()
 
+    return rows.repartition("bucket").sortWithinPartitions("kind", "bucket").mapInArrow(scan, "doc long, mark long, spans binary, asks binary")
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, text) of every row: doc is never null.
 
-    Rows may repeat an id with different texts: what is found in a row is told for (doc, mark), where mark is a hash of its text.
-    """
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, text) of every row: doc is never null."""
     return docs.select(id_key(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
-def copies(docs: DataFrame) -> DataFrame:
-    """(doc, mark) of documents whose text a document with a smaller id has, too."""
-    marks = docs.select("doc", F.md5("text").alias("md5"), F.xxhash64("text").alias("mark"))
-    firsts = marks.groupBy("md5", "mark").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("md5", "mark", "first")
-    return marks.join(firsts, ["md5", "mark"]).where("doc > first").select("doc", "mark").distinct()
-
-
 def _spans(starts: np.ndarray, window: int) -> np.ndarray:
     """Stretches (from, to) covered by windows at sorted starts."""
     first = np.flatnonzero(np.append(True, starts[1:] > starts[:-1] + window))
@@ -181,38 +293,39 @@ def _spans(starts: np.ndarray, window: int) -> np.ndarray:
     return np.stack([starts[first], starts[last] + window], 1)
 
 
-def segment_rows(flagged: DataFrame, unit: Unit) -> DataFrame:
-    """Rows (key, content, doc, mark, starts) of segments with repeated anchors; or content null, and spans already known to be repeats.
+def segment_rows(asked: DataFrame, unit: Unit) -> DataFrame:
+    """Rows (key, content, doc, mark, starts) of the segments asked for; or content null, and stretches already known to repeat.
 
-    flagged: doc, text, hs (its repeated anchors), hots (those that are hot).
-    starts: where the content begins in doc; a later row of one batch with equal
-    content is settled here, if its place is later and (unless repeats within a
-    document count) in another document.
+    asked: doc, mark, text, spans and asks (arrays of packed bytes).  starts: where the content begins in doc.  Of
+    equal windows of hot anchors in a batch the first goes on.
     """
 
     def scan(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(iterator, 8 << 20):
+        for batch in batches(iterator, 32 << 20):
             found: dict[bytes, tuple[int, list[tuple[int, int, int]]]] = {}
-            for doc, text, hs, hots in sorted(zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "hs", "hots")), strict=True), key=lambda r: r[0]):
-                symbols, source = unit.read(text)
-                mark = mark_of(text)
-                h, a, b = segments(unit.grams(symbols), len(symbols), unit)
-                signed = h.view(np.int64)
-                for i in np.flatnonzero(np.isin(signed, np.array(hs, np.int64))).tolist():
-                    content = unit.pack(source, int(a[i]), int(b[i]) + unit.window - 1)
-                    found.setdefault(content, (int(signed[i]), []))[1].append((doc, int(a[i]), mark))
-                for i in np.flatnonzero(np.isin(signed, np.array(hots, np.int64))).tolist():
-                    for w in range(int(a[i]), int(b[i])):
-                        content = unit.pack(source, w, w + unit.window)
-                        key = hash_bytes(content)
-                        found.setdefault(content, (key, []))[1].append((doc, w, mark))
-            keys, contents, docs, marks, starts = [], [], [], [], []
             known: dict[tuple[int, int], list[tuple[int, int]]] = {}
+            keys, contents, docs, marks, starts = [], [], [], [], []
+            for doc, mark, text, spans, asks in zip(*(batch.column(c).to_pylist() for c in ("doc", "mark", "text", "spans", "asks")), strict=True):
+                if spans:
+                    known.setdefault((doc, mark), []).extend(map(tuple, np.frombuffer(b"".join(spans), np.int64).reshape(-1, 2).tolist()))
+                if not asks:
+                    continue
+                _, source = unit.read(text)
+                for a, n, hot, h in np.frombuffer(b"".join(asks), _ASK).tolist():
+                    if hot:
+                        for w in range(a, a + n):
+                            content = unit.pack(source, w, w + unit.window)
+                            found.setdefault(content, (hash_bytes(content), []))[1].append((doc, w, mark))
+                    else:
+                        keys.append(h)
+                        contents.append(unit.pack(source, a, a + n + unit.window - 1))
+                        docs.append(doc)
+                        marks.append(mark)
+                        starts.append(np.array([a], np.int64).tobytes())
             for content, (key, places) in found.items():
                 places.sort()
                 lead = places[0]
                 stay = [p for p in places if p[:2] == lead[:2]] if unit.within else [p for p in places if p[0] == lead[0]]
-                length = unit.count(content)
                 for mark in sorted({p[2] for p in stay}):
                     keys.append(key)
                     contents.append(content)
@@ -220,17 +333,17 @@ def segment_rows(flagged: DataFrame, unit: Unit) -> DataFrame:
                     marks.append(mark)
                     starts.append(np.array([p[1] for p in stay if p[2] == mark], np.int64).tobytes())
                 for doc, at, mark in places[len(stay) :]:
-                    known.setdefault((doc, mark), []).append((at, at + length))
+                    known.setdefault((doc, mark), []).append((at, at + unit.window))
             for (doc, mark), spans in known.items():
-                keys.append(mark)
+                keys.append(doc)
                 contents.append(None)
                 docs.append(doc)
                 marks.append(mark)
-                starts.append(np.array(sorted(spans), np.int64).tobytes())
+                starts.append(np.array(spans, np.int64).tobytes())
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(contents, pa.binary()), pa.array(docs, pa.int64()), pa.array(marks, pa.int64()), pa.array(starts, pa.binary())], ["key", "content", "doc", "mark", "starts"])
 
-    return flagged.mapInArrow(scan, "key long, content binary, doc long, mark long, starts binary")
+    return asked.mapInArrow(scan, "key long, content binary, doc long, mark long, starts binary")
 
 
 def hash_bytes(content: bytes) -> int:
@@ -238,11 +351,6 @@ def hash_bytes(content: bytes) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
-def mark_of(text: str) -> int:
-    """What Spark's xxhash64 gives for the text."""
-    return hash_bytes(text.encode("utf-8", "surrogatepass"))
-
-
 #: index(symbols, valid, ranks, window) -> for each valid window start, the least rank of an equal window.
 Index = Callable[[np.ndarray, np.ndarray, np.ndarray, int], np.ndarray]
 
@@ -348,22 +456,25 @@ def repeated_spans(rows: DataFrame, unit: Unit, symbols_of: Callable[[list[bytes
 
 
 def with_repeats(docs: DataFrame, unit: Unit, symbols_of: Callable[[list[bytes]], list[np.ndarray]], index: Index, shard_symbols: int) -> DataFrame:
-    """doc, text, copy (it equals a document with a smaller id), spans (array of packed stretches) for every row of keyed(docs)."""
-    marked = docs.repartition("doc").withColumn("mark", F.xxhash64("text"))  # one shuffle of the texts for both joins
-    copied = copies(docs).groupBy("doc").agg(F.collect_set("mark").alias("copied"))
-    is_copy = F.coalesce(F.array_contains("copied", F.col("mark")), F.lit(False))
-    by_doc = repeated_anchors(anchor_rows(docs, unit), unit).groupBy("doc").agg(F.collect_list(F.when(~F.col("hot"), F.col("h"))).alias("hs"), F.collect_list(F.when(F.col("hot"), F.col("h"))).alias("hots"))
-    flagged = marked.join(by_doc, "doc").join(copied, "doc", "left").where(~is_copy).select("doc", "text", "hs", "hots")
-    found = repeated_spans(segment_rows(flagged, unit), unit, symbols_of, index, shard_symbols)
+    """doc, text, spans (array of packed stretches that repeat earlier ones) for every row of keyed(docs)."""
+    sizes = docs.groupBy("doc").count().agg(F.sum("count"), F.max("count")).first()
+    bits = min(20, max(8, (int(sizes[0] or 0) // 64).bit_length()))
+    # rows may repeat an id with different texts: what is found in one is then told for the id and a hash of its text
+    mark = F.xxhash64("text") if (sizes[1] or 0) > 1 else F.lit(0).cast("long")
+    own = docs.withColumn("mark", mark)
+    dealt = docs.repartition("doc").withColumn("mark", mark)  # one shuffle of the texts for both joins
+    by_doc = settled_places(segment_places(own, unit, bits), unit).groupBy("doc").agg(F.collect_list(F.struct("mark", "spans", "asks")).alias("told"))
+    of_mark = F.filter("told", lambda t: t["mark"] == F.col("mark"))
+    part = lambda name: F.array_compact(F.transform(of_mark, lambda t: t[name])).alias(name)
+    asked = dealt.join(by_doc, "doc").select("doc", "mark", "text", part("spans"), part("asks"))
+    found = repeated_spans(segment_rows(asked, unit), unit, symbols_of, index, shard_symbols)
     told = found.groupBy("doc").agg(F.collect_list(F.struct("mark", "spans")).alias("told"))
-    own = F.transform(F.filter("told", lambda t: t["mark"] == F.col("mark")), lambda t: t["spans"])
-    return marked.join(told, "doc", "left").join(copied, "doc", "left").select("doc", "text", is_copy.alias("copy"), own.alias("spans"))
+    spans = F.transform(of_mark, lambda t: t["spans"]).alias("spans")
+    return dealt.join(told, "doc", "left").select("doc", "text", spans)
 
 
-def merged(spans: list[bytes] | None, n: int, window: int, copy: bool) -> np.ndarray:
-    """Maximal stretches (from, to) out of packed ones, sorted; the whole document if it is a copy and has a window."""
-    if copy:
-        return np.array([[0, n]], np.int64) if n >= window else np.zeros((0, 2), np.int64)
+def merged(spans: list[bytes] | None) -> np.ndarray:
+    """Maximal stretches (from, to) out of packed ones, sorted."""
     if not spans:
         return np.zeros((0, 2), np.int64)
     all_ = np.concatenate([np.frombuffer(s, np.int64) for s in spans]).reshape(-1, 2)

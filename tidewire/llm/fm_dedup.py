@@ -15,8 +15,6 @@ equal windows at one place neither is the earlier; a null id comes last.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -29,7 +27,7 @@ from .induced import suffix_array
 
 WINDOW = 20
 GRAM = 5
-SHARD_WORDS = 400_000
+SHARD_WORDS = 200_000
 #: Words whose hashes a worker keeps.
 KNOWN_WORDS = 400_000
 _known: dict[bytes, int] = {}
@@ -42,7 +40,7 @@ def words(text: str) -> list[bytes]:
 
 def _read(text: str) -> tuple[np.ndarray, list[bytes]]:
     found = words(text)
-    fresh = set(found) - _known.keys()
+    fresh = {w for w in found if w not in _known}
     if len(_known) + len(fresh) > KNOWN_WORDS:
         _known.clear()
         fresh = set(found)
@@ -69,7 +67,7 @@ def _count(content: bytes) -> int:
     return content.count(b" ") + 1
 
 
-WORDS = Unit(WINDOW, GRAM, _read, _grams, _pack, _count, True)
+WORDS = Unit(WINDOW, GRAM, _read, _grams, mixed, _pack, _count, True)
 
 
 def _symbols(contents: list[bytes]) -> list[np.ndarray]:
@@ -182,10 +180,10 @@ def least_ranks(symbols: np.ndarray, valid: np.ndarray, ranks: np.ndarray, windo
 
 def _results(batch: pa.RecordBatch) -> pa.RecordBatch:
     rows = []
-    for doc, text, copy, spans in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "copy", "spans")), strict=True):
+    for doc, text, spans in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "spans")), strict=True):
         found = words(text)
         kept, at = [], 0
-        for a, b in merged(spans, len(found), WINDOW, copy).tolist():
+        for a, b in merged(spans).tolist():
             kept += found[at:a]
             at = b
         kept += found[at:]
@@ -194,16 +192,12 @@ def _results(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept_, pa.binary())], ["doc_id", "n_words", "n_removed", "kept"])
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: Unit = WORDS) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the remaining words, joined by a space) of every row."""
-    found = with_repeats(keyed(docs, id_col, text_col), WORDS, _symbols, least_ranks, SHARD_WORDS)
+    found = with_repeats(keyed(docs, id_col, text_col), unit, _symbols, least_ranks, SHARD_WORDS)
     return map_rows(found, _results, "doc_id long, n_words long, n_removed long, kept binary", 8 << 20)
 
 
 def op5_fm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = deduplicate(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
-
-
-def digest(kept: bytes) -> str:
-    return hashlib.sha256(kept).hexdigest()

@@ -16,8 +16,6 @@ comes after all others; texts shorter than 50 bytes stay.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +26,9 @@ from .common import LAST_ID, map_rows, table
 from .induced import suffix_array
 
 WINDOW = 50
-SHARD_BYTES = 2_000_000
+#: Bytes of an anchor: long enough that prose does not repeat them by chance.
+GRAM = 20
+SHARD_BYTES = 1_000_000
 
 
 def _read(text: str) -> tuple[np.ndarray, bytes]:
@@ -45,14 +45,22 @@ def _words8(data: np.ndarray) -> np.ndarray:
 
 
 def _grams(data: np.ndarray) -> np.ndarray:
-    return mixed(_words8(data)) if len(data) >= 8 else np.zeros(0, np.uint64)
+    n = len(data) - GRAM + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    packed, out = _words8(data), np.zeros(n, np.uint64)
+    for j in (*range(0, GRAM - 7, 8), GRAM - 8):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + packed[j : j + n]
+    return mixed(out)
 
 
 def _count(content: bytes) -> int:
     return len(content)
 
 
-BYTES = Unit(WINDOW, 8, _read, _grams, lambda data, a, b: data[a:b], _count, False)
+_MIX = mixed(np.arange(1, 257, dtype=np.uint64))
+
+BYTES = Unit(WINDOW, GRAM, _read, _grams, lambda data: _MIX[data], lambda data, a, b: data[a:b], _count, False)
 
 
 def _symbols(contents: list[bytes]) -> list[np.ndarray]:
@@ -81,9 +89,9 @@ def least_ranks(symbols: np.ndarray, valid: np.ndarray, ranks: np.ndarray, windo
 
 def _results(batch: pa.RecordBatch) -> pa.RecordBatch:
     rows = []
-    for doc, text, copy, spans in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "copy", "spans")), strict=True):
+    for doc, text, spans in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "spans")), strict=True):
         data = text.encode("utf-8", "surrogatepass")
-        gone = merged(spans, len(data), WINDOW, copy)
+        gone = merged(spans)
         kept, at = [], 0
         for a, b in gone.tolist():
             kept.append(data[at:a])
@@ -95,16 +103,12 @@ def _results(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans_, pa.int64()), pa.array(kept_, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: Unit = BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) of every row."""
-    found = with_repeats(keyed(docs, id_col, text_col), BYTES, _symbols, least_ranks, SHARD_BYTES)
+    found = with_repeats(keyed(docs, id_col, text_col), unit, _symbols, least_ranks, SHARD_BYTES)
     return map_rows(found, _results, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary", 8 << 20)
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = deduplicate(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
-
-
-def digest(kept: bytes) -> str:
-    return hashlib.sha256(kept).hexdigest()
