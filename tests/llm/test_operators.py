@@ -142,6 +142,25 @@ def test_near_copies_stage(spark):
     assert sorted(str(x.doc_id) for x in simhash.deduplicated_documents(df).collect()) == sorted(map(str, [*range(8), 22, 30, None]))
 
 
+def test_near_copies_stage_at_the_bound(spark):
+    r = random.Random(17)
+    word = lambda: "".join(r.choice("abcdefghijkl") for _ in range(6))
+    docs = []
+    for i in range(600):  # n shingles, of which each of e edits takes 5: Jaccard 0.80 to 0.85
+        n, e = ((45, 1), (90, 2), (225, 5), (60, 1), (300, 6), (615, 10))[i % 6]
+        words = [word() for _ in range(n + 4)]
+        at = {(n // e) * j + n // (2 * e) + 2 for j in range(e)}
+        edited = [word() if j in at else w for j, w in enumerate(words)]
+        one, two = (set(simhash.shingle_hashes(" ".join(w), 5, True).tolist()) for w in (words, edited))
+        assert 0.8 <= len(one & two) / len(one | two) <= 0.851
+        docs += [(i, " ".join(words)), (1000 + i, " ".join(edited))]
+    base = [word() for _ in range(100)]
+    docs += [(5000 + i, " ".join(base[:i] + [word()] + base[i + 1 :])) for i in range(100)]  # a large group
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    kept = sorted(x.doc_id for x in simhash.deduplicated_documents(df).collect())
+    assert kept == [*range(600), 5000]
+
+
 def test_decontamination(spark):
     r = random.Random(8)
     words = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(400)]

@@ -9,6 +9,9 @@ For small radii the tiles are first divided by bit blocks: of 4 blocks of 16
 bits, 2 at least stay equal when 2 bits change, so fingerprints within the
 radius share one of 6 pairs of blocks.  The comparison within a tile is exact.
 
+The pipeline's stage (deduplicated_documents) takes 256 bits a text, dealt to
+tiles by size, and holds what lies within its radii against the shingles.
+
 Defined cases: null text counts as empty; a text without words has fingerprint
 zero and is linked like any other; repeated rows share their fingerprint and so
 their class; rows with a null id are fingerprinted and get the class of their
@@ -222,7 +225,115 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The pipeline's stage: five words, similarity 0.8 or more.
-STAGE_WIDTH, STAGE_SIMILARITY, STAGE_RADIUS, STAGE_CLOSE = 5, 0.8, 12, 1
+STAGE_WIDTH, STAGE_SIMILARITY = 5, 0.8
+#: Bits in which the first word and all words of candidates' prints differ at most.  At Jaccard 0.8 a bit differs with
+#: probability 0.15 (0.19 for 4 against 5 shingles): under one pair in a thousand lies beyond either bound.
+STAGE_RADIUS, STAGE_WIDE_RADIUS = 22, 68
+#: Prints in a tile of the stage, at most about, and rows of it compared at once.
+STAGE_TILE, STAGE_BLOCK = 16_384, 128
+#: The words of a print: the fingerprint, and those of the same hashes mixed anew.
+WORDS = ("fp", "fp1", "fp2", "fp3")
+
+
+def wide_fingerprint(hashes: np.ndarray) -> list[int]:
+    """256 bits in WORDS: a pair's distance in them tells its similarity closer than 64 bits do."""
+    out = [fingerprint(hashes)]
+    for i in range(1, len(WORDS)):
+        x = hashes + np.uint64(i * 0x9E3779B97F4A7C15 % (1 << 64))
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        out.append(fingerprint(x ^ (x >> np.uint64(31))))
+    return out
+
+
+def wide_fingerprints(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, WORDS (signed longs) and n_shingles (distinct ones) for every row."""
+
+    def scan(batch: pa.RecordBatch) -> pa.RecordBatch:
+        hashes = [shingle_hashes(t, width, True) for t in batch.column("text").to_pylist()]
+        words = np.array([wide_fingerprint(h) for h in hashes], np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(words[:, i]) for i in range(len(WORDS))), pa.array([len(h) for h in hashes], pa.int64())], ["doc_id", *WORDS, "n_shingles"])
+
+    return map_rows(texts(docs), scan, f"doc_id long, {', '.join(f'{w} long' for w in WORDS)}, n_shingles long")
+
+
+def _candidates(a: np.ndarray, b: np.ndarray | None, forest: bool) -> Iterator[np.ndarray]:
+    """Pairs of ids from two tiles, or from one (b is None), block by block; rows are (id, class, n, *WORDS).
+
+    Pairs of one class are left out.  As a forest: each row comes with the nearest of a block only, and what a pair
+    connects is one class from there on.
+    """
+    rows = a if b is None else np.concatenate([a, b])
+    classes, prints = np.unique(rows[:, 1], return_inverse=True)[1], np.ascontiguousarray(rows[:, 3:]).view(np.uint64)
+    sizes = rows[:, 2]
+    for start in range(0, len(a), STAGE_BLOCK):
+        stop = min(start + STAGE_BLOCK, len(a))
+        first = start if b is None else len(a)
+        x, y = np.nonzero(np.bitwise_count(prints[start:stop, None, 0] ^ prints[None, first:, 0]) <= STAGE_RADIUS)
+        x, y = x + start, y + first
+        keep = (x < y) & (classes[x] != classes[y])
+        x, y = x[keep], y[keep]
+        keep = np.minimum(sizes[x], sizes[y]) >= STAGE_SIMILARITY * np.maximum(sizes[x], sizes[y])
+        x, y = x[keep], y[keep]
+        bits = np.zeros(len(x), np.int64)
+        for word in range(len(WORDS)):
+            bits += np.bitwise_count(prints[x, word] ^ prints[y, word])
+        keep = bits <= STAGE_WIDE_RADIUS
+        x, y, bits = x[keep], y[keep], bits[keep]
+        if forest and len(x):
+            order = np.lexsort((x, bits))
+            nearest = order[np.unique(y[order], return_index=True)[1]]
+            taken = []
+            for i, j in zip(x[nearest].tolist(), y[nearest].tolist(), strict=True):
+                if classes[i] != classes[j]:
+                    classes[classes == classes[j]] = classes[i]
+                    taken.append((i, j))
+            x, y = np.array(taken, np.int64).reshape(-1, 2).T
+        if len(x):
+            yield np.stack([rows[x, 0], rows[y, 0]], 1)
+
+
+def candidates(prints: DataFrame, forest: bool) -> DataFrame:
+    """Pairs (a, b) of ids of rows (id, class, n, *WORDS) that may be similar to STAGE_SIMILARITY and are of different classes; each pair once.
+
+    Rows are dealt to tiles by size: similar ones lie in the same or the next band.
+    """
+    band = F.floor(F.ln(F.greatest("n", F.lit(1))) / F.lit(float(np.log(1 / STAGE_SIMILARITY)))).cast("int")
+    columns = ["id", "class", "n", *WORDS]
+    sized = prints.select(*columns, band.alias("band"))
+    held = sized.groupBy("band").agg(F.ceil(F.count("*") / STAGE_TILE).cast("int").alias("parts"))
+    cells = F.broadcast(held.agg(F.collect_list(F.struct("band", "parts")).alias("cells")))  # one row; bands grow with the log of the longest text
+    number = lambda band, part: band.cast("long") * 1_000_000 + part
+    parts = F.element_at(F.filter("cells", lambda c: c["band"] == F.col("band")), 1)["parts"]
+    close = F.filter("cells", lambda c: F.abs(c["band"] - F.col("band")) <= 1)
+    others = F.flatten(F.transform(close, lambda c: F.transform(F.sequence(F.lit(0), c["parts"] - 1), lambda i: number(c["band"], i))))
+    dealt = sized.crossJoin(cells).withColumn("own", number(F.col("band"), F.pmod(F.xxhash64("id"), parts))).select("own", *columns, F.explode(others).alias("other"))
+    tile = ["one", "two"]
+    dealt = dealt.select(F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", *columns).repartition(*tile).sortWithinPartitions(*tile, "own", "id")
+
+    def run(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in itertools.chain(batches(iterator), [None]):
+            if batch is not None:
+                held.append(np.stack([np.asarray(c, np.int64) for c in batch.columns], 1))
+                if (held[0][0, :2] == held[-1][-1, :2]).all():
+                    continue
+            if not held:
+                break
+            data = np.concatenate(held)
+            edges = np.flatnonzero((data[1:, :2] != data[:-1, :2]).any(1)) + 1
+            ends = [*edges.tolist(), *([len(data)] if batch is None else [])]
+            start = 0
+            for end in ends:
+                part = data[start:end]
+                one, two = part[0, 0], part[0, 1]
+                a, b = (part[:, 3:], None) if one == two else (part[part[:, 2] == one, 3:], part[part[:, 2] == two, 3:])
+                for pairs in _candidates(a, b, forest):
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+                start = end
+            held = [data[start:]] if start < len(data) else []
+
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -251,19 +362,21 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, similarity: float)
 def deduplicated_documents(docs: DataFrame) -> DataFrame:
     """The rows of documents without those of which a near copy with a smaller id stays.
 
-    Fingerprints of distinct five-word shingles propose pairs within STAGE_RADIUS
-    bits; those over STAGE_CLOSE bits apart are held against the shingles
-    themselves.  One row of each class stays, that with the least id; of rows
-    that repeat an id one stays; rows with a null id stay.
+    Prints of 256 bits over distinct five-word shingles propose pairs, which are
+    held against the shingles themselves.  A first pass proposes each print with
+    its nearest ones, which joins large groups of copies by few pairs; a second
+    proposes all pairs between what the first did not join.  Equal prints are one
+    class; one row of each class stays, that with the least id; of rows that
+    repeat an id one stays; rows with a null id stay.
     """
-    own = cut(fingerprints(docs.where("doc_id IS NOT NULL"), STAGE_WIDTH, True))
-    classes = own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n"))
-    proposed = cut(links(classes.select("fp", "n"), STAGE_RADIUS, STAGE_CLOSE, STAGE_SIMILARITY))
-    named = proposed.join(classes.select(F.col("fp").alias("a"), F.col("least").alias("ia")), "a").join(classes.select(F.col("fp").alias("b"), F.col("least").alias("ib")), "b").select("bits", F.col("ia").alias("a"), F.col("ib").alias("b"))
-    sure = named.where(F.col("bits") <= STAGE_CLOSE).select("a", "b")
-    checked = _verified(named.where(F.col("bits") > STAGE_CLOSE).select("a", "b").distinct(), docs, STAGE_WIDTH, STAGE_SIMILARITY)
-    component = connected_components(sure.unionByName(checked), cut)
-    heads = classes.select("fp", "least").join(component, F.col("least") == F.col("node"), "left").where("component IS NULL OR component = least").select(F.col("least").alias("doc_id"))
+    own = cut(wide_fingerprints(docs.where("doc_id IS NOT NULL"), STAGE_WIDTH))
+    prints = cut(own.groupBy(*WORDS).agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n")))
+    verified = lambda rows, forest: cut(_verified(cut(candidates(rows, forest)), docs, STAGE_WIDTH, STAGE_SIMILARITY))
+    first = verified(prints.withColumn("class", F.col("id")), True)
+    joined = connected_components(first, cut)
+    classed = cut(prints.join(joined, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("class"), "n", *WORDS))
+    component = connected_components(first.unionByName(verified(classed, False)), cut)
+    heads = prints.select("id").join(component, F.col("id") == F.col("node"), "left").where("component IS NULL OR component = id").select(F.col("id").alias("doc_id")).distinct()
     once = own.groupBy("doc_id").count().where("count > 1").isEmpty()
     kept = (docs if once else docs.dropDuplicates(["doc_id"])).join(heads.hint("merge"), "doc_id", "left_semi")
     return kept.unionByName(docs.where("doc_id IS NULL"))
