@@ -1,15 +1,17 @@
-"""Quality by importance resampling: hashed n-gram models of target and raw text, Gumbel top-k.
+"""Quality by importance resampling: n-gram models of target and raw text, Gumbel top-k.
 
-Words and word pairs are hashed into buckets.  The raw model counts them over
-all documents, the target model over the documents labelled good and not toxic.
+Words and word pairs are counted by Spark under hashes of 63 bits, so that the
+models grow with the corpus and no two n-grams share a count.  The raw model
+counts them over all documents, the target model over the documents labelled good and not toxic.
 A document's importance weight is the ratio of its likelihoods under the two
 models; log weight plus Gumbel noise is its key, and the k largest keys are a
 sample without replacement in proportion to the weights (at temperature T, to
 weight ** (1 / T)).
 
-Target counts are shrunk to what the raw model expects (PRIOR), and a bucket's
+Target counts are shrunk to what the raw model expects (PRIOR), and an n-gram's
 ratio counts only where its counts differ from chance by MIN_Z deviations: words
-too rare to judge are neutral.
+too rare to judge are neutral.  Ratios that tell are broadcast up to
+MOST_BROADCAST of them and joined by n-gram beyond that.
 
 k is the number of documents whose log weight reaches a cutoff.  The target
 model and the cutoff are fitted on at most FIT_ROWS of the documents labelled
@@ -35,16 +37,22 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, cut, id_key, table, texts
+from .common import batches, cut, id_key, map_rows, table, texts
 
-#: Buckets for words and as many for pairs: the models' size, whatever the data.
-BUCKETS = 1 << 16
 PRIOR = 4.0
 MIN_Z = 5.0
+#: Counts under both of these differ from chance by less than MIN_Z deviations, whatever the totals.
+LEAST_RAW, LEAST_TARGET = 26, 5
+#: N-grams a task counts at once before it hands the counts on.
+COUNTED = 4_000_000
+#: Ratios sent to the tasks as a whole; 16 bytes each.
+MOST_BROADCAST = 4_000_000
+#: Stand for all words and all pairs; the last bit of a key tells pairs from words.
+ALL_WORDS, ALL_PAIRS = -2, -1
 TEMPERATURE = 0.05
 FIT_ROWS = 200_000
 FIT_LOSS = 0.005
-#: A cutoff above this would reject documents that no bucket speaks against.
+#: A cutoff above this would reject documents that no n-gram speaks against.
 HIGHEST_CUTOFF = -1.0
 SEED = 20240229
 #: Words whose hashes a task keeps.
@@ -54,12 +62,12 @@ _TOKEN = re.compile(r"\w+|[^\w\s]+")
 
 
 class _Hasher:
-    """Buckets of a text's words and pairs."""
+    """Keys of a text's words (even) and pairs (odd)."""
 
     def __init__(self) -> None:
         self.known: dict[str, int] = {}
 
-    def buckets(self, text: str) -> np.ndarray:
+    def keys(self, text: str) -> np.ndarray:
         words = _TOKEN.findall(text.lower())
         if not words:
             return np.zeros(0, np.int64)
@@ -72,46 +80,61 @@ class _Hasher:
             for w in fresh:
                 known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), SEED) >> 1
         codes = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        pairs = (codes[:-1] * 1_000_003 + codes[1:]) & 0x7FFFFFFFFFFFFFFF
-        return np.concatenate([codes % BUCKETS, BUCKETS + (pairs >> 7) % BUCKETS])
+        x = codes[:-1].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + codes[1:].view(np.uint64)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        pairs = ((x ^ (x >> np.uint64(31))) >> np.uint64(1)).view(np.int64)
+        return np.concatenate([codes & ~1, pairs | 1])
 
 
-def models(docs: DataFrame, good: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Counts by bucket of the raw text and of the target text; two arrays of 2 * BUCKETS numbers.  good: (doc_id), FIT_ROWS rows at most.
+def models(docs: DataFrame, good: DataFrame) -> DataFrame:
+    """ngram, raw, target: counts over the raw text and the target text.  good: (doc_id), FIT_ROWS rows at most.
 
-    Tasks count before the shuffle; what reaches the driver has the models' fixed size.
+    N-grams that cannot tell are left out; rows ALL_WORDS and ALL_PAIRS have the totals.
     """
     marked = texts(docs).withColumn("k", id_key()).join(F.broadcast(good.select(F.col("doc_id").alias("k"), F.lit(True).alias("target"))), "k", "left")
 
     def count(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, raw, target = _Hasher(), np.zeros(2 * BUCKETS, np.int64), np.zeros(2 * BUCKETS, np.int64)
+        hasher = _Hasher()
+        held: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
+
+        def counted() -> pa.RecordBatch:
+            raw, target = (np.concatenate([*h, np.zeros(0, np.int64)]) for h in held)
+            ngrams, n = np.unique(raw, return_counts=True)
+            of_target = np.zeros(len(ngrams), np.int64)
+            some, n_target = np.unique(target, return_counts=True)
+            of_target[np.searchsorted(ngrams, some)] = n_target
+            odd = (ngrams & 1).astype(bool)
+            totals = [(int(c[~odd].sum()), int(c[odd].sum())) for c in (n, of_target)]
+            for h in held:
+                h.clear()
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([ngrams, [ALL_WORDS, ALL_PAIRS]])), pa.array(np.concatenate([n, totals[0]])), pa.array(np.concatenate([of_target, totals[1]]))], ["ngram", "raw", "target"])
+
+        waiting = 0
         for batch in batches(iterator):
-            found = [hasher.buckets(t) for t in batch.column("text").to_pylist()]
-            good = [b for b, is_target in zip(found, batch.column("target").to_pylist(), strict=True) if is_target]
-            for counts, some in ((raw, found), (target, good)):
-                if some:
-                    counts += np.bincount(np.concatenate(some), minlength=2 * BUCKETS)
-        some = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(raw[some]), pa.array(target[some])], ["bucket", "raw", "target"])
-
-    counted = marked.select("text", "target").mapInArrow(count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-    raw, target = np.zeros(2 * BUCKETS), np.zeros(2 * BUCKETS)
-    for row in counted.collect():  # 2 * BUCKETS rows at most
-        raw[row["bucket"]], target[row["bucket"]] = row["raw"], row["target"]
-    return raw, target
-
-
-def log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Log of target over raw probability by bucket, 0 where the counts don't tell."""
-    out = np.zeros(len(raw))
-    for half in (slice(0, BUCKETS), slice(BUCKETS, 2 * BUCKETS)):
-        r, t = raw[half], target[half]
-        if not t.sum():
-            continue
-        expected = r * t.sum() / r.sum()
-        ratio = np.log((t + PRIOR) / (expected + PRIOR))
-        out[half] = np.where(np.abs(t - expected) >= MIN_Z * np.sqrt(expected + 1), ratio, 0.0)
-    return out
+            for text, is_target in zip(batch.column("text").to_pylist(), batch.column("target").to_pylist(), strict=True):
+                keys = hasher.keys(text)
+                held[0].append(keys)
+                if is_target:
+                    held[1].append(keys)
+                waiting += len(keys)
+                if waiting >= COUNTED:
+                    yield counted()
+                    waiting = 0
+        if waiting:
+            yield counted()
+
+    counted = marked.select("text", "target").mapInArrow(count, "ngram long, raw long, target long").groupBy("ngram").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    return cut(counted.where((F.col("ngram") < 0) | (F.col("raw") >= LEAST_RAW) | (F.col("target") >= LEAST_TARGET)))
+
+
+def log_ratios(counts: DataFrame) -> DataFrame:
+    """ngram, ratio: log of target over raw probability in millionths, of those n-grams whose counts tell."""
+    odd = F.col("ngram").bitwiseAND(F.lit(1))
+    totals = counts.where("ngram < 0").select(odd.alias("odd"), F.col("raw").alias("all_raw"), F.col("target").alias("all_target")).where("all_target > 0")
+    held = counts.where("ngram >= 0").withColumn("odd", odd).join(F.broadcast(totals), "odd")  # two rows
+    held = held.withColumn("expected", F.col("raw") * F.col("all_target") / F.col("all_raw"))
+    tells = F.abs(F.col("target") - F.col("expected")) >= MIN_Z * F.sqrt(F.col("expected") + 1)
+    return cut(held.where(tells).select("ngram", F.round(F.ln((F.col("target") + PRIOR) / (F.col("expected") + PRIOR)) * 1_000_000).cast("long").alias("ratio")))
 
 
 def _gumbel(ids: np.ndarray) -> np.ndarray:
@@ -123,21 +146,63 @@ def _gumbel(ids: np.ndarray) -> np.ndarray:
     return -np.log(-np.log(np.clip(u, 1e-16, 1 - 1e-16)))
 
 
-def weights(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
+class _Table:
+    """Values of n-grams, looked up for arrays of keys; 0 where there is none."""
+
+    def __init__(self, rows: DataFrame, value: str) -> None:
+        found = rows.select("ngram", value).orderBy("ngram").toArrow()
+        self.ngrams, self.values = (np.asarray(c, np.int64) for c in (found.column(0).combine_chunks(), found.column(1).combine_chunks()))
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.ngrams):
+            return np.zeros(len(keys), np.int64)
+        at = np.minimum(np.searchsorted(self.ngrams, keys), len(self.ngrams) - 1)
+        return np.where(self.ngrams[at] == keys, self.values[at], 0)
+
+
+def _joined_weights(docs: DataFrame, ratios: DataFrame) -> DataFrame:
+    """k, doc_id, n_words and w of every row, by a join of its n-grams with the ratios."""
+
+    def explode(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = _Hasher()
+        for batch in batches(iterator, 1 << 20):
+            found = [np.unique(hasher.keys(t), return_counts=True) for t in batch.column("text").to_pylist()]
+            # a row's own line, of no n-gram, keeps rows that nothing joins; it bears the number of its words
+            each = np.repeat(np.arange(len(found)), [len(n) + 1 for _, n in found])
+            ngrams = np.concatenate([np.append(g, -1) for g, _ in found])
+            times = np.concatenate([np.append(n, (n.sum() + 1) // 2) for _, n in found])
+            rows = pa.array(each)
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(rows) for c in ("row", "k", "doc_id")] + [pa.array(ngrams), pa.array(times.astype(np.int64))], ["row", "k", "doc_id", "ngram", "times"])
+
+    numbered = cut(docs.select(F.monotonically_increasing_id().alias("row"), "k", "doc_id", "text"))  # a row's number stays the same
+    exploded = numbered.mapInArrow(explode, "row long, k long, doc_id long, ngram long, times long")
+    own = F.col("ngram") < 0
+    joined = exploded.join(ratios.hint("merge"), "ngram", "left").where(own | F.col("ratio").isNotNull())
+    return joined.groupBy("row", "k", "doc_id").agg(F.sum(F.when(own, F.col("times"))).alias("n_words"), F.sum(F.when(own, F.lit(0)).otherwise(F.col("times") * F.col("ratio"))).alias("w")).drop("row")
+
+
+def weights(docs: DataFrame, ratios: DataFrame) -> DataFrame:
     """k (the id, or LAST_ID), doc_id, n_words, log_weight and key of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(ratios.astype(np.float64))  # 1 MB, of fixed size
+    rows = texts(docs).withColumn("k", id_key()).select("k", "doc_id", "text")
+    if ratios.count() > MOST_BROADCAST:
+        summed = _joined_weights(rows, ratios)
+    else:
+        shared = docs.sparkSession.sparkContext.broadcast(_Table(ratios, "ratio"))
 
-    def score(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, table_ = _Hasher(), shared.value
-        for batch in batches(iterator):
-            found = [hasher.buckets(t) for t in batch.column("text").to_pylist()]
-            # rounded, so that the order of summing does not show
-            w = np.array([round(float(table_[b].sum()), 6) for b in found])
-            k = np.asarray(batch.column("k"), np.int64)
-            key = w / TEMPERATURE + _gumbel(k)
-            yield pa.RecordBatch.from_arrays([pa.array(k), batch.column("doc_id"), pa.array([(len(b) + 1) // 2 for b in found], pa.int64()), pa.array(w), pa.array(key)], ["k", "doc_id", "n_words", "log_weight", "key"])
+        def add(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hasher, table_ = _Hasher(), shared.value
+            for batch in batches(iterator):
+                found = [hasher.keys(t) for t in batch.column("text").to_pylist()]
+                w = [int(table_(g).sum()) for g in found]
+                yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("doc_id"), pa.array([(len(g) + 1) // 2 for g in found], pa.int64()), pa.array(w, pa.int64())], ["k", "doc_id", "n_words", "w"])
+
+        summed = rows.mapInArrow(add, "k long, doc_id long, n_words long, w long")
+
+    def key(batch: pa.RecordBatch) -> pa.RecordBatch:
+        w, k = np.asarray(batch.column("w"), np.int64) / 1_000_000, np.asarray(batch.column("k"), np.int64)
+        return pa.RecordBatch.from_arrays([batch.column("k"), batch.column("doc_id"), batch.column("n_words"), pa.array(w), pa.array(w / TEMPERATURE + _gumbel(k))], ["k", "doc_id", "n_words", "log_weight", "key"])
 
-    return texts(docs).withColumn("k", id_key()).select("k", "doc_id", "text").mapInArrow(score, "k long, doc_id long, n_words long, log_weight double, key double")
+    return map_rows(summed, key, "k long, doc_id long, n_words long, log_weight double, key double")
 
 
 def nth_smallest(rows: DataFrame, column: str, n: int) -> tuple[int, int] | None:
@@ -191,8 +256,7 @@ def resample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     judged = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg((F.min("quality") >= 1).alias("fine"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
     judged = judged.select("doc_id", (F.col("fine") & (F.col("toxic") < 1)).alias("good"))
     good = cut(judged.where("good").orderBy(F.xxhash64("doc_id")).limit(FIT_ROWS).select("doc_id"))
-    raw, target = models(docs, good)
-    scored = cut(weights(docs, log_ratios(raw, target)))
+    scored = cut(weights(docs, log_ratios(models(docs, good))))
     cutoff = _cutoff(scored, good)
     k = scored.where(F.col("log_weight") >= F.lit(cutoff)).select("k").distinct().count()
     last = kth_largest(scored, k)
