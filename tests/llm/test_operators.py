@@ -205,6 +205,26 @@ def test_quality(spark):
     assert resampling.resample(df.limit(0), labels).collect() == []
 
 
+@pytest.mark.parametrize("size", [400, 4000])
+def test_quality_rejects_toxic(spark, size):
+    r = random.Random(18)
+    words = ["".join(r.choice("aeioulnrst") for _ in range(6)) for _ in range(3000)]
+    prose = lambda: [words[int(3000 * r.random() ** 3)] for _ in range(r.choice([20, 150, 1200]))]
+    bad = "scum moron idiot trash clown loser stupid worthless".split()
+    toxic = {i for i in range(size) if i % 10 == 3}
+
+    def text(i):
+        out = prose()
+        for _ in range(r.randint(2, 5) if i in toxic else 0):
+            out.insert(r.randrange(len(out)), r.choice(bad))
+        return " ".join(out)
+
+    df = spark.createDataFrame([(i, text(i)) for i in range(size)], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, 1, int(i in toxic)) for i in range(size) if i % 20 < 10], "doc_id long, quality int, toxic int")
+    taken = {x.doc_id for x in resampling.selected_documents(df, labels).collect()}
+    assert not taken & toxic and len(taken) >= 0.97 * (size - len(toxic))
+
+
 def test_quality_counts_each_ngram(spark, monkeypatch):
     words = [f"w{i}" for i in range(100_000)]
     docs = spark.createDataFrame([(i, " ".join(words[i * 1000 : (i + 1) * 1000] + ["telling", "common"] * 40)) for i in range(100)] + [(200, None), (None, "telling x"), (3, "telling x")], "doc_id long, text string").repartition(3)

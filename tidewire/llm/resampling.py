@@ -13,10 +13,17 @@ ratio counts only where its counts differ from chance by MIN_Z deviations: words
 too rare to judge are neutral.  Ratios that tell are broadcast up to
 MOST_BROADCAST of them and joined by n-gram beyond that.
 
-k is the number of documents whose log weight reaches a cutoff.  The target
-model and the cutoff are fitted on at most FIT_ROWS of the documents labelled
-good, chosen by a hash of their ids; the cutoff is the quantile FIT_LOSS of
-their log weights.  That list of ids is broadcast, so that no text is shuffled.
+Toxicity has a score of its own, the greatest log ratio of any of a text's
+n-grams between the documents labelled toxic and the good ones (documents that
+hold it are counted, both shrunk by TOXIC_PRIOR): neither length nor good prose
+around it cancels a toxic word.  The limit is the quantile 1 - FIT_LOSS of the
+good documents' scores, each judged without its own counts, and LEAST_TOXIC at
+least.  Documents over it are rejected whatever their weight.
+
+k is the number of other documents whose log weight reaches a cutoff.  The models
+and the cutoffs are fitted on at most FIT_ROWS of the documents labelled
+good and as many labelled toxic, chosen by a hash of their ids; the cutoff is the
+quantile FIT_LOSS of the good ones' log weights.  These lists of ids are broadcast, so that no text is shuffled.
 Raw counts, weights and the selection cover all documents.
 
 Defined cases: null text counts as empty, weight 1; without labels everything
@@ -54,10 +61,17 @@ FIT_ROWS = 200_000
 FIT_LOSS = 0.005
 #: A cutoff above this would reject documents that no n-gram speaks against.
 HIGHEST_CUTOFF = -1.0
+#: Shrinks the counts of documents by n-gram among toxic and good ones.
+TOXIC_PRIOR = 4.0
+#: Log ratios under this do not reject.  Less than LEAST_TOXIC_DOCS toxic documents that hold an n-gram never come to it.
+LEAST_TOXIC, LEAST_TOXIC_DOCS = 1.0, 3
 SEED = 20240229
 #: Words whose hashes a task keeps.
 KNOWN_WORDS = 500_000
 
+#: What is known of an n-gram, in millionths.
+VALUES = ("ratio", "toxic_ratio", "held_out_ratio")
+
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 
 
@@ -137,6 +151,38 @@ def log_ratios(counts: DataFrame) -> DataFrame:
     return cut(held.where(tells).select("ngram", F.round(F.ln((F.col("target") + PRIOR) / (F.col("expected") + PRIOR)) * 1_000_000).cast("long").alias("ratio")))
 
 
+def toxic_counts(docs: DataFrame, fit: DataFrame) -> DataFrame:
+    """ngram, toxic, good: labelled documents that hold it, where it may tell; row -1 has all documents.  fit: (doc_id, is_toxic), 2 * FIT_ROWS rows at most."""
+    marked = texts(docs).withColumn("k", id_key()).join(F.broadcast(fit.select(F.col("doc_id").alias("k"), "is_toxic")), "k")
+
+    def count(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = _Hasher()
+        for batch in batches(iterator):
+            found = [np.unique(hasher.keys(t)) for t in batch.column("text").to_pylist()]
+            toxic = np.repeat(np.asarray(batch.column("is_toxic").to_pylist(), bool), [len(g) + 1 for g in found])
+            # each document once more under -1, for the totals
+            ngrams, at = np.unique(np.concatenate([np.append(g, -1) for g in found]), return_inverse=True)
+            n_toxic, n = np.bincount(at[toxic], minlength=len(ngrams)), np.bincount(at, minlength=len(ngrams))
+            yield pa.RecordBatch.from_arrays([pa.array(ngrams), pa.array(n_toxic), pa.array(n - n_toxic)], ["ngram", "toxic", "good"])
+
+    counted = marked.select("text", "is_toxic").mapInArrow(count, "ngram long, toxic long, good long").groupBy("ngram").agg(F.sum("toxic").alias("toxic"), F.sum("good").alias("good"))
+    return cut(counted.where((F.col("ngram") < 0) | (F.col("toxic") >= LEAST_TOXIC_DOCS)))
+
+
+def toxic_ratios(counts: DataFrame) -> DataFrame:
+    """ngram, toxic_ratio and held_out_ratio (without one of the good documents that hold it), in millionths; of those that reach LEAST_TOXIC."""
+    totals = counts.where("ngram < 0").select((F.col("toxic") / (F.col("toxic") + F.col("good"))).alias("share")).where("share > 0 AND share < 1")
+    toxic, good, share = F.col("toxic"), F.col("good"), F.col("share")
+
+    def ratio(good):
+        shrunk = lambda n, part: F.ln((n + TOXIC_PRIOR) / ((toxic + good) * part + TOXIC_PRIOR))
+        return F.round((shrunk(toxic, share) - shrunk(good, 1 - share)) * 1_000_000).cast("long")
+
+    held = counts.where("ngram >= 0").crossJoin(F.broadcast(totals))  # one row
+    rated = held.select("ngram", ratio(good).alias("toxic_ratio"), ratio(F.greatest(good - 1, F.lit(0))).alias("held_out_ratio"))
+    return cut(rated.where(F.greatest("toxic_ratio", "held_out_ratio") >= LEAST_TOXIC * 1_000_000))
+
+
 def _gumbel(ids: np.ndarray) -> np.ndarray:
     """Standard Gumbel noise set by the id."""
     x = ids.astype(np.uint64) + np.uint64(SEED)
@@ -147,21 +193,22 @@ def _gumbel(ids: np.ndarray) -> np.ndarray:
 
 
 class _Table:
-    """Values of n-grams, looked up for arrays of keys; 0 where there is none."""
+    """The values VALUES of n-grams, looked up for arrays of keys; 0 where there is none."""
 
-    def __init__(self, rows: DataFrame, value: str) -> None:
-        found = rows.select("ngram", value).orderBy("ngram").toArrow()
-        self.ngrams, self.values = (np.asarray(c, np.int64) for c in (found.column(0).combine_chunks(), found.column(1).combine_chunks()))
+    def __init__(self, rows: DataFrame) -> None:
+        found = rows.select("ngram", *VALUES).orderBy("ngram").toArrow()
+        self.ngrams, *values = (np.asarray(c.combine_chunks(), np.int64) for c in found.columns)
+        self.values = np.stack(values, 1)
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         if not len(self.ngrams):
-            return np.zeros(len(keys), np.int64)
+            return np.zeros((len(keys), len(VALUES)), np.int64)
         at = np.minimum(np.searchsorted(self.ngrams, keys), len(self.ngrams) - 1)
-        return np.where(self.ngrams[at] == keys, self.values[at], 0)
+        return np.where((self.ngrams[at] == keys)[:, None], self.values[at], 0)
 
 
-def _joined_weights(docs: DataFrame, ratios: DataFrame) -> DataFrame:
-    """k, doc_id, n_words and w of every row, by a join of its n-grams with the ratios."""
+def _joined_weights(docs: DataFrame, values: DataFrame) -> DataFrame:
+    """k, doc_id, n_words, w and the toxicities of every row, by a join of its n-grams with the values."""
 
     def explode(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = _Hasher()
@@ -177,32 +224,38 @@ def _joined_weights(docs: DataFrame, ratios: DataFrame) -> DataFrame:
     numbered = cut(docs.select(F.monotonically_increasing_id().alias("row"), "k", "doc_id", "text"))  # a row's number stays the same
     exploded = numbered.mapInArrow(explode, "row long, k long, doc_id long, ngram long, times long")
     own = F.col("ngram") < 0
-    joined = exploded.join(ratios.hint("merge"), "ngram", "left").where(own | F.col("ratio").isNotNull())
-    return joined.groupBy("row", "k", "doc_id").agg(F.sum(F.when(own, F.col("times"))).alias("n_words"), F.sum(F.when(own, F.lit(0)).otherwise(F.col("times") * F.col("ratio"))).alias("w")).drop("row")
+    joined = exploded.join(values.hint("merge"), "ngram", "left").where(own | F.col("ratio").isNotNull())
+    greatest = [F.greatest(F.max(c), F.lit(0)).alias(c) for c in VALUES[1:]]
+    return joined.groupBy("row", "k", "doc_id").agg(F.sum(F.when(own, F.col("times"))).alias("n_words"), F.sum(F.when(own, F.lit(0)).otherwise(F.col("times") * F.col("ratio"))).alias("w"), *greatest).drop("row")
 
 
-def weights(docs: DataFrame, ratios: DataFrame) -> DataFrame:
-    """k (the id, or LAST_ID), doc_id, n_words, log_weight and key of every row."""
+def weights(docs: DataFrame, ratios: DataFrame, toxic: DataFrame | None = None) -> DataFrame:
+    """k (the id, or LAST_ID), doc_id, n_words, log_weight, key, toxicity and held_out (toxicity as of a good document not counted) of every row."""
     rows = texts(docs).withColumn("k", id_key()).select("k", "doc_id", "text")
-    if ratios.count() > MOST_BROADCAST:
-        summed = _joined_weights(rows, ratios)
+    none = F.lit(0).cast("long")
+    values = ratios.join(toxic, "ngram", "full") if toxic is not None else ratios.select("*", *(none.alias(c) for c in VALUES[1:]))
+    values = cut(values.select("ngram", *(F.coalesce(c, none).alias(c) for c in VALUES)))
+    if values.count() > MOST_BROADCAST:
+        summed = _joined_weights(rows, values)
     else:
-        shared = docs.sparkSession.sparkContext.broadcast(_Table(ratios, "ratio"))
+        shared = docs.sparkSession.sparkContext.broadcast(_Table(values))
 
         def add(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hasher, table_ = _Hasher(), shared.value
             for batch in batches(iterator):
                 found = [hasher.keys(t) for t in batch.column("text").to_pylist()]
-                w = [int(table_(g).sum()) for g in found]
-                yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("doc_id"), pa.array([(len(g) + 1) // 2 for g in found], pa.int64()), pa.array(w, pa.int64())], ["k", "doc_id", "n_words", "w"])
+                values = [table_(g) for g in found]
+                numbers = [[(len(g) + 1) // 2 for g in found], [int(v[:, 0].sum()) for v in values], *([int(v[:, i].max(initial=0)) for v in values] for i in (1, 2))]
+                yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("doc_id"), *(pa.array(n, pa.int64()) for n in numbers)], ["k", "doc_id", "n_words", "w", *VALUES[1:]])
 
-        summed = rows.mapInArrow(add, "k long, doc_id long, n_words long, w long")
+        summed = rows.mapInArrow(add, "k long, doc_id long, n_words long, w long, toxic_ratio long, held_out_ratio long")
 
     def key(batch: pa.RecordBatch) -> pa.RecordBatch:
-        w, k = np.asarray(batch.column("w"), np.int64) / 1_000_000, np.asarray(batch.column("k"), np.int64)
-        return pa.RecordBatch.from_arrays([batch.column("k"), batch.column("doc_id"), batch.column("n_words"), pa.array(w), pa.array(w / TEMPERATURE + _gumbel(k))], ["k", "doc_id", "n_words", "log_weight", "key"])
+        k = np.asarray(batch.column("k"), np.int64)
+        w, toxic, held_out = (np.asarray(batch.column(c), np.int64) / 1_000_000 for c in ("w", *VALUES[1:]))
+        return pa.RecordBatch.from_arrays([batch.column("k"), batch.column("doc_id"), batch.column("n_words"), *map(pa.array, (w, w / TEMPERATURE + _gumbel(k), toxic, held_out))], ["k", "doc_id", "n_words", "log_weight", "key", "toxicity", "held_out"])
 
-    return map_rows(summed, key, "k long, doc_id long, n_words long, log_weight double, key double")
+    return map_rows(summed, key, "k long, doc_id long, n_words long, log_weight double, key double, toxicity double, held_out double")
 
 
 def nth_smallest(rows: DataFrame, column: str, n: int) -> tuple[int, int] | None:
@@ -245,25 +298,29 @@ def kth_largest(scored: DataFrame, k: int) -> tuple[int, int] | None:
     return -value, tied[0]
 
 
-def _cutoff(scored: DataFrame, good: DataFrame) -> float:
-    """The log weight that all but FIT_LOSS of the good documents reach."""
-    found = scored.join(F.broadcast(good.select(F.col("doc_id").alias("k"))), "k").agg(F.percentile("log_weight", F.lit(FIT_LOSS))).first()[0]
-    return -math.inf if found is None else min(float(found), HIGHEST_CUTOFF)
+def _cutoffs(scored: DataFrame, good: DataFrame) -> tuple[float, float]:
+    """The log weight that all but FIT_LOSS of the good documents reach, and the toxicity that all but FIT_LOSS keep to."""
+    held = scored.join(F.broadcast(good.select(F.col("doc_id").alias("k"))), "k")
+    least, most = held.agg(F.percentile("log_weight", F.lit(FIT_LOSS)), F.percentile("held_out", F.lit(1 - FIT_LOSS))).first()
+    return -math.inf if least is None else min(float(least), HIGHEST_CUTOFF), LEAST_TOXIC if most is None else max(float(most), LEAST_TOXIC)
 
 
 def resample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, n_words, log_weight, key, selected for every row of docs."""
-    judged = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg((F.min("quality") >= 1).alias("fine"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
-    judged = judged.select("doc_id", (F.col("fine") & (F.col("toxic") < 1)).alias("good"))
-    good = cut(judged.where("good").orderBy(F.xxhash64("doc_id")).limit(FIT_ROWS).select("doc_id"))
-    scored = cut(weights(docs, log_ratios(models(docs, good))))
-    cutoff = _cutoff(scored, good)
-    k = scored.where(F.col("log_weight") >= F.lit(cutoff)).select("k").distinct().count()
-    last = kth_largest(scored, k)
+    judged = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg((F.min("quality") >= 1).alias("fine"), (F.max(F.coalesce("toxic", F.lit(0))) >= 1).alias("is_toxic"))
+    judged = judged.where("is_toxic OR fine").select("doc_id", "is_toxic")
+    chosen = lambda toxic: judged.where(F.col("is_toxic") == F.lit(toxic)).orderBy(F.xxhash64("doc_id")).limit(FIT_ROWS)
+    good, bad = cut(chosen(False)), cut(chosen(True))
+    toxic = toxic_ratios(toxic_counts(docs, good.unionByName(bad)))
+    scored = cut(weights(docs, log_ratios(models(docs, good.select("doc_id"))), toxic))
+    cutoff, limit = _cutoffs(scored, good)
+    decent = F.col("toxicity") <= F.lit(limit)
+    k = scored.where(decent & (F.col("log_weight") >= F.lit(cutoff))).select("k").distinct().count()
+    last = kth_largest(scored.where(decent), k)
     if last is None:
         return scored.select("doc_id", "n_words", "log_weight", "key", F.lit(False).alias("selected"))
     value, tied = last
-    chosen = (micro() > value) | ((micro() == value) & (F.col("k") <= tied))
+    chosen = decent & ((micro() > value) | ((micro() == value) & (F.col("k") <= tied)))
     return scored.select("doc_id", "n_words", "log_weight", "key", chosen.alias("selected"))
 
 
