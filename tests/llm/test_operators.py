@@ -92,6 +92,16 @@ def test_pii_context_and_redaction(spark):
     assert pii.detect(odd_documents(spark)).count() == len(ODD)
 
 
+def test_pii_iban_beside_capitals():
+    for iban in ("GB82 WEST 1234 5698 7654 32", "GB82WEST12345698765432", "NO93 8601 1117 947", "DE89370400440532013000"):
+        for before, after in (("IBAN ", " BIC ABCDGB2L"), ("pay ", " USD 500"), ("XX12 ABCD 1234 5678 901 ", ""), ("", " NO93 8601 1117 948"), ("", "")):
+            text = before + iban + after
+            assert [text[a:b] for kind, a, b, _ in pii.find_spans(text) if kind == "iban"] == [iban], text
+    two = "GB82 WEST 1234 5698 7654 32 NO93 8601 1117 947"
+    assert [two[a:b] for kind, a, b, _ in pii.find_spans(two) if kind == "iban"] == [two[:27], two[28:]]
+    assert not [s for s in pii.find_spans("GB82 WEST 1234 5698 7654 33 BIC") if s[0] == "iban"]
+
+
 def test_bpe_like_tiktoken(spark):
     codec = bpe.codec(bpe.vocabulary_path(), bpe.default_pattern())
     reference = tiktoken.Encoding("own", pat_str=bpe.default_pattern(), mergeable_ranks=codec.ranks, special_tokens={})

@@ -3,7 +3,8 @@
 Four base kinds (email, ip, card, phone) are always reported.  The further
 kinds below are reported from a score of MIN_SCORE on:
 
-* iban: 15 to 34 characters whose mod-97 remainder is 1;
+* iban: 15 to 34 characters, as many as the country's have, whose mod-97
+  remainder is 1; groups that follow it are left out;
 * ssn: three digit groups, only beside a context word;
 * local_phone: a national number, only beside a context word.
 
@@ -46,6 +47,17 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_GROUP_END = re.compile(r"(?=\x20|$)")
+#: Characters of the countries' numbers; of other countries any length may be.
+IBAN_LENGTHS = {
+    code: int(length)
+    for length, codes in (item.split(":") for item in (
+        "15:NO 16:BE 18:DK,FK,FI,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,XK,LT,LU,MN 21:HR,LV,LI,CH 22:BH,BG,CR,GE,DE,IE,ME,RS,GB,VA "
+        "23:TL,GI,IQ,IL,OM,SO,AE 24:AD,CZ,MD,PK,RO,SA,SK,ES,SE,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MR,MC,SM 28:AL,AZ,BY,CY,DO,SV,GT,HU,LB,NI,PL "
+        "29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU"
+    ).split())
+    for code in codes.split(",")
+}
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+])(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.\x20])[0-9]{3}[-.\x20][0-9]{4}(?![0-9])")
 _DIGIT = re.compile(r"[0-9]")
@@ -65,6 +77,22 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
 
 
+def _ibans(text: str):
+    """Of each candidate the longest run of whole groups that has the country's length and passes."""
+    at, match = 0, _IBAN.search(text)
+    while match:
+        at = match.end()
+        for end in reversed([m.start() for m in _GROUP_END.finditer(match[0])]):
+            iban = match[0][:end].replace(" ", "")
+            if 15 <= len(iban) <= 34 and len(iban) == IBAN_LENGTHS.get(iban[:2], len(iban)) and mod97(iban):
+                at = match.start() + end
+                yield match.start(), at
+                break
+        else:
+            at = match.start() + 4  # another may begin in a later group
+        match = _IBAN.search(text, at)
+
+
 def _emails(text: str):
     done, at = 0, text.find("@")
     while at >= 0:
@@ -106,7 +134,7 @@ def find_spans(text: str) -> list[tuple[str, int, int, float]]:
     """All spans with scores, by start, then kind in the order of KINDS."""
     found = base_spans(text)
     if _DIGIT.search(text):
-        found += [("iban", m.start(), m.end()) for m in _IBAN.finditer(text) if mod97(m[0].replace(" ", ""))]
+        found += [("iban", a, b) for a, b in _ibans(text)]
         found += [("ssn", m.start(), m.end()) for m in _SSN.finditer(text)]
         found += [("local_phone", m.start(), m.end()) for m in _LOCAL_PHONE.finditer(text)]
     scored = [(*span, _scored(*span, text)) for span in found]
