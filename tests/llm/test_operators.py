@@ -238,11 +238,12 @@ def test_quality_rejects_toxic(spark, size):
 def test_quality_counts_each_ngram(spark, monkeypatch):
     words = [f"w{i}" for i in range(100_000)]
     docs = spark.createDataFrame([(i, " ".join(words[i * 1000 : (i + 1) * 1000] + ["telling", "common"] * 40)) for i in range(100)] + [(200, None), (None, "telling x"), (3, "telling x")], "doc_id long, text string").repartition(3)
-    good = spark.createDataFrame([(i,) for i in range(50)], "doc_id long")
+    fit = spark.createDataFrame([(i, False) for i in range(50)] + [(i, True) for i in range(50, 57)], "doc_id long, is_toxic boolean")
     one = lambda w: int(resampling._Hasher().keys(w)[0])
     monkeypatch.setattr(resampling, "COUNTED", 10_000)
-    counts = {x.ngram: (x.raw, x.target) for x in resampling.models(docs, good).collect()}
-    assert counts[one("telling")] == (4002, 2001) and counts[resampling.ALL_WORDS] == (108_004, 54_002)
+    counts = {x.ngram: tuple(x)[1:] for x in resampling.models(docs, fit).collect()}
+    assert counts[one("telling")] == (4002, 2001, 7, 51) and counts[resampling.ALL_WORDS][:2] == (108_004, 54_002)
+    assert counts[resampling.ALL_DOCS] == (0, 0, 7, 51) and counts[resampling.ALL_PAIRS][:2] == (107_902, 53_951)
     assert len({k for w in range(100) for k in resampling._Hasher().keys(" ".join(words[w * 1000 : (w + 1) * 1000])).tolist()}) == 100_000 + 99_900
     ratios = spark.createDataFrame([(one("telling"), 1_500_000), (one("w7"), -2)], "ngram long, ratio long")
     rows = sorted(map(str, resampling.weights(docs, ratios).collect()))

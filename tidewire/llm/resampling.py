@@ -51,11 +51,14 @@ MIN_Z = 5.0
 #: Counts under both of these differ from chance by less than MIN_Z deviations, whatever the totals.
 LEAST_RAW, LEAST_TARGET = 26, 5
 #: N-grams a task counts at once before it hands the counts on.
-COUNTED = 4_000_000
+COUNTED = 2_000_000
+#: Counts are added up in so many ranges of keys, 2 ** PARTS_BITS.
+PARTS_BITS = 12
 #: Ratios sent to the tasks as a whole; 16 bytes each.
 MOST_BROADCAST = 4_000_000
-#: Stand for all words and all pairs; the last bit of a key tells pairs from words.
-ALL_WORDS, ALL_PAIRS = -2, -1
+#: Stand for all documents, words and pairs; the last bit of a key tells pairs from words.
+ALL_DOCS, ALL_WORDS, ALL_PAIRS = -3, -2, -1
+COUNTS = ("raw", "target", "toxic", "good")
 TEMPERATURE = 0.05
 FIT_ROWS = 200_000
 FIT_LOSS = 0.005
@@ -100,85 +103,112 @@ class _Hasher:
         return np.concatenate([codes & ~1, pairs | 1])
 
 
-def models(docs: DataFrame, good: DataFrame) -> DataFrame:
-    """ngram, raw, target: counts over the raw text and the target text.  good: (doc_id), FIT_ROWS rows at most.
+def _packed(numbers: np.ndarray) -> bytes:
+    """Longs by the places of their bytes, so that Spark's compression takes the zeros."""
+    return np.ascontiguousarray(numbers, np.int64).view(np.uint8).reshape(-1, 8).T.tobytes()
 
-    N-grams that cannot tell are left out; rows ALL_WORDS and ALL_PAIRS have the totals.
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(8, -1).T).view(np.int64).reshape(-1)
+
+
+def models(docs: DataFrame, fit: DataFrame) -> DataFrame:
+    """ngram and COUNTS: occurrences in the raw and the target text, toxic and good documents that hold it.
+
+    fit: (doc_id, is_toxic), 2 * FIT_ROWS rows at most; those not toxic make the target text.  N-grams that cannot tell
+    are left out; rows ALL_WORDS, ALL_PAIRS and ALL_DOCS have the totals.  Tasks hand on counts packed by range of keys.
     """
-    marked = texts(docs).withColumn("k", id_key()).join(F.broadcast(good.select(F.col("doc_id").alias("k"), F.lit(True).alias("target"))), "k", "left")
+    marked = texts(docs).withColumn("k", id_key()).join(F.broadcast(fit.select(F.col("doc_id").alias("k"), "is_toxic")), "k", "left")
+    names = ["part", "ngrams", *COUNTS]
 
     def count(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = _Hasher()
-        held: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
+        held: list[list[np.ndarray]] = [[] for _ in COUNTS]
+        documents = [0, 0]
 
         def counted() -> pa.RecordBatch:
-            raw, target = (np.concatenate([*h, np.zeros(0, np.int64)]) for h in held)
-            ngrams, n = np.unique(raw, return_counts=True)
-            of_target = np.zeros(len(ngrams), np.int64)
-            some, n_target = np.unique(target, return_counts=True)
-            of_target[np.searchsorted(ngrams, some)] = n_target
+            ngrams, raw = np.unique(np.concatenate(held[0]), return_counts=True)
+            counts = [raw]
+            for h in held[1:]:
+                some, n = np.unique(np.concatenate([*h, np.zeros(0, np.int64)]), return_counts=True)
+                counts.append(np.zeros(len(ngrams), np.int64))
+                counts[-1][np.searchsorted(ngrams, some)] = n
             odd = (ngrams & 1).astype(bool)
-            totals = [(int(c[~odd].sum()), int(c[odd].sum())) for c in (n, of_target)]
+            totals = [[*d, int(c[~odd].sum()), int(c[odd].sum())] for d, c in zip([(0,), (0,), documents[:1], documents[1:]], counts, strict=True)]
             for h in held:
                 h.clear()
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([ngrams, [ALL_WORDS, ALL_PAIRS]])), pa.array(np.concatenate([n, totals[0]])), pa.array(np.concatenate([of_target, totals[1]]))], ["ngram", "raw", "target"])
+            documents[:] = [0, 0]
+            at = np.searchsorted(ngrams >> (63 - PARTS_BITS), np.arange((1 << PARTS_BITS) + 1))
+            rows = [(-1, _packed(np.array([ALL_DOCS, 1, 1])), *map(_packed, map(np.array, totals)))]
+            for part in np.flatnonzero(at[1:] > at[:-1]).tolist():
+                own = slice(at[part], at[part + 1])
+                rows.append((part, _packed(np.diff(ngrams[own], prepend=0)), *(_packed(c[own]) for c in counts)))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), *[pa.binary()] * (len(names) - 1)], strict=True)], names)
 
         waiting = 0
         for batch in batches(iterator):
-            for text, is_target in zip(batch.column("text").to_pylist(), batch.column("target").to_pylist(), strict=True):
+            for text, is_toxic in zip(batch.column("text").to_pylist(), batch.column("is_toxic").to_pylist(), strict=True):
                 keys = hasher.keys(text)
                 held[0].append(keys)
-                if is_target:
-                    held[1].append(keys)
-                waiting += len(keys)
+                if is_toxic is not None:
+                    documents[0 if is_toxic else 1] += 1
+                    held[2 if is_toxic else 3].append(np.unique(keys))
+                    if not is_toxic:
+                        held[1].append(keys)
+                waiting += len(keys) + 1
                 if waiting >= COUNTED:
                     yield counted()
                     waiting = 0
         if waiting:
             yield counted()
 
-    counted = marked.select("text", "target").mapInArrow(count, "ngram long, raw long, target long").groupBy("ngram").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-    return cut(counted.where((F.col("ngram") < 0) | (F.col("raw") >= LEAST_RAW) | (F.col("target") >= LEAST_TARGET)))
+    def add(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []
+
+        def added() -> pa.RecordBatch:
+            ngrams, *counts = (np.concatenate(c) for c in zip(*held, strict=True))
+            order = np.argsort(ngrams, kind="stable")
+            ngrams = ngrams[order]
+            starts = np.flatnonzero(np.diff(ngrams, prepend=ngrams[0] - 1))
+            counts = [np.add.reduceat(c[order], starts) for c in counts]
+            ngrams = ngrams[starts]
+            tells = (ngrams < 0) | (counts[0] >= LEAST_RAW) | (counts[1] >= LEAST_TARGET) | (counts[2] >= LEAST_TOXIC_DOCS)
+            return pa.RecordBatch.from_arrays([pa.array(c[tells]) for c in (ngrams, *counts)], ["ngram", *COUNTS])
+
+        for batch in batches(iterator):
+            for part, ngrams, *counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != last and held:
+                    yield added()
+                    held = []
+                last = part
+                held.append((np.cumsum(_unpacked(ngrams)), *map(_unpacked, counts)))
+        if held:
+            yield added()
+
+    packed = marked.select("text", "is_toxic").mapInArrow(count, f"part int, ngrams binary, {', '.join(f'{c} binary' for c in COUNTS)}")
+    return cut(packed.repartition("part").sortWithinPartitions("part").mapInArrow(add, f"ngram long, {', '.join(f'{c} long' for c in COUNTS)}"))
 
 
 def log_ratios(counts: DataFrame) -> DataFrame:
     """ngram, ratio: log of target over raw probability in millionths, of those n-grams whose counts tell."""
     odd = F.col("ngram").bitwiseAND(F.lit(1))
-    totals = counts.where("ngram < 0").select(odd.alias("odd"), F.col("raw").alias("all_raw"), F.col("target").alias("all_target")).where("all_target > 0")
+    totals = counts.where(F.col("ngram").isin(ALL_WORDS, ALL_PAIRS)).select(odd.alias("odd"), F.col("raw").alias("all_raw"), F.col("target").alias("all_target")).where("all_target > 0")
     held = counts.where("ngram >= 0").withColumn("odd", odd).join(F.broadcast(totals), "odd")  # two rows
     held = held.withColumn("expected", F.col("raw") * F.col("all_target") / F.col("all_raw"))
     tells = F.abs(F.col("target") - F.col("expected")) >= MIN_Z * F.sqrt(F.col("expected") + 1)
     return cut(held.where(tells).select("ngram", F.round(F.ln((F.col("target") + PRIOR) / (F.col("expected") + PRIOR)) * 1_000_000).cast("long").alias("ratio")))
 
 
-def toxic_counts(docs: DataFrame, fit: DataFrame) -> DataFrame:
-    """ngram, toxic, good: labelled documents that hold it, where it may tell; row -1 has all documents.  fit: (doc_id, is_toxic), 2 * FIT_ROWS rows at most."""
-    marked = texts(docs).withColumn("k", id_key()).join(F.broadcast(fit.select(F.col("doc_id").alias("k"), "is_toxic")), "k")
-
-    def count(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = _Hasher()
-        for batch in batches(iterator):
-            found = [np.unique(hasher.keys(t)) for t in batch.column("text").to_pylist()]
-            toxic = np.repeat(np.asarray(batch.column("is_toxic").to_pylist(), bool), [len(g) + 1 for g in found])
-            # each document once more under -1, for the totals
-            ngrams, at = np.unique(np.concatenate([np.append(g, -1) for g in found]), return_inverse=True)
-            n_toxic, n = np.bincount(at[toxic], minlength=len(ngrams)), np.bincount(at, minlength=len(ngrams))
-            yield pa.RecordBatch.from_arrays([pa.array(ngrams), pa.array(n_toxic), pa.array(n - n_toxic)], ["ngram", "toxic", "good"])
-
-    counted = marked.select("text", "is_toxic").mapInArrow(count, "ngram long, toxic long, good long").groupBy("ngram").agg(F.sum("toxic").alias("toxic"), F.sum("good").alias("good"))
-    return cut(counted.where((F.col("ngram") < 0) | (F.col("toxic") >= LEAST_TOXIC_DOCS)))
-
-
 def toxic_ratios(counts: DataFrame) -> DataFrame:
     """ngram, toxic_ratio and held_out_ratio (without one of the good documents that hold it), in millionths; of those that reach LEAST_TOXIC."""
-    totals = counts.where("ngram < 0").select((F.col("toxic") / (F.col("toxic") + F.col("good"))).alias("share")).where("share > 0 AND share < 1")
+    totals = counts.where((F.col("ngram") == ALL_DOCS) & (F.col("toxic") > 0) & (F.col("good") > 0)).select((F.col("toxic") / (F.col("toxic") + F.col("good"))).alias("share"))
     toxic, good, share = F.col("toxic"), F.col("good"), F.col("share")
 
     def ratio(good):
         shrunk = lambda n, part: F.ln((n + TOXIC_PRIOR) / ((toxic + good) * part + TOXIC_PRIOR))
         return F.round((shrunk(toxic, share) - shrunk(good, 1 - share)) * 1_000_000).cast("long")
 
-    held = counts.where("ngram >= 0").crossJoin(F.broadcast(totals))  # one row
+    held = counts.where((F.col("ngram") >= 0) & (F.col("toxic") >= LEAST_TOXIC_DOCS)).crossJoin(F.broadcast(totals))  # one row
     rated = held.select("ngram", ratio(good).alias("toxic_ratio"), ratio(F.greatest(good - 1, F.lit(0))).alias("held_out_ratio"))
     return cut(rated.where(F.greatest("toxic_ratio", "held_out_ratio") >= LEAST_TOXIC * 1_000_000))
 
@@ -311,8 +341,8 @@ def resample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     judged = judged.where("is_toxic OR fine").select("doc_id", "is_toxic")
     chosen = lambda toxic: judged.where(F.col("is_toxic") == F.lit(toxic)).orderBy(F.xxhash64("doc_id")).limit(FIT_ROWS)
     good, bad = cut(chosen(False)), cut(chosen(True))
-    toxic = toxic_ratios(toxic_counts(docs, good.unionByName(bad)))
-    scored = cut(weights(docs, log_ratios(models(docs, good.select("doc_id"))), toxic))
+    counts = models(docs, good.unionByName(bad))
+    scored = cut(weights(docs, log_ratios(counts), toxic_ratios(counts)))
     cutoff, limit = _cutoffs(scored, good)
     decent = F.col("toxicity") <= F.lit(limit)
     k = scored.where(decent & (F.col("log_weight") >= F.lit(cutoff))).select("k").distinct().count()
