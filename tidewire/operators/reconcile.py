@@ -1,4 +1,4 @@
-"""Snapshots that absorb new rows: upserts, retirement, retention, greedy matching."""
+"""Snapshots that absorb new rows: upserts, retirement, retention, mutual best matches."""
 
 from __future__ import annotations
 
@@ -52,7 +52,7 @@ def overlaps(members: DataFrame, group: str, member: str, least: int) -> DataFra
 
 
 def best_match(candidates: DataFrame, left: str, right: str, score: str) -> DataFrame:
-    """One to one: pairs that are the best of both their ends (ties to the lesser id), which greedy matching takes first."""
+    """One to one: pairs that are the best of both their ends (ties to the lesser id), which greedy matching takes first; its further picks are not made."""
     place = lambda by, other: F.row_number().over(Window.partitionBy(by).orderBy(F.desc(score), other))
     return candidates.withColumn("__l", place(left, right)).withColumn("__r", place(right, left)).where("__l = 1 AND __r = 1").drop("__l", "__r")
 
