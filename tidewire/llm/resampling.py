@@ -1,7 +1,7 @@
 """Quality by importance resampling: n-gram models of target and raw text, Gumbel top-k.
 
 Words and word pairs are counted by Spark under hashes of 63 bits, so that the
-models grow with the corpus and no two n-grams share a count.  The raw model
+models grow with the corpus and n-grams share a count only where hashes collide.  The raw model
 counts them over all documents, the target model over the documents labelled good and not toxic.
 A document's importance weight is the ratio of its likelihoods under the two
 models; log weight plus Gumbel noise is its key, and the k largest keys are a
