@@ -3,14 +3,24 @@
 from __future__ import annotations
 
 import os
+import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; a local one only where that is unset and Spark runs in one process (tests)."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return configured.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"file:///tmp/tidewire-shared-{os.getuid()}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage: a reliable checkpoint in spark.checkpoint.dir, or in a local folder where that is unset (tests)."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """Cut lineage: a reliable checkpoint in the shared folder, which survives lost executors."""
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/tidewire-shared-{os.getuid()}")
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
