@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -10,38 +9,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.checkpoint import cut, shared_dir
+
 #: Stands in for a null id: such rows come after all others.
 LAST_ID = (1 << 63) - 1
+#: Ids in a list that is broadcast whole, 8 bytes each; longer lists are joined by merging.
+MOST_IDS = 2_000_000
+
+__all__ = ["LAST_ID", "batches", "cut", "fresh_dir", "id_key", "map_rows", "of_ids", "shared_dir", "table", "texts", "without_ids"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    fallback = f"file:///tmp/tidewire-shared-{os.getuid()}"
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
-
-
 def fresh_dir(spark: SparkSession, label: str) -> str:
     """A new path below the shared folder; Spark creates it when it writes."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
-
-
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) of every row; a null text is empty."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -52,6 +38,22 @@ def id_key(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column), F.lit(LAST_ID).cast("long"))
 
 
+def _joined(rows: DataFrame, ids: DataFrame, column: str, how: str) -> DataFrame:
+    ids = cut(ids.select(F.col(ids.columns[0]).cast("long").alias("__id")).where("__id IS NOT NULL").distinct())
+    listed = F.broadcast(ids) if ids.count() <= MOST_IDS else ids.hint("merge")
+    return rows.join(listed, id_key(column) == F.col("__id"), how)
+
+
+def of_ids(rows: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """The rows whose id (LAST_ID for null) is in the first column of ids; texts are shuffled only for a list longer than MOST_IDS."""
+    return _joined(rows, ids, column, "left_semi")
+
+
+def without_ids(rows: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """The rows whose id (LAST_ID for null) is not in the first column of ids."""
+    return _joined(rows, ids, column, "left_anti")
+
+
 def batches(iterator: Iterator[pa.RecordBatch], most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of bounded bytes (one row at least)."""
     for batch in iterator:

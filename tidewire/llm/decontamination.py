@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, id_key, table, texts
+from .common import batches, id_key, table, texts, without_ids
 
 SEED = 3
 RARE_DOCS = 50
@@ -234,5 +234,4 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of documents that no item contaminates."""
-    bad = matches(docs, items).where("contaminated").select(F.col("k").alias("__contaminated")).distinct()
-    return docs.join(bad.hint("merge"), id_key() == F.col("__contaminated"), "left_anti")
+    return without_ids(docs, matches(docs, items).where("contaminated").select("k"))

@@ -1,7 +1,7 @@
 """Quality by importance resampling: n-gram models of target and raw text, Gumbel top-k.
 
-Words and word pairs are counted by Spark under hashes of 63 bits, so that the
-models grow with the corpus and n-grams share a count only where hashes collide.  The raw model
+Words and word pairs are counted by Spark under hashes of as many bits as the corpus asks
+for (KEY_ROOM keys a byte of text), so that the models grow with it and n-grams rarely share a count.  The raw model
 counts them over all documents, the target model over the documents labelled good and not toxic.
 A document's importance weight is the ratio of its likelihoods under the two
 models; log weight plus Gumbel noise is its key, and the k largest keys are a
@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, cut, id_key, map_rows, table, texts
+from .common import batches, cut, id_key, map_rows, table, texts, without_ids
 
 PRIOR = 4.0
 MIN_Z = 5.0
@@ -52,14 +52,18 @@ MIN_Z = 5.0
 LEAST_RAW, LEAST_TARGET = 26, 5
 #: N-grams a task counts at once before it hands the counts on.
 COUNTED = 2_000_000
-#: Counts are added up in so many ranges of keys, 2 ** PARTS_BITS.
-PARTS_BITS = 12
+#: Keys a byte of text, as a power of two: under one n-gram in a hundred shares its key.
+KEY_ROOM = 5
+#: Counts are added up in 2 ** this many ranges of keys, at least and at most.
+PARTS_BITS = (12, 18)
+#: Counts of a range that a task holds before it adds them up.
+ADDED = 1_000_000
 #: Ratios sent to the tasks as a whole; 16 bytes each.
 MOST_BROADCAST = 4_000_000
 #: Stand for all documents, words and pairs; the last bit of a key tells pairs from words.
 ALL_DOCS, ALL_WORDS, ALL_PAIRS = -3, -2, -1
 COUNTS = ("raw", "target", "toxic", "good")
-TEMPERATURE = 0.05
+TEMPERATURE = 1.0
 FIT_ROWS = 200_000
 FIT_LOSS = 0.005
 #: A cutoff above this would reject documents that no n-gram speaks against.
@@ -79,10 +83,11 @@ _TOKEN = re.compile(r"\w+|[^\w\s]+")
 
 
 class _Hasher:
-    """Keys of a text's words (even) and pairs (odd)."""
+    """Keys of so many bits of a text's words (even) and pairs (odd)."""
 
-    def __init__(self) -> None:
+    def __init__(self, bits: int = 63) -> None:
         self.known: dict[str, int] = {}
+        self.drop = 63 - bits
 
     def keys(self, text: str) -> np.ndarray:
         words = _TOKEN.findall(text.lower())
@@ -100,29 +105,41 @@ class _Hasher:
         x = codes[:-1].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + codes[1:].view(np.uint64)
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         pairs = ((x ^ (x >> np.uint64(31))) >> np.uint64(1)).view(np.int64)
-        return np.concatenate([codes & ~1, pairs | 1])
+        return np.concatenate([(codes >> self.drop) & ~1, (pairs >> self.drop) | 1])
+
+
+def key_bits(docs: DataFrame, text_col: str = "text") -> int:
+    """Bits of an n-gram's key for these documents."""
+    held = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")).cast("long"))).first()[0] or 0
+    return min(63, max(32, int(held).bit_length() + KEY_ROOM))
 
 
 def _packed(numbers: np.ndarray) -> bytes:
-    """Longs by the places of their bytes, so that Spark's compression takes the zeros."""
-    return np.ascontiguousarray(numbers, np.int64).view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Numbers from 0 on by the places of their bytes, as many as the largest has."""
+    width = (int(numbers.max(initial=0)).bit_length() + 7) // 8
+    return np.ascontiguousarray(numbers, np.int64).view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
 
-def _unpacked(packed: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(8, -1).T).view(np.int64).reshape(-1)
+def _unpacked(packed: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    if packed:
+        planes = np.frombuffer(packed, np.uint8).reshape(-1, n)
+        out[:, : len(planes)] = planes.T
+    return out.view(np.int64).reshape(-1)
 
 
-def models(docs: DataFrame, fit: DataFrame) -> DataFrame:
+def models(docs: DataFrame, fit: DataFrame, bits: int = 63) -> DataFrame:
     """ngram and COUNTS: occurrences in the raw and the target text, toxic and good documents that hold it.
 
     fit: (doc_id, is_toxic), 2 * FIT_ROWS rows at most; those not toxic make the target text.  N-grams that cannot tell
     are left out; rows ALL_WORDS, ALL_PAIRS and ALL_DOCS have the totals.  Tasks hand on counts packed by range of keys.
     """
     marked = texts(docs).withColumn("k", id_key()).join(F.broadcast(fit.select(F.col("doc_id").alias("k"), "is_toxic")), "k", "left")
-    names = ["part", "ngrams", *COUNTS]
+    names = ["part", "n", "ngrams", *COUNTS]
+    part_bits = min(max(bits - 31, PARTS_BITS[0]), PARTS_BITS[1])
 
     def count(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = _Hasher()
+        hasher = _Hasher(bits)
         held: list[list[np.ndarray]] = [[] for _ in COUNTS]
         documents = [0, 0]
 
@@ -138,12 +155,13 @@ def models(docs: DataFrame, fit: DataFrame) -> DataFrame:
             for h in held:
                 h.clear()
             documents[:] = [0, 0]
-            at = np.searchsorted(ngrams >> (63 - PARTS_BITS), np.arange((1 << PARTS_BITS) + 1))
-            rows = [(-1, _packed(np.array([ALL_DOCS, 1, 1])), *map(_packed, map(np.array, totals)))]
+            at = np.searchsorted(ngrams >> (bits - part_bits), np.arange((1 << part_bits) + 1))
+            rows = [(-1, 3, b"", *map(_packed, map(np.array, totals)))]
             for part in np.flatnonzero(at[1:] > at[:-1]).tolist():
                 own = slice(at[part], at[part + 1])
-                rows.append((part, _packed(np.diff(ngrams[own], prepend=0)), *(_packed(c[own]) for c in counts)))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), *[pa.binary()] * (len(names) - 1)], strict=True)], names)
+                # the first key counts from where the range begins
+                rows.append((part, own.stop - own.start, _packed(np.diff(ngrams[own], prepend=part << (bits - part_bits))), *(_packed(c[own]) for c in counts)))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), pa.int32(), *[pa.binary()] * (len(names) - 2)], strict=True)], names)
 
         waiting = 0
         for batch in batches(iterator):
@@ -163,29 +181,36 @@ def models(docs: DataFrame, fit: DataFrame) -> DataFrame:
             yield counted()
 
     def add(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, []
+        last, held, waiting = None, [], 0
 
-        def added() -> pa.RecordBatch:
+        def added() -> list[np.ndarray]:
             ngrams, *counts = (np.concatenate(c) for c in zip(*held, strict=True))
             order = np.argsort(ngrams, kind="stable")
             ngrams = ngrams[order]
             starts = np.flatnonzero(np.diff(ngrams, prepend=ngrams[0] - 1))
-            counts = [np.add.reduceat(c[order], starts) for c in counts]
-            ngrams = ngrams[starts]
+            return [ngrams[starts], *(np.add.reduceat(c[order], starts) for c in counts)]
+
+        def told() -> pa.RecordBatch:
+            ngrams, *counts = added()
             tells = (ngrams < 0) | (counts[0] >= LEAST_RAW) | (counts[1] >= LEAST_TARGET) | (counts[2] >= LEAST_TOXIC_DOCS)
             return pa.RecordBatch.from_arrays([pa.array(c[tells]) for c in (ngrams, *counts)], ["ngram", *COUNTS])
 
-        for batch in batches(iterator):
-            for part, ngrams, *counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for batch in batches(iterator, 4 << 20):
+            for part, n, ngrams, *counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if part != last and held:
-                    yield added()
-                    held = []
+                    yield told()
+                    held, waiting = [], 0
+                elif waiting > ADDED and waiting > 2 * len(held[0][0]):
+                    held = [added()]
+                    waiting = len(held[0][0])
                 last = part
-                held.append((np.cumsum(_unpacked(ngrams)), *map(_unpacked, counts)))
+                keys = np.array([ALL_DOCS, ALL_WORDS, ALL_PAIRS]) if part < 0 else np.cumsum(_unpacked(ngrams, n)) + (part << (bits - part_bits))
+                held.append([keys, *(_unpacked(c, n) for c in counts)])
+                waiting += n
         if held:
-            yield added()
+            yield told()
 
-    packed = marked.select("text", "is_toxic").mapInArrow(count, f"part int, ngrams binary, {', '.join(f'{c} binary' for c in COUNTS)}")
+    packed = marked.select("text", "is_toxic").mapInArrow(count, f"part int, n int, ngrams binary, {', '.join(f'{c} binary' for c in COUNTS)}")
     return cut(packed.repartition("part").sortWithinPartitions("part").mapInArrow(add, f"ngram long, {', '.join(f'{c} long' for c in COUNTS)}"))
 
 
@@ -227,21 +252,21 @@ class _Table:
 
     def __init__(self, rows: DataFrame) -> None:
         found = rows.select("ngram", *VALUES).orderBy("ngram").toArrow()
-        self.ngrams, *values = (np.asarray(c.combine_chunks(), np.int64) for c in found.columns)
-        self.values = np.stack(values, 1)
+        self.ngrams = np.asarray(found.column(0).combine_chunks(), np.int64)
+        self.values = np.stack([np.asarray(c.combine_chunks(), np.int64).astype(np.int32) for c in found.columns[1:]], 1)  # millionths of logs of counts
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         if not len(self.ngrams):
-            return np.zeros((len(keys), len(VALUES)), np.int64)
+            return np.zeros((len(keys), len(VALUES)), np.int32)
         at = np.minimum(np.searchsorted(self.ngrams, keys), len(self.ngrams) - 1)
         return np.where((self.ngrams[at] == keys)[:, None], self.values[at], 0)
 
 
-def _joined_weights(docs: DataFrame, values: DataFrame) -> DataFrame:
+def _joined_weights(docs: DataFrame, values: DataFrame, bits: int) -> DataFrame:
     """k, doc_id, n_words, w and the toxicities of every row, by a join of its n-grams with the values."""
 
     def explode(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = _Hasher()
+        hasher = _Hasher(bits)
         for batch in batches(iterator, 1 << 20):
             found = [np.unique(hasher.keys(t), return_counts=True) for t in batch.column("text").to_pylist()]
             # a row's own line, of no n-gram, keeps rows that nothing joins; it bears the number of its words
@@ -259,23 +284,23 @@ def _joined_weights(docs: DataFrame, values: DataFrame) -> DataFrame:
     return joined.groupBy("row", "k", "doc_id").agg(F.sum(F.when(own, F.col("times"))).alias("n_words"), F.sum(F.when(own, F.lit(0)).otherwise(F.col("times") * F.col("ratio"))).alias("w"), *greatest).drop("row")
 
 
-def weights(docs: DataFrame, ratios: DataFrame, toxic: DataFrame | None = None) -> DataFrame:
+def weights(docs: DataFrame, ratios: DataFrame, toxic: DataFrame | None = None, bits: int = 63, temperature: float = TEMPERATURE) -> DataFrame:
     """k (the id, or LAST_ID), doc_id, n_words, log_weight, key, toxicity and held_out (toxicity as of a good document not counted) of every row."""
     rows = texts(docs).withColumn("k", id_key()).select("k", "doc_id", "text")
     none = F.lit(0).cast("long")
     values = ratios.join(toxic, "ngram", "full") if toxic is not None else ratios.select("*", *(none.alias(c) for c in VALUES[1:]))
     values = cut(values.select("ngram", *(F.coalesce(c, none).alias(c) for c in VALUES)))
     if values.count() > MOST_BROADCAST:
-        summed = _joined_weights(rows, values)
+        summed = _joined_weights(rows, values, bits)
     else:
         shared = docs.sparkSession.sparkContext.broadcast(_Table(values))
 
         def add(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hasher, table_ = _Hasher(), shared.value
+            hasher, table_ = _Hasher(bits), shared.value
             for batch in batches(iterator):
                 found = [hasher.keys(t) for t in batch.column("text").to_pylist()]
                 values = [table_(g) for g in found]
-                numbers = [[(len(g) + 1) // 2 for g in found], [int(v[:, 0].sum()) for v in values], *([int(v[:, i].max(initial=0)) for v in values] for i in (1, 2))]
+                numbers = [[(len(g) + 1) // 2 for g in found], [int(v[:, 0].sum(dtype=np.int64)) for v in values], *([int(v[:, i].max(initial=0)) for v in values] for i in (1, 2))]
                 yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("doc_id"), *(pa.array(n, pa.int64()) for n in numbers)], ["k", "doc_id", "n_words", "w", *VALUES[1:]])
 
         summed = rows.mapInArrow(add, "k long, doc_id long, n_words long, w long, toxic_ratio long, held_out_ratio long")
@@ -283,7 +308,7 @@ def weights(docs: DataFrame, ratios: DataFrame, toxic: DataFrame | None = None)
     def key(batch: pa.RecordBatch) -> pa.RecordBatch:
         k = np.asarray(batch.column("k"), np.int64)
         w, toxic, held_out = (np.asarray(batch.column(c), np.int64) / 1_000_000 for c in ("w", *VALUES[1:]))
-        return pa.RecordBatch.from_arrays([batch.column("k"), batch.column("doc_id"), batch.column("n_words"), *map(pa.array, (w, w / TEMPERATURE + _gumbel(k), toxic, held_out))], ["k", "doc_id", "n_words", "log_weight", "key", "toxicity", "held_out"])
+        return pa.RecordBatch.from_arrays([batch.column("k"), batch.column("doc_id"), batch.column("n_words"), *map(pa.array, (w, w / temperature + _gumbel(k), toxic, held_out))], ["k", "doc_id", "n_words", "log_weight", "key", "toxicity", "held_out"])
 
     return map_rows(summed, key, "k long, doc_id long, n_words long, log_weight double, key double, toxicity double, held_out double")
 
@@ -335,23 +360,29 @@ def _cutoffs(scored: DataFrame, good: DataFrame) -> tuple[float, float]:
     return -math.inf if least is None else min(float(least), HIGHEST_CUTOFF), LEAST_TOXIC if most is None else max(float(most), LEAST_TOXIC)
 
 
-def resample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, n_words, log_weight, key, selected for every row of docs."""
+def sampled(scored: DataFrame, k: int) -> DataFrame:
+    """The rows (k, key, decent, ...) with selected: whether a row is of the k largest keys of the decent ones."""
+    last = kth_largest(scored.where("decent"), k)
+    if last is None:
+        return scored.withColumn("selected", F.lit(False) if k <= 0 else F.col("decent"))
+    value, tied = last
+    return scored.withColumn("selected", F.col("decent") & ((micro() > value) | ((micro() == value) & (F.col("k") <= tied))))
+
+
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, temperature: float = TEMPERATURE) -> DataFrame:
+    """doc_id, n_words, log_weight, key, selected for every row of docs: k of them are selected, by default as many as the cutoffs let pass."""
     judged = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg((F.min("quality") >= 1).alias("fine"), (F.max(F.coalesce("toxic", F.lit(0))) >= 1).alias("is_toxic"))
     judged = judged.where("is_toxic OR fine").select("doc_id", "is_toxic")
     chosen = lambda toxic: judged.where(F.col("is_toxic") == F.lit(toxic)).orderBy(F.xxhash64("doc_id")).limit(FIT_ROWS)
     good, bad = cut(chosen(False)), cut(chosen(True))
-    counts = models(docs, good.unionByName(bad))
-    scored = cut(weights(docs, log_ratios(counts), toxic_ratios(counts)))
+    bits = key_bits(docs)
+    counts = models(docs, good.unionByName(bad), bits)
+    scored = cut(weights(docs, log_ratios(counts), toxic_ratios(counts), bits, temperature))
     cutoff, limit = _cutoffs(scored, good)
-    decent = F.col("toxicity") <= F.lit(limit)
-    k = scored.where(decent & (F.col("log_weight") >= F.lit(cutoff))).select("k").distinct().count()
-    last = kth_largest(scored.where(decent), k)
-    if last is None:
-        return scored.select("doc_id", "n_words", "log_weight", "key", F.lit(False).alias("selected"))
-    value, tied = last
-    chosen = decent & ((micro() > value) | ((micro() == value) & (F.col("k") <= tied)))
-    return scored.select("doc_id", "n_words", "log_weight", "key", chosen.alias("selected"))
+    scored = scored.withColumn("decent", F.col("toxicity") <= F.lit(limit))
+    if k is None:
+        k = scored.where(F.col("decent") & (F.col("log_weight") >= F.lit(cutoff))).select("k").distinct().count()
+    return sampled(scored, k).select("doc_id", "n_words", "log_weight", "key", "selected")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -360,5 +391,4 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def selected_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of documents that the sample takes."""
-    out = resample(docs, labels).where("NOT selected").select(id_key().alias("__unselected")).distinct()
-    return docs.join(out.hint("merge"), id_key() == F.col("__unselected"), "left_anti")  # the list grows with the data
+    return without_ids(docs, resample(docs, labels).where("NOT selected").select(id_key()))

@@ -9,8 +9,10 @@ For small radii the tiles are first divided by bit blocks: of 4 blocks of 16
 bits, 2 at least stay equal when 2 bits change, so fingerprints within the
 radius share one of 6 pairs of blocks.  The comparison within a tile is exact.
 
-The pipeline's stage (deduplicated_documents) takes 256 bits a text, dealt to
-tiles by size, and holds what lies within its radii against the shingles.
+The pipeline's stage (deduplicated_documents) takes 256 bits a text and holds
+what lies within its radii against the shingles.  Its tiles are those texts that
+share the least of their shingles under one of several hashes: similar texts
+share one almost surely, so that the work grows with the groups, not with all pairs.
 
 Defined cases: null text counts as empty; a text without words has fingerprint
 zero and is linked like any other; repeated rows share their fingerprint and so
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import batches, cut, map_rows, table, texts
+from .common import batches, cut, map_rows, of_ids, table, texts, without_ids
 
 SEED = 42
 #: Fingerprints in a tile, at most about.
@@ -229,42 +231,54 @@ STAGE_WIDTH, STAGE_SIMILARITY = 5, 0.8
 #: Bits in which the first word and all words of candidates' prints differ at most.  At Jaccard 0.8 a bit differs with
 #: probability 0.15 (0.19 for 4 against 5 shingles): under one pair in a thousand lies beyond either bound.
 STAGE_RADIUS, STAGE_WIDE_RADIUS = 22, 68
+#: Hashes of which the least shingle is taken.  Texts of Jaccard 0.8 share none of them with probability 0.2 ** SLOTS, 6.4e-5.
+SLOTS = 6
 #: Prints in a tile of the stage, at most about, and rows of it compared at once.
-STAGE_TILE, STAGE_BLOCK = 16_384, 128
+STAGE_TILE, STAGE_BLOCK = 8192, 128
+#: Keys with more prints than a tile that are broadcast with their counts; more are joined.
+MOST_HOT = 1_000_000
 #: The words of a print: the fingerprint, and those of the same hashes mixed anew.
 WORDS = ("fp", "fp1", "fp2", "fp3")
+#: The least shingles, 32 bits each, two to a long.
+LEAST = ("least0", "least1", "least2")
+PRINT = (*WORDS, *LEAST)
 
 
-def wide_fingerprint(hashes: np.ndarray) -> list[int]:
-    """256 bits in WORDS: a pair's distance in them tells its similarity closer than 64 bits do."""
-    out = [fingerprint(hashes)]
-    for i in range(1, len(WORDS)):
+def wide_print(hashes: np.ndarray) -> np.ndarray:
+    """PRINT of a set of hashes: 256 bits, which tell similarity closer than 64 do, and the least hash of each slot (all ones without hashes)."""
+    words, least = [], np.full(SLOTS, 0xFFFFFFFF, np.uint32)
+    for i in range(SLOTS):
         x = hashes + np.uint64(i * 0x9E3779B97F4A7C15 % (1 << 64))
-        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)) if i else ():
             x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-        out.append(fingerprint(x ^ (x >> np.uint64(31))))
-    return out
+        x = x ^ (x >> np.uint64(31)) if i else x
+        if i < len(WORDS):
+            words.append(fingerprint(x))
+        if len(x):
+            least[i] = x.min() >> np.uint64(32)
+    return np.concatenate([np.array(words, np.uint64).view(np.int64), least.view(np.int64)])
 
 
 def wide_fingerprints(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, WORDS (signed longs) and n_shingles (distinct ones) for every row."""
+    """doc_id, PRINT (signed longs) and n_shingles (distinct ones) for every row."""
 
     def scan(batch: pa.RecordBatch) -> pa.RecordBatch:
         hashes = [shingle_hashes(t, width, True) for t in batch.column("text").to_pylist()]
-        words = np.array([wide_fingerprint(h) for h in hashes], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(words[:, i]) for i in range(len(WORDS))), pa.array([len(h) for h in hashes], pa.int64())], ["doc_id", *WORDS, "n_shingles"])
+        prints = np.stack([wide_print(h) for h in hashes])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(prints[:, i]) for i in range(len(PRINT))), pa.array([len(h) for h in hashes], pa.int64())], ["doc_id", *PRINT, "n_shingles"])
 
-    return map_rows(texts(docs), scan, f"doc_id long, {', '.join(f'{w} long' for w in WORDS)}, n_shingles long")
+    return map_rows(texts(docs), scan, f"doc_id long, {', '.join(f'{w} long' for w in PRINT)}, n_shingles long")
 
 
-def _candidates(a: np.ndarray, b: np.ndarray | None, forest: bool) -> Iterator[np.ndarray]:
-    """Pairs of ids from two tiles, or from one (b is None), block by block; rows are (id, class, n, *WORDS).
+def _candidates(a: np.ndarray, b: np.ndarray | None, slot: int, forest: bool) -> Iterator[np.ndarray]:
+    """Pairs of ids from two tiles, or from one (b is None), block by block; rows are (id, class, n, *PRINT).
 
-    Pairs of one class are left out.  As a forest: each row comes with the nearest of a block only, and what a pair
-    connects is one class from there on.
+    Pairs of one class are left out, and those that share the least shingle of an earlier slot.  As a forest: each row
+    comes with the nearest of a block only, and what a pair connects is one class from there on.
     """
     rows = a if b is None else np.concatenate([a, b])
-    classes, prints = np.unique(rows[:, 1], return_inverse=True)[1], np.ascontiguousarray(rows[:, 3:]).view(np.uint64)
+    classes, prints = np.unique(rows[:, 1], return_inverse=True)[1], np.ascontiguousarray(rows[:, 3 : 3 + len(WORDS)]).view(np.uint64)
+    least = np.ascontiguousarray(rows[:, 3 + len(WORDS) :]).view(np.uint32)
     sizes = rows[:, 2]
     for start in range(0, len(a), STAGE_BLOCK):
         stop = min(start + STAGE_BLOCK, len(a))
@@ -274,6 +288,7 @@ def _candidates(a: np.ndarray, b: np.ndarray | None, forest: bool) -> Iterator[n
         keep = (x < y) & (classes[x] != classes[y])
         x, y = x[keep], y[keep]
         keep = np.minimum(sizes[x], sizes[y]) >= STAGE_SIMILARITY * np.maximum(sizes[x], sizes[y])
+        keep &= ~(least[x, :slot] == least[y, :slot]).any(1)
         x, y = x[keep], y[keep]
         bits = np.zeros(len(x), np.int64)
         for word in range(len(WORDS)):
@@ -294,64 +309,70 @@ def _candidates(a: np.ndarray, b: np.ndarray | None, forest: bool) -> Iterator[n
 
 
 def candidates(prints: DataFrame, forest: bool) -> DataFrame:
-    """Pairs (a, b) of ids of rows (id, class, n, *WORDS) that may be similar to STAGE_SIMILARITY and are of different classes; each pair once.
+    """Pairs (a, b) of ids of rows (id, class, n, *PRINT) that may be similar to STAGE_SIMILARITY and are of different classes; each pair once.
 
-    Rows are dealt to tiles by size: similar ones lie in the same or the next band.
+    Rows with one least shingle in a slot make a tile, or several that are compared pair by pair.
     """
-    band = F.floor(F.ln(F.greatest("n", F.lit(1))) / F.lit(float(np.log(1 / STAGE_SIMILARITY)))).cast("int")
-    columns = ["id", "class", "n", *WORDS]
-    sized = prints.select(*columns, band.alias("band"))
-    held = sized.groupBy("band").agg(F.ceil(F.count("*") / STAGE_TILE).cast("int").alias("parts"))
-    cells = F.broadcast(held.agg(F.collect_list(F.struct("band", "parts")).alias("cells")))  # one row; bands grow with the log of the longest text
-    number = lambda band, part: band.cast("long") * 1_000_000 + part
-    parts = F.element_at(F.filter("cells", lambda c: c["band"] == F.col("band")), 1)["parts"]
-    close = F.filter("cells", lambda c: F.abs(c["band"] - F.col("band")) <= 1)
-    others = F.flatten(F.transform(close, lambda c: F.transform(F.sequence(F.lit(0), c["parts"] - 1), lambda i: number(c["band"], i))))
-    dealt = sized.crossJoin(cells).withColumn("own", number(F.col("band"), F.pmod(F.xxhash64("id"), parts))).select("own", *columns, F.explode(others).alias("other"))
-    tile = ["one", "two"]
-    dealt = dealt.select(F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", *columns).repartition(*tile).sortWithinPartitions(*tile, "own", "id")
+    columns = ["id", "class", "n", *PRINT]
+    half = lambda i: F.shiftrightunsigned(F.col(LEAST[i // 2]), 32 * (i % 2)).bitwiseAND(F.lit(0xFFFFFFFF))
+    keyed = prints.select(*columns, F.explode(F.array(*[F.struct(F.lit(i).alias("slot"), half(i).alias("key")) for i in range(SLOTS)])).alias("k"))
+    keyed = keyed.select(F.col("k.slot").alias("slot"), F.col("k.key").alias("key"), *columns)
+    hot = cut(keyed.groupBy("slot", "key").agg(F.ceil(F.count("*") / STAGE_TILE).cast("int").alias("parts")).where("parts > 1"))
+    n_hot = hot.count()
+    if n_hot:
+        keyed = keyed.join(F.broadcast(hot) if n_hot <= MOST_HOT else hot, ["slot", "key"], "left")
+        parts = F.coalesce("parts", F.lit(1))
+        own = F.pmod(F.xxhash64("id"), parts).cast("int")
+        keyed = keyed.select("slot", "key", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"), *columns)
+    else:
+        keyed = keyed.select("slot", "key", F.lit(0).alias("own"), F.lit(0).alias("other"), *columns)
+    tile = ["slot", "key", "one", "two"]
+    dealt = keyed.select("slot", "key", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", *columns).repartition(*tile).sortWithinPartitions(*tile, "own", "id")
 
     def run(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         for batch in itertools.chain(batches(iterator), [None]):
             if batch is not None:
                 held.append(np.stack([np.asarray(c, np.int64) for c in batch.columns], 1))
-                if (held[0][0, :2] == held[-1][-1, :2]).all():
+                if (held[0][0, :4] == held[-1][-1, :4]).all():
                     continue
             if not held:
                 break
             data = np.concatenate(held)
-            edges = np.flatnonzero((data[1:, :2] != data[:-1, :2]).any(1)) + 1
-            ends = [*edges.tolist(), *([len(data)] if batch is None else [])]
-            start = 0
-            for end in ends:
+            edges = np.flatnonzero((data[1:, :4] != data[:-1, :4]).any(1)) + 1
+            ends = np.append(edges, len(data)) if batch is None else edges
+            starts = np.append(0, edges)[: len(ends)]
+            several = ends - starts > 1
+            for start, end in zip(starts[several].tolist(), ends[several].tolist(), strict=True):
                 part = data[start:end]
-                one, two = part[0, 0], part[0, 1]
-                a, b = (part[:, 3:], None) if one == two else (part[part[:, 2] == one, 3:], part[part[:, 2] == two, 3:])
-                for pairs in _candidates(a, b, forest):
+                slot, _, one, two = part[0, :4].tolist()
+                a, b = (part[:, 5:], None) if one == two else (part[part[:, 4] == one, 5:], part[part[:, 4] == two, 5:])
+                for pairs in _candidates(a, b, slot, forest):
                     yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
-                start = end
-            held = [data[start:]] if start < len(data) else []
+            rest = int(ends[-1]) if len(ends) else 0
+            held = [data[rest:]] if rest < len(data) else []
 
     return dealt.mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of ids whose sets of shingles are so similar (Jaccard)."""
+    """The pairs (a, b) of ids whose sets of shingles are so similar (Jaccard).
+
+    Shingles travel as 32 bits of their hash: of n shingles about n / 2 ** 32 of them may be taken for others.
+    """
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
 
     def shingles(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingle_hashes(t, width, True).tobytes() for t in batch.column("text").to_pylist()]
+        sets = [np.unique(shingle_hashes(t, width, True) >> np.uint64(32)).astype(np.uint32).tobytes() for t in batch.column("text").to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "grams"])
 
-    wanted = texts(docs).join(ids.hint("merge"), "doc_id", "left_semi")
-    grams = map_rows(wanted, shingles, "doc_id long, grams binary").dropDuplicates(["doc_id"])
+    grams = map_rows(of_ids(texts(docs), ids), shingles, "doc_id long, grams binary").dropDuplicates(["doc_id"])
     both = pairs.join(grams.select(F.col("doc_id").alias("a"), F.col("grams").alias("ga")), "a").join(grams.select(F.col("doc_id").alias("b"), F.col("grams").alias("gb")), "b")
 
     def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
         ok = []
         for x, y in zip(batch.column("ga").to_pylist(), batch.column("gb").to_pylist(), strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
             common = len(np.intersect1d(x, y, assume_unique=True))
             ok.append(common >= similarity * (len(x) + len(y) - common))
         return pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
@@ -370,13 +391,15 @@ def deduplicated_documents(docs: DataFrame) -> DataFrame:
     repeat an id one stays; rows with a null id stay.
     """
     own = cut(wide_fingerprints(docs.where("doc_id IS NOT NULL"), STAGE_WIDTH))
-    prints = cut(own.groupBy(*WORDS).agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n")))
+    prints = cut(own.groupBy(*PRINT).agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n")))
     verified = lambda rows, forest: cut(_verified(cut(candidates(rows, forest)), docs, STAGE_WIDTH, STAGE_SIMILARITY))
     first = verified(prints.withColumn("class", F.col("id")), True)
     joined = connected_components(first, cut)
-    classed = cut(prints.join(joined, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("class"), "n", *WORDS))
+    classed = cut(prints.join(joined, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("class"), "n", *PRINT))
     component = connected_components(first.unionByName(verified(classed, False)), cut)
     heads = prints.select("id").join(component, F.col("id") == F.col("node"), "left").where("component IS NULL OR component = id").select(F.col("id").alias("doc_id")).distinct()
+    copies = own.select("doc_id").distinct().join(heads, "doc_id", "left_anti")
     once = own.groupBy("doc_id").count().where("count > 1").isEmpty()
-    kept = (docs if once else docs.dropDuplicates(["doc_id"])).join(heads.hint("merge"), "doc_id", "left_semi")
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    if not once:
+        docs = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+    return without_ids(docs, copies)
