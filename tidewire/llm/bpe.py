@@ -16,8 +16,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 import re
+import tempfile
 from array import array
+from collections import ChainMap
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,24 +30,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import batches, table, texts
 
-#: Entries that the table of known stretches holds before it is emptied.
-KNOWN = 600_000
-#: Pieces that one recursive query takes.
-PIECES = 60_000
-#: Bytes of a piece above which a step contracts all its pairs of the least rank, where that comes to the same.
-LONG_PIECE = 256
+#: Entries that the tables of known stretches and of known pieces hold before they are emptied.
+KNOWN, KNOWN_PIECES = 250_000, 150_000
+#: Bytes of the pieces that one recursive query takes (one piece at least), and steps after which it hands on what is not done.
+QUERY_BYTES, STEPS = 400_000, 16
+#: Memory of a task's database; what goes beyond is spilled to the task's own scratch folder.
+MEMORY = "128MB"
 
-#: One contraction a piece and step: its leftmost pair of least rank.  Rows also hold what stands to the right, so that a step takes hash joins only.
-_ENCODE = """
+_LAST = f"""last AS (SELECT piece, max(step) AS step FROM state GROUP BY piece)
+SELECT piece, list(tok ORDER BY pos) AS ids, step = {STEPS} AS unfinished FROM state JOIN last USING (piece, step) GROUP BY piece, step ORDER BY piece"""
+
+#: A step contracts each piece's leftmost pair of least rank.  Rows also hold what stands to the right, so that a step takes hash joins only.
+_ENCODE = f"""
 WITH RECURSIVE state(step, piece, pos, next_pos, tok, next_tok) AS (
   SELECT 0, piece, pos, next_pos, tok, next_tok FROM fresh
   UNION ALL
   (WITH best AS (
      SELECT s.piece, min((m.made::BIGINT << 32) | s.pos) AS pair
-     FROM state s JOIN merges m ON m.pair = (s.tok::BIGINT << 32) | s.next_tok
-     WHERE s.next_pos >= 0 GROUP BY s.piece),
+     FROM state s JOIN ranked m ON m.pair = (s.tok::BIGINT << 32) | s.next_tok
+     WHERE s.next_pos >= 0 AND s.step < {STEPS} GROUP BY s.piece),
    chosen AS (
-     SELECT b.piece, l.pos AS at, (b.pair >> 32)::INT AS made, r.pos AS gone, r.next_pos, r.next_tok
+     SELECT b.piece, l.pos AS at, (b.pair >> 33)::INT AS made, r.pos AS gone, r.next_pos, r.next_tok
      FROM best b
      JOIN state l ON l.piece = b.piece AND l.pos = b.pair & 4294967295
      JOIN state r ON r.piece = b.piece AND r.pos = l.next_pos)
@@ -54,28 +60,43 @@ WITH RECURSIVE state(step, piece, pos, next_pos, tok, next_tok) AS (
           CASE WHEN s.pos = c.at THEN c.next_tok WHEN s.next_pos = c.at THEN c.made ELSE s.next_tok END
    FROM state s JOIN chosen c USING (piece)
    WHERE s.pos <> c.gone)
-), last AS (SELECT piece, max(step) AS step FROM state GROUP BY piece)
-SELECT piece, list(tok ORDER BY pos) AS ids FROM state JOIN last USING (piece, step) GROUP BY piece ORDER BY piece
+), {_LAST}
 """
 
-#: For long pieces: where no pair with the token made has a lower rank than it, the piece's other pairs of that rank
-#: come next anyway, so one step contracts them all, leftmost first.  Only the last step's rows are kept.
-_ENCODE_LONG = """
-WITH RECURSIVE state(piece, pos, tok, step) USING KEY (piece, pos) AS (
-  SELECT piece, pos, tok, 0 FROM fresh
+#: For pieces that so many steps do not finish.  A step contracts each piece's pairs of least rank, leftmost first.  Where the token made takes part in no merge of lower rank
+#: (calm: an even number in ranked), the piece's other pairs of that rank come next whatever the first one gave, so they
+#: go in the same step; else only the leftmost does.
+_ENCODE_ON = f"""
+WITH RECURSIVE state(step, piece, pos, next_pos, tok, next_tok) AS (
+  SELECT 0, piece, pos, next_pos, tok, next_tok FROM fresh
   UNION ALL
-  (WITH beside AS (
-     SELECT piece, pos, tok, row_number() OVER w AS place, lead(tok) OVER w AS next_tok
-     FROM (SELECT * FROM recurring.state WHERE tok >= 0) WINDOW w AS (PARTITION BY piece ORDER BY pos)),
-   pairs AS (SELECT b.piece, b.place, m.made, m.calm FROM beside b JOIN merges m ON m.pair = (b.tok::BIGINT << 32) | b.next_tok),
-   least AS (SELECT piece, made, calm, place, row_number() OVER (PARTITION BY piece ORDER BY place) AS nth
-             FROM (SELECT *, min(made) OVER (PARTITION BY piece) AS low FROM pairs) WHERE made = low),
-   runs AS (SELECT piece, made, calm, place, nth, row_number() OVER (PARTITION BY piece, place - nth ORDER BY place) AS in_run FROM least),
-   chosen AS (SELECT piece, made, place FROM runs WHERE (calm AND in_run % 2 = 1) OR nth = 1)
-   SELECT b.piece, b.pos, CASE WHEN c.place = b.place THEN c.made ELSE -1 END, 0
-   FROM beside b JOIN chosen c ON c.piece = b.piece AND (b.place = c.place OR b.place = c.place + 1))
-)
-SELECT piece, list(tok ORDER BY pos) AS ids FROM state WHERE tok >= 0 GROUP BY piece ORDER BY piece
+  (WITH pairs AS MATERIALIZED (
+     SELECT s.piece, s.pos, s.next_pos, m.made FROM state s JOIN ranked m ON m.pair = (s.tok::BIGINT << 32) | s.next_tok
+     WHERE s.next_pos >= 0 AND s.step < {STEPS}),
+   low AS (SELECT piece, min((made::BIGINT << 32) | pos) AS pair FROM pairs GROUP BY piece),
+   least AS MATERIALIZED (
+     SELECT p.piece, p.pos, p.next_pos, p.made, p.pos > w.pair & 4294967295 AS further
+     FROM pairs p JOIN low w ON w.piece = p.piece AND p.made = w.pair >> 32
+     WHERE p.made % 2 = 0 OR p.pos = w.pair & 4294967295),
+   linked AS (
+     SELECT piece, pos, lag(next_pos, 1, -1) OVER w <> pos AS begins, row_number() OVER w AS nth
+     FROM least WHERE piece IN (SELECT piece FROM least WHERE further) WINDOW w AS (PARTITION BY piece ORDER BY pos)),
+   overlapping AS (
+     SELECT piece, pos FROM (
+       SELECT *, nth - max(CASE WHEN begins THEN nth END) OVER (PARTITION BY piece ORDER BY pos ROWS UNBOUNDED PRECEDING) AS in_run FROM linked)
+     WHERE in_run % 2 = 1),
+   chosen AS MATERIALIZED (SELECT piece, pos, next_pos AS gone, made // 2 AS made FROM least ANTI JOIN overlapping USING (piece, pos)),
+   acts AS (
+     SELECT c.piece, c.pos, c.made, r.next_pos, r.next_tok FROM chosen c JOIN state r ON r.piece = c.piece AND r.pos = c.gone
+     UNION ALL SELECT piece, gone, -1, 0, 0 FROM chosen),
+   merged AS (
+     SELECT s.step + 1 AS step, s.piece, s.pos, CASE WHEN c.made IS NULL THEN s.next_pos ELSE c.next_pos END AS next_pos,
+            coalesce(c.made, s.tok) AS tok, CASE WHEN c.made IS NULL THEN s.next_tok ELSE c.next_tok END AS next_tok
+     FROM state s SEMI JOIN low w ON w.piece = s.piece LEFT JOIN acts c ON c.piece = s.piece AND c.pos = s.pos
+     WHERE c.made IS NULL OR c.made >= 0)
+   SELECT m.step, m.piece, m.pos, m.next_pos, m.tok, coalesce(n.made, m.next_tok)
+   FROM merged m LEFT JOIN chosen n ON n.piece = m.piece AND n.pos = m.next_pos)
+), {_LAST}
 """
 
 _DECODE = """
@@ -92,25 +113,29 @@ class Codec:
         import regex
 
         self.pattern = regex.compile(pattern)
+        # where another pattern cuts is not known, so that its texts are looked up whole
+        self.units = units if pattern == default_pattern() else lambda text: [text] if text else []
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
+        self.scratch = tempfile.TemporaryDirectory(dir=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None)  # goes with the worker
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": self.scratch.name})
         rows = [(ranks[t[:s]], ranks[t[s:]], r) for t, r in ranks.items() for s in range(1, len(t)) if t[:s] in ranks and t[s:] in ranks]
         lowest: dict[int, int] = {}  # the lowest rank that a token takes part in making
         for left, right, made in rows:
             lowest[left] = min(lowest.get(left, made), made)
             lowest[right] = min(lowest.get(right, made), made)
         left, right, made = zip(*rows, strict=True)
-        calm = [lowest.get(m, m) >= m for m in made]
-        self._load("merges", ([(a << 32) | b for a, b in zip(left, right, strict=True)], made, calm), ("pair", "made", "calm"))
+        ranked = [2 * m + (lowest.get(m, m) < m) for m in made]
+        self._load("ranked", ([(a << 32) | b for a, b in zip(left, right, strict=True)], ranked), ("pair", "made"))
         self._load("vocabulary", (list(self.bytes_of), [b.hex() for b in self.bytes_of.values()]), ("id", "bytes_hex"))
         self.whole = {t: array("i", [r]).tobytes() for t, r in ranks.items()}
         self.decimal = [str(i) for i in range(max(ranks.values()) + 1)]
         self.known: dict[str, bytes] = {}
+        self.pieces: dict[bytes, bytes] = {}
 
     def _load(self, name: str, columns, names: tuple[str, ...]) -> None:
-        kinds = {"bytes_hex": pa.string(), "pair": pa.int64(), "calm": pa.bool_()}
+        kinds = {"bytes_hex": pa.string(), "pair": pa.int64()}
         loaded = pa.table([pa.array(c, kinds.get(n, pa.int32())) for c, n in zip(columns, names, strict=True)], names=list(names))
         self.db.register("loaded", loaded)
         self.db.execute(f"CREATE TABLE {name} AS FROM loaded")
@@ -119,38 +144,55 @@ class Codec:
     def _merge(self, pieces: list[bytes]) -> list[bytes]:
         """The recursive query over distinct pieces that are no tokens themselves; ids as bytes of int32."""
         out = [b""] * len(pieces)
-        long = [i for i, p in enumerate(pieces) if len(p) > LONG_PIECE]
-        short = [i for i, p in enumerate(pieces) if len(p) <= LONG_PIECE]
-        for query, numbers, most in ((_ENCODE, short, PIECES), (_ENCODE_LONG, long, 16)):
-            for start in range(0, len(numbers), most):
-                some = numbers[start : start + most]
-                sizes = np.array([len(pieces[i]) for i in some])
-                codes = np.frombuffer(b"".join(pieces[i] for i in some), np.uint8)
-                pos = (np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
-                tok, ends = self.single[codes], np.cumsum(sizes) - 1
-                next_pos, next_tok = pos + 1, np.append(tok[1:], 0).astype(np.int32)
-                next_pos[ends], next_tok[ends] = -1, 0
-                fresh = pa.table({"piece": np.repeat(np.arange(len(some), dtype=np.int32), sizes), "pos": pos, "next_pos": next_pos.astype(np.int32), "tok": tok, "next_tok": next_tok})
-                self.db.register("fresh", fresh)
-                found = self.db.sql(query).to_arrow_table().column("ids").combine_chunks()
-                self.db.unregister("fresh")
-                at = (4 * np.asarray(found.offsets, np.int64)).tolist()
-                raw = np.asarray(found.values, np.int32).tobytes()
-                for i, x, y in zip(some, at[:-1], at[1:], strict=True):
-                    out[i] = raw[x:y]
+        ends = np.cumsum([len(p) for p in pieces])
+        start = 0
+        while start < len(pieces):
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + QUERY_BYTES, side="right")))
+            todo = {i: self.single[np.frombuffer(pieces[i], np.uint8)] for i in range(start, stop)}
+            todo = self._contract(_ENCODE, todo, out)
+            while todo:
+                todo = self._contract(_ENCODE_ON, todo, out)
+            start = stop
         return out
 
+    def _contract(self, query: str, todo: dict[int, np.ndarray], out: list[bytes]) -> dict[int, np.ndarray]:
+        """One recursive query over pieces given as tokens: what is done goes to out, the rest comes back."""
+        sizes = np.array([len(t) for t in todo.values()])
+        tok = np.concatenate(list(todo.values()))
+        pos = (np.arange(len(tok)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
+        ends = np.cumsum(sizes) - 1
+        next_pos, next_tok = pos + np.int32(1), np.append(tok[1:], 0).astype(np.int32)
+        next_pos[ends], next_tok[ends] = -1, 0
+        fresh = pa.table({"piece": np.repeat(np.array(list(todo), np.int32), sizes), "pos": pos, "next_pos": next_pos, "tok": tok, "next_tok": next_tok})
+        self.db.register("fresh", fresh)
+        found = self.db.sql(query).to_arrow_table().combine_chunks()
+        self.db.unregister("fresh")
+        ids = found.column("ids").combine_chunks()
+        at, values = np.asarray(ids.offsets, np.int64).tolist(), np.asarray(ids.values, np.int32)
+        rest = {}
+        for i, x, y, unfinished in zip(found.column("piece").to_pylist(), at[:-1], at[1:], found.column("unfinished").to_pylist(), strict=True):
+            if unfinished:
+                rest[i] = values[x:y]
+            else:
+                out[i] = values[x:y].tobytes()
+        return rest
+
     def _learn(self, units: list[str]) -> None:
         """Fill the table of known units; a unit is a stretch of text that the pattern cuts alike wherever it stands."""
         cut = [[p.encode("utf-8", "replace") for p in self.pattern.findall(u)] for u in units]
-        fresh = list({p for ps in cut for p in ps if p not in self.whole})
-        found = {**self.whole, **dict(zip(fresh, self._merge(fresh), strict=True))} if fresh else self.whole
+        fresh = {p for ps in cut for p in ps if p not in self.whole and p not in self.pieces}
+        if len(self.pieces) + len(fresh) > KNOWN_PIECES:
+            self.pieces.clear()
+            fresh = {p for ps in cut for p in ps if p not in self.whole}
+        if fresh:
+            self.pieces.update(zip(fresh, self._merge(list(fresh)), strict=True))
+        found = {**self.pieces, **self.whole}
         for unit, pieces in zip(units, cut, strict=True):
             self.known[unit] = found[pieces[0]] if len(pieces) == 1 else b"".join([found[p] for p in pieces])
 
     def encode(self, texts_: list[str]) -> list[bytes]:
         """The ids of each text, as bytes of int32."""
-        cut = [units(t) for t in texts_]
+        cut = [self.units(t) for t in texts_]
         fresh = {u for us in cut for u in us if u not in self.known}
         if len(self.known) + len(fresh) > KNOWN:
             self.known.clear()

@@ -74,7 +74,7 @@ TOXIC_PRIOR = 4.0
 LEAST_TOXIC, LEAST_TOXIC_DOCS = 1.0, 3
 SEED = 20240229
 #: Words whose hashes a task keeps.
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 300_000
 
 #: What is known of an n-gram, in millionths.
 VALUES = ("ratio", "toxic_ratio", "held_out_ratio")
@@ -82,26 +82,28 @@ VALUES = ("ratio", "toxic_ratio", "held_out_ratio")
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 
 
+class _Codes(dict):
+    """Hashes of words, made when first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        code = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), SEED) >> 1
+        return code
+
+
 class _Hasher:
     """Keys of so many bits of a text's words (even) and pairs (odd)."""
 
     def __init__(self, bits: int = 63) -> None:
-        self.known: dict[str, int] = {}
+        self.known = _Codes()
         self.drop = 63 - bits
 
     def keys(self, text: str) -> np.ndarray:
         words = _TOKEN.findall(text.lower())
         if not words:
             return np.zeros(0, np.int64)
-        known = self.known
-        fresh = {w for w in words if w not in known}
-        if fresh:
-            if len(known) + len(fresh) > KNOWN_WORDS:
-                known.clear()
-                fresh = set(words)
-            for w in fresh:
-                known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), SEED) >> 1
-        codes = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        codes = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        if len(self.known) > KNOWN_WORDS:
+            self.known.clear()
         x = codes[:-1].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + codes[1:].view(np.uint64)
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         pairs = ((x ^ (x >> np.uint64(31))) >> np.uint64(1)).view(np.int64)
@@ -248,18 +250,25 @@ def _gumbel(ids: np.ndarray) -> np.ndarray:
 
 
 class _Table:
-    """The values VALUES of n-grams, looked up for arrays of keys; 0 where there is none."""
+    """The values VALUES of n-grams, looked up for arrays of keys."""
 
     def __init__(self, rows: DataFrame) -> None:
         found = rows.select("ngram", *VALUES).orderBy("ngram").toArrow()
         self.ngrams = np.asarray(found.column(0).combine_chunks(), np.int64)
         self.values = np.stack([np.asarray(c.combine_chunks(), np.int64).astype(np.int32) for c in found.columns[1:]], 1)  # millionths of logs of counts
 
+        # most keys of a text are not in the table, which one look at a bit of theirs tells
+        self.mask = (1 << (len(self.ngrams).bit_length() + 3)) - 1
+        self.maybe = np.zeros(self.mask + 1, bool)
+        self.maybe[self.ngrams & self.mask] = True
+
     def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """Values of those keys that have any."""
+        keys = keys[self.maybe[keys & self.mask]]
         if not len(self.ngrams):
-            return np.zeros((len(keys), len(VALUES)), np.int32)
+            return np.zeros((0, len(VALUES)), np.int32)
         at = np.minimum(np.searchsorted(self.ngrams, keys), len(self.ngrams) - 1)
-        return np.where((self.ngrams[at] == keys)[:, None], self.values[at], 0)
+        return self.values[at[self.ngrams[at] == keys]]
 
 
 def _joined_weights(docs: DataFrame, values: DataFrame, bits: int) -> DataFrame:
