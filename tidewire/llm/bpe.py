@@ -21,8 +21,8 @@ import re
 import tempfile
 from array import array
 from collections import ChainMap
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -109,17 +109,13 @@ class Codec:
     """Encoder and decoder for one rank file, with a database of its own."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
-        import duckdb
         import regex
 
         self.pattern = regex.compile(pattern)
         # where another pattern cuts is not known, so that its texts are looked up whole
         self.units = units if pattern == default_pattern() else lambda text: [text] if text else []
         self.ranks = ranks
-        self.bytes_of = {i: b for b, i in ranks.items()}
         self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
-        self.scratch = tempfile.TemporaryDirectory(dir=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None)  # goes with the worker
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": self.scratch.name})
         rows = [(ranks[t[:s]], ranks[t[s:]], r) for t, r in ranks.items() for s in range(1, len(t)) if t[:s] in ranks and t[s:] in ranks]
         lowest: dict[int, int] = {}  # the lowest rank that a token takes part in making
         for left, right, made in rows:
@@ -127,19 +123,36 @@ class Codec:
             lowest[right] = min(lowest.get(right, made), made)
         left, right, made = zip(*rows, strict=True)
         ranked = [2 * m + (lowest.get(m, m) < m) for m in made]
-        self._load("ranked", ([(a << 32) | b for a, b in zip(left, right, strict=True)], ranked), ("pair", "made"))
-        self._load("vocabulary", (list(self.bytes_of), [b.hex() for b in self.bytes_of.values()]), ("id", "bytes_hex"))
+        self.tables = {
+            "ranked": pa.table({"pair": pa.array([(a << 32) | b for a, b in zip(left, right, strict=True)], pa.int64()), "made": pa.array(ranked, pa.int32())}),
+            "vocabulary": pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "bytes_hex": [b.hex() for b in ranks]}),
+        }
         self.whole = {t: array("i", [r]).tobytes() for t, r in ranks.items()}
         self.decimal = [str(i) for i in range(max(ranks.values()) + 1)]
         self.known: dict[str, bytes] = {}
         self.pieces: dict[bytes, bytes] = {}
 
-    def _load(self, name: str, columns, names: tuple[str, ...]) -> None:
-        kinds = {"bytes_hex": pa.string(), "pair": pa.int64()}
-        loaded = pa.table([pa.array(c, kinds.get(n, pa.int32())) for c, n in zip(columns, names, strict=True)], names=list(names))
-        self.db.register("loaded", loaded)
-        self.db.execute(f"CREATE TABLE {name} AS FROM loaded")
-        self.db.unregister("loaded")
+    @cached_property
+    def db(self):
+        """The task's database; what it spills goes to the task's own scratch folder."""
+        import duckdb
+
+        self.scratch = tempfile.TemporaryDirectory(dir=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None)
+        opened = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": self.scratch.name})
+        for name, rows in self.tables.items():
+            opened.register("loaded", rows)
+            opened.execute(f"CREATE TABLE {name} AS FROM loaded")
+            opened.unregister("loaded")
+        return opened
+
+    def release(self) -> None:
+        """Give back at a task's end what only it needs: the worker may go on to other work."""
+        self.known.clear()
+        self.pieces.clear()
+        if "db" in self.__dict__:
+            self.db.close()
+            del self.__dict__["db"]
+            self.scratch.cleanup()
 
     def _merge(self, pieces: list[bytes]) -> list[bytes]:
         """The recursive query over distinct pieces that are no tokens themselves; ids as bytes of int32."""
@@ -266,26 +279,28 @@ def decoded(batch: pa.RecordBatch, coder: Codec) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pa.array(coder.decode(rows), pa.binary())], ["doc_id", "ids", "decoded"])
 
 
-def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids (array of int) of every row."""
-    path, pattern = path or vocabulary_path(), pattern or default_pattern()
+def _coded(function: Callable[[pa.RecordBatch, Codec], pa.RecordBatch], path: str, pattern: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's work: function(batch, codec) of each bounded batch."""
 
     def run(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(iterator, 4 << 20):
-            yield encoded(batch, codec(path, pattern))
+        coder = codec(path, pattern)
+        try:
+            for batch in batches(iterator, 4 << 20):
+                yield function(batch, coder)
+        finally:
+            coder.release()
 
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
+    return run
 
 
-def decode(tokens: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """doc_id, ids, decoded (binary) of rows (doc_id, ids); null ids decode to nothing."""
-    path, pattern = path or vocabulary_path(), pattern or default_pattern()
+def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ids (array of int) of every row."""
+    return texts(docs, id_col, text_col).mapInArrow(_coded(encoded, path or vocabulary_path(), pattern or default_pattern()), "doc_id long, ids array<int>")
 
-    def run(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(iterator, 4 << 20):
-            yield decoded(batch, codec(path, pattern))
 
-    return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+def decode(tokens: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """doc_id, ids, decoded (binary) of rows (doc_id, ids); null ids decode to nothing."""
+    return tokens.select("doc_id", "ids").mapInArrow(_coded(decoded, path or vocabulary_path(), pattern or default_pattern()), "doc_id long, ids array<int>, decoded binary")
 
 
 def _digests(batch: pa.RecordBatch, coder: Codec) -> pa.RecordBatch:
@@ -295,27 +310,23 @@ def _digests(batch: pa.RecordBatch, coder: Codec) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(r) for r in rows], pa.int64()), pa.array(ids_sha), pa.array(text_sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
+def _digested(batch: pa.RecordBatch, coder: Codec) -> pa.RecordBatch:
+    return _digests(decoded(encoded(batch, coder), coder), coder)
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode, decode and digest in one pass, batch by batch; ids do not leave the task."""
-    path, pattern = vocabulary_path(), default_pattern()
+    run = _coded(_digested, vocabulary_path(), default_pattern())
+    return texts(table(spark, sf_dir, "documents")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
-    def run(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(iterator, 4 << 20):
-            coder = codec(path, pattern)
-            yield _digests(decoded(encoded(batch, coder), coder), coder)
 
-    return texts(table(spark, sf_dir, "documents")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def _tokenised(batch: pa.RecordBatch, coder: Codec) -> pa.RecordBatch:
+    ids = encoded(batch, coder)
+    told = _digests(decoded(ids, coder), coder)
+    return pa.RecordBatch.from_arrays([*told.columns[:2], ids.column("ids"), *told.columns[2:]], ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
 
 
 def tokenised_documents(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids, ids_sha256, decoded_sha256 of every row: the pipeline's last form of a document."""
-    path, pattern = path or vocabulary_path(), pattern or default_pattern()
-
-    def run(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(iterator, 4 << 20):
-            coder = codec(path, pattern)
-            ids = encoded(batch, coder)
-            told = _digests(decoded(ids, coder), coder)
-            yield pa.RecordBatch.from_arrays([*told.columns[:2], ids.column("ids"), *told.columns[2:]], ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
-
+    run = _coded(_tokenised, path or vocabulary_path(), pattern or default_pattern())
     return texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")

@@ -51,7 +51,7 @@ MIN_Z = 5.0
 #: Counts under both of these differ from chance by less than MIN_Z deviations, whatever the totals.
 LEAST_RAW, LEAST_TARGET = 26, 5
 #: N-grams a task counts at once before it hands the counts on.
-COUNTED = 2_000_000
+COUNTED = 1_500_000
 #: Keys a byte of text, as a power of two: under one n-gram in a hundred shares its key.
 KEY_ROOM = 5
 #: Counts are added up in 2 ** this many ranges of keys, at least and at most.
@@ -74,7 +74,7 @@ TOXIC_PRIOR = 4.0
 LEAST_TOXIC, LEAST_TOXIC_DOCS = 1.0, 3
 SEED = 20240229
 #: Words whose hashes a task keeps.
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 200_000
 
 #: What is known of an n-gram, in millionths.
 VALUES = ("ratio", "toxic_ratio", "held_out_ratio")
@@ -166,7 +166,7 @@ def models(docs: DataFrame, fit: DataFrame, bits: int = 63) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), pa.int32(), *[pa.binary()] * (len(names) - 2)], strict=True)], names)
 
         waiting = 0
-        for batch in batches(iterator):
+        for batch in batches(iterator, 4 << 20):
             for text, is_toxic in zip(batch.column("text").to_pylist(), batch.column("is_toxic").to_pylist(), strict=True):
                 keys = hasher.keys(text)
                 held[0].append(keys)
@@ -306,10 +306,13 @@ def weights(docs: DataFrame, ratios: DataFrame, toxic: DataFrame | None = None,
 
         def add(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hasher, table_ = _Hasher(bits), shared.value
-            for batch in batches(iterator):
-                found = [hasher.keys(t) for t in batch.column("text").to_pylist()]
-                values = [table_(g) for g in found]
-                numbers = [[(len(g) + 1) // 2 for g in found], [int(v[:, 0].sum(dtype=np.int64)) for v in values], *([int(v[:, i].max(initial=0)) for v in values] for i in (1, 2))]
+            for batch in batches(iterator, 4 << 20):
+                numbers: list[list[int]] = [[], [], [], []]
+                for text in batch.column("text").to_pylist():
+                    keys = hasher.keys(text)
+                    values = table_(keys)
+                    for held, n in zip(numbers, ((len(keys) + 1) // 2, values[:, 0].sum(dtype=np.int64), values[:, 1].max(initial=0), values[:, 2].max(initial=0)), strict=True):
+                        held.append(int(n))
                 yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("doc_id"), *(pa.array(n, pa.int64()) for n in numbers)], ["k", "doc_id", "n_words", "w", *VALUES[1:]])
 
         summed = rows.mapInArrow(add, "k long, doc_id long, n_words long, w long, toxic_ratio long, held_out_ratio long")
