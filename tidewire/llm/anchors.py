@@ -14,8 +14,9 @@ only repeat where its segment's anchor repeats.
    windows that they share.
 
 Two rules keep every group small, whatever repeats: of equal segments in a batch
-the first goes on and the rest are settled; segments of an anchor that has HOT
-different ones or more are cut into single windows, which meet by their own hash.
+the first goes on and the rest are settled; segments of an anchor that has
+``hot`` different ones or more (more than a shard holds) are cut into single
+windows, which meet by their own hash.
 """
 
 from __future__ import annotations
@@ -62,11 +63,11 @@ class Unit:
     #: whether a repeat within one document counts
     within: bool
     #: different segments of an anchor from which on they are cut into windows
-    hot: int = 512
+    hot: int = 8192
 
 
 def segments(hashes: np.ndarray, n: int, unit: Unit) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(48 bits of the anchor's hash, first window, end of windows) of each segment of a document of n symbols."""
+    """(40 bits of the anchor's hash, first window, end of windows) of each segment of a document of n symbols."""
     if n < unit.window:
         none = np.zeros(0, np.int64)
         return none.astype(np.uint64), none, none
@@ -84,7 +85,7 @@ def segments(hashes: np.ndarray, n: int, unit: Unit) -> tuple[np.ndarray, np.nda
         at = (least & _POSITION).astype(np.int64)
         cuts = np.flatnonzero(at[1:] != at[:-1]) + 1
         first = np.concatenate([[0], cuts])
-        found.append((part[at[first]] >> np.uint64(16), first + start, np.append(cuts, len(at)) + start))
+        found.append((part[at[first]] >> np.uint64(24), first + start, np.append(cuts, len(at)) + start))
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
@@ -108,29 +109,36 @@ _powers = _Powers()
 
 
 def stretch_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """40 bits for each stretch of symbols, given a mixed uint64 of each symbol; with the anchor they make 88."""
+    """48 bits for each stretch of symbols, given a mixed uint64 of each symbol; with the anchor they make 88."""
     up, down = _powers.get(len(values))
     total = np.append(np.uint64(0), np.cumsum(values * up[: len(values)], dtype=np.uint64))
-    return mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)) >> np.uint64(24)
+    return mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)) >> np.uint64(16)
 
 
-def _five(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+def _low(x: np.ndarray, width: int) -> bytes:
+    """The low bytes of numbers, so many of each."""
+    return np.ascontiguousarray(np.ascontiguousarray(x, np.uint64).view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
 
-def _of_five(raw: bytes) -> np.ndarray:
-    wide = np.zeros((len(raw) // 5, 8), np.uint8)
-    wide[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+def _of_low(raw: bytes, width: int) -> np.ndarray:
+    wide = np.zeros((len(raw) // width, 8), np.uint8)
+    wide[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
     return wide.view(np.uint64).reshape(-1)
 
 
-def _narrow(x: np.ndarray) -> bytes:
-    """Four bytes a number if that will do, else eight."""
-    return x.astype(np.uint32 if not len(x) or (int(x.max()) < 1 << 32 and int(x.min()) >= 0) else np.int64).tobytes()
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers by the places of their bytes, as many as the largest has."""
+    x = np.ascontiguousarray(x).view(np.uint64)
+    width = (int(x.max(initial=0)).bit_length() + 7) // 8
+    return x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
 
-def _wide(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(raw, np.int64) if len(raw) == 8 * n else np.frombuffer(raw, np.uint32).astype(np.int64)
+def _of_planes(raw: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    if raw:
+        planes = np.frombuffer(raw, np.uint8).reshape(-1, n)
+        out[:, : len(planes)] = planes.T
+    return out.view(np.int64).reshape(-1)
 
 
 @dataclass
@@ -163,14 +171,18 @@ _PLACES = "kind int, bucket int, h binary, c binary, doc binary, mark binary, st
 
 
 def _place_row(kind: int, bucket: int, p: _Places) -> tuple:
-    return kind, bucket, _five(p.h >> np.uint64(8)) if kind == 0 else None, _five(p.c) if kind == 0 else None, _narrow(p.doc), p.mark.tobytes() if p.mark.any() else None, _narrow(p.start), p.n.astype(np.uint8).tobytes()
+    """Places in the order of document and start, packed: documents by their differences."""
+    doc = np.append(p.doc[:1], np.diff(p.doc))
+    h, c = (_low(p.h >> np.uint64(8), 4), _low(p.c, 6)) if kind == 0 else (None, None)
+    return kind, bucket, h, c, doc[:1].tobytes() + _planes(doc[1:]), p.mark.tobytes() if p.mark.any() else None, _planes(p.start), p.n.astype(np.uint8).tobytes()
 
 
 def _places_of(row: tuple) -> _Places:
     _, bucket, h, c, doc, mark, start, n = row  # the bucket has the low bits of the anchor, 8 at least
     count = len(n)
     none = np.zeros(count, np.uint64)
-    return _Places((_of_five(h) << np.uint64(8)) | np.uint64(bucket & 255) if h else none, _of_five(c) if c else none, _wide(doc, count), np.frombuffer(mark, np.int64) if mark else np.zeros(count, np.int64), _wide(start, count), np.frombuffer(n, np.uint8).astype(np.int64))
+    docs = np.cumsum(np.append(np.frombuffer(doc[:8], np.int64), _of_planes(doc[8:], count - 1)))
+    return _Places((_of_low(h, 4) << np.uint64(8)) | np.uint64(bucket & 255) if h else none, _of_low(c, 6) if c else none, docs, np.frombuffer(mark, np.int64) if mark else np.zeros(count, np.int64), _of_planes(start, count), np.frombuffer(n, np.uint8).astype(np.int64))
 
 
 def segment_places(docs: DataFrame, unit: Unit, bits: int) -> DataFrame:
@@ -191,9 +203,10 @@ def segment_places(docs: DataFrame, unit: Unit, bits: int) -> DataFrame:
                 continue
             stay, repeat = _Places(*(np.concatenate(c) for c in zip(*parts, strict=True))).settle(unit.within)
             bucket = (stay.h & np.uint64((1 << bits) - 1)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
+            order = np.lexsort((stay.start, stay.doc, bucket))
             bucket = bucket[order]
             cuts = [*np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist(), len(bucket)]
+            repeat = repeat.take(np.lexsort((repeat.start, repeat.doc)))
             rows = [_place_row(0, int(bucket[x]), stay.take(order[x:y])) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
             if len(repeat.doc):
                 rows.append(_place_row(1, hash((int(repeat.h[0]), number)) & ((1 << bits) - 1), repeat))
@@ -233,7 +246,7 @@ class _Told:
                 rest = np.empty(len(data), _ASK)
                 rest["start"], rest["n"], rest["h"], rest["hot"] = data[:, 2], data[:, 3], data[:, 4], data[:, 5]
             else:
-                rest = np.ascontiguousarray(data[:, 2:])
+                rest = np.ascontiguousarray(data[:, 2:].astype(np.uint32))  # a text is under 2 GB
             packed = [rest[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
             none = [None] * len(packed)
             yield pa.RecordBatch.from_arrays([pa.array(data[cuts[:-1], 0]), pa.array(data[cuts[:-1], 1]), pa.array(packed if what == "spans" else none, pa.binary()), pa.array(packed if what == "asks" else none, pa.binary())], ["doc", "mark", "spans", "asks"])
@@ -307,7 +320,7 @@ def segment_rows(asked: DataFrame, unit: Unit) -> DataFrame:
             keys, contents, docs, marks, starts = [], [], [], [], []
             for doc, mark, text, spans, asks in zip(*(batch.column(c).to_pylist() for c in ("doc", "mark", "text", "spans", "asks")), strict=True):
                 if spans:
-                    known.setdefault((doc, mark), []).extend(map(tuple, np.frombuffer(b"".join(spans), np.int64).reshape(-1, 2).tolist()))
+                    known.setdefault((doc, mark), []).extend(map(tuple, np.frombuffer(b"".join(spans), np.uint32).reshape(-1, 2).tolist()))
                 if not asks:
                     continue
                 _, source = unit.read(text)
@@ -457,10 +470,11 @@ def repeated_spans(rows: DataFrame, unit: Unit, symbols_of: Callable[[list[bytes
 
 def with_repeats(docs: DataFrame, unit: Unit, symbols_of: Callable[[list[bytes]], list[np.ndarray]], index: Index, shard_symbols: int) -> DataFrame:
     """doc, text, spans (array of packed stretches that repeat earlier ones) for every row of keyed(docs)."""
-    sizes = docs.groupBy("doc").count().agg(F.sum("count"), F.max("count")).first()
-    bits = min(20, max(8, (int(sizes[0] or 0) // 64).bit_length()))
+    sizes = docs.groupBy("doc").agg(F.count("*").alias("n"), F.sum(F.octet_length("text").cast("long")).alias("held")).agg(F.max("n"), F.sum("held")).first()
+    # a bucket of about a million segments of 16 bytes, and 4096 buckets at least
+    bits = min(18, max(12, (int(sizes[1] or 0) >> 24).bit_length()))
     # rows may repeat an id with different texts: what is found in one is then told for the id and a hash of its text
-    mark = F.xxhash64("text") if (sizes[1] or 0) > 1 else F.lit(0).cast("long")
+    mark = F.xxhash64("text") if (sizes[0] or 0) > 1 else F.lit(0).cast("long")
     own = docs.withColumn("mark", mark)
     dealt = docs.repartition("doc").withColumn("mark", mark)  # one shuffle of the texts for both joins
     by_doc = settled_places(segment_places(own, unit, bits), unit).groupBy("doc").agg(F.collect_list(F.struct("mark", "spans", "asks")).alias("told"))

@@ -15,13 +15,14 @@ once as nothing that they push can come between.
 
 from __future__ import annotations
 
+import os
 import tempfile
 from collections.abc import Callable
 
 import numpy as np
 
 #: Tuples waiting in memory before all blocks but the one in turn go to disk.
-MEMORY_ITEMS = 4_000_000
+MEMORY_ITEMS = 250_000
 #: Tuples that a block of the queue holds at least; else about the square root of all, which balances popping and pushing.
 BLOCK_ITEMS = 64
 #: Tuples looked at for one pop.
@@ -157,7 +158,8 @@ def _names(text: np.ndarray, s_type: np.ndarray, seeds: np.ndarray) -> tuple[np.
 def suffix_array(text: np.ndarray, scratch: str | None = None) -> np.ndarray:
     """Start positions of the suffixes of an int64 text in order; the last number must be 0 and the only 0."""
     if scratch is None:
-        with tempfile.TemporaryDirectory() as folder:
+        # a task's own scratch, as for Spark's spills
+        with tempfile.TemporaryDirectory(dir=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None) as folder:
             return suffix_array(text, folder)
     n = len(text)
     if n == 1:
