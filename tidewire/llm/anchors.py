@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, id_key
+from .common import batches, id_key, map_arrow
 
 #: Symbols of a document taken at a time; a stretch overlaps the next by a window.
 STRETCH = 1 << 22
@@ -212,7 +212,7 @@ def segment_places(docs: DataFrame, unit: Unit, bits: int) -> DataFrame:
                 rows.append(_place_row(1, hash((int(repeat.h[0]), number)) & ((1 << bits) - 1), repeat))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), *[pa.binary()] * 6), strict=True)], [f.split()[0] for f in _PLACES.split(", ")])
 
-    return docs.select("doc", "mark", "text").mapInArrow(scan, _PLACES)
+    return map_arrow(docs.select("doc", "mark", "text"), scan, _PLACES)
 
 
 #: A segment to fetch.
@@ -291,7 +291,7 @@ def settled_places(rows: DataFrame, unit: Unit) -> DataFrame:
         settle()
         yield from told.rows()
 
-    return rows.repartition("bucket").sortWithinPartitions("kind", "bucket").mapInArrow(scan, "doc long, mark long, spans binary, asks binary")
+    return map_arrow(rows.repartition("bucket").sortWithinPartitions("kind", "bucket"), scan, "doc long, mark long, spans binary, asks binary")
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -356,7 +356,7 @@ def segment_rows(asked: DataFrame, unit: Unit) -> DataFrame:
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(contents, pa.binary()), pa.array(docs, pa.int64()), pa.array(marks, pa.int64()), pa.array(starts, pa.binary())], ["key", "content", "doc", "mark", "starts"])
 
-    return asked.mapInArrow(scan, "key long, content binary, doc long, mark long, starts binary")
+    return map_arrow(asked, scan, "key long, content binary, doc long, mark long, starts binary")
 
 
 def hash_bytes(content: bytes) -> int:
@@ -465,7 +465,7 @@ def repeated_spans(rows: DataFrame, unit: Unit, symbols_of: Callable[[list[bytes
         if out is not None:
             yield out
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(scan, "doc long, mark long, spans binary")
+    return map_arrow(rows.repartition("key").sortWithinPartitions("key"), scan, "doc long, mark long, spans binary")
 
 
 def with_repeats(docs: DataFrame, unit: Unit, symbols_of: Callable[[list[bytes]], list[np.ndarray]], index: Index, shard_symbols: int) -> DataFrame:

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import batches, table, texts
+from .common import batches, map_arrow, table, texts
 
 #: Entries that the tables of known stretches and of known pieces hold before they are emptied.
 KNOWN, KNOWN_PIECES = 250_000, 150_000
@@ -295,12 +295,12 @@ def _coded(function: Callable[[pa.RecordBatch, Codec], pa.RecordBatch], path: st
 
 def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (array of int) of every row."""
-    return texts(docs, id_col, text_col).mapInArrow(_coded(encoded, path or vocabulary_path(), pattern or default_pattern()), "doc_id long, ids array<int>")
+    return map_arrow(texts(docs, id_col, text_col), _coded(encoded, path or vocabulary_path(), pattern or default_pattern()), "doc_id long, ids array<int>")
 
 
 def decode(tokens: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id, ids, decoded (binary) of rows (doc_id, ids); null ids decode to nothing."""
-    return tokens.select("doc_id", "ids").mapInArrow(_coded(decoded, path or vocabulary_path(), pattern or default_pattern()), "doc_id long, ids array<int>, decoded binary")
+    return map_arrow(tokens.select("doc_id", "ids"), _coded(decoded, path or vocabulary_path(), pattern or default_pattern()), "doc_id long, ids array<int>, decoded binary")
 
 
 def _digests(batch: pa.RecordBatch, coder: Codec) -> pa.RecordBatch:
@@ -317,7 +317,7 @@ def _digested(batch: pa.RecordBatch, coder: Codec) -> pa.RecordBatch:
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode, decode and digest in one pass, batch by batch; ids do not leave the task."""
     run = _coded(_digested, vocabulary_path(), default_pattern())
-    return texts(table(spark, sf_dir, "documents")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_arrow(texts(table(spark, sf_dir, "documents")), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def _tokenised(batch: pa.RecordBatch, coder: Codec) -> pa.RecordBatch:
@@ -329,4 +329,4 @@ def _tokenised(batch: pa.RecordBatch, coder: Codec) -> pa.RecordBatch:
 def tokenised_documents(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids, ids_sha256, decoded_sha256 of every row: the pipeline's last form of a document."""
     run = _coded(_tokenised, path or vocabulary_path(), pattern or default_pattern())
-    return texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
+    return map_arrow(texts(docs), run, "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, id_key, table, texts, without_ids
+from .common import batches, id_key, map_arrow, table, texts, without_ids
 
 SEED = 3
 RARE_DOCS = 50
@@ -176,7 +176,7 @@ def _one_block(docs: DataFrame, rows: list[tuple[int | None, str]]) -> DataFrame
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some])], ["gram", "df"])
 
     own = texts(docs).withColumn("k", id_key())
-    frequency = Counter({r["gram"]: r["df"] for r in own.select("text").mapInArrow(count, "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df")).collect()})  # a row for each run of the block at most
+    frequency = Counter({r["gram"]: r["df"] for r in map_arrow(own.select("text"), count, "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df")).collect()})  # a row for each run of the block at most
     items = block.value
     by_item: dict[int, list[int]] = defaultdict(list)
     for gram, places in items.starts.items():
@@ -208,7 +208,7 @@ def _one_block(docs: DataFrame, rows: list[tuple[int | None, str]]) -> DataFrame
                 kinds = [pa.float64() if f.endswith("double") else pa.int64() for f in _FOUND.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], [f.split()[0] for f in _FOUND.split(", ")])
 
-    return own.select("k", "doc_id", "text").mapInArrow(score, _FOUND)
+    return map_arrow(own.select("k", "doc_id", "text"), score, _FOUND)
 
 
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, id_key, table, texts
+from .common import batches, id_key, map_arrow, table, texts
 
 #: A space ends a leaf if the three bytes before it hash to 0 modulo this; one word in so many.
 LEAF_EVERY = 8
@@ -120,7 +120,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches(iterator):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(fingerprint, batch.column(1).to_pylist()), pa.string())], ["doc_id", "fingerprint"])
 
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, fingerprint string")
+    return map_arrow(texts(docs, id_col, text_col), run, "doc_id long, fingerprint string")
 
 
 def edited(text: str, following: str) -> str:
@@ -189,7 +189,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()), strict=True)], names=[x.split()[0] for x in _PAIRS.split(", ")])
 
-    return rows.mapInArrow(run, _PAIRS)
+    return map_arrow(rows, run, _PAIRS)
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, cut, id_key, map_rows, table, texts, without_ids
+from .common import batches, cut, id_key, map_arrow, map_rows, table, texts, without_ids
 
 PRIOR = 4.0
 MIN_Z = 5.0
@@ -212,8 +212,8 @@ def models(docs: DataFrame, fit: DataFrame, bits: int = 63) -> DataFrame:
         if held:
             yield told()
 
-    packed = marked.select("text", "is_toxic").mapInArrow(count, f"part int, n int, ngrams binary, {', '.join(f'{c} binary' for c in COUNTS)}")
-    return cut(packed.repartition("part").sortWithinPartitions("part").mapInArrow(add, f"ngram long, {', '.join(f'{c} long' for c in COUNTS)}"))
+    packed = map_arrow(marked.select("text", "is_toxic"), count, f"part int, n int, ngrams binary, {', '.join(f'{c} binary' for c in COUNTS)}")
+    return cut(map_arrow(packed.repartition("part").sortWithinPartitions("part"), add, f"ngram long, {', '.join(f'{c} long' for c in COUNTS)}"))
 
 
 def log_ratios(counts: DataFrame) -> DataFrame:
@@ -286,7 +286,7 @@ def _joined_weights(docs: DataFrame, values: DataFrame, bits: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(c).take(rows) for c in ("row", "k", "doc_id")] + [pa.array(ngrams), pa.array(times.astype(np.int64))], ["row", "k", "doc_id", "ngram", "times"])
 
     numbered = cut(docs.select(F.monotonically_increasing_id().alias("row"), "k", "doc_id", "text"))  # a row's number stays the same
-    exploded = numbered.mapInArrow(explode, "row long, k long, doc_id long, ngram long, times long")
+    exploded = map_arrow(numbered, explode, "row long, k long, doc_id long, ngram long, times long")
     own = F.col("ngram") < 0
     joined = exploded.join(values.hint("merge"), "ngram", "left").where(own | F.col("ratio").isNotNull())
     greatest = [F.greatest(F.max(c), F.lit(0)).alias(c) for c in VALUES[1:]]
@@ -315,7 +315,7 @@ def weights(docs: DataFrame, ratios: DataFrame, toxic: DataFrame | None = None,
                         held.append(int(n))
                 yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("doc_id"), *(pa.array(n, pa.int64()) for n in numbers)], ["k", "doc_id", "n_words", "w", *VALUES[1:]])
 
-        summed = rows.mapInArrow(add, "k long, doc_id long, n_words long, w long, toxic_ratio long, held_out_ratio long")
+        summed = map_arrow(rows, add, "k long, doc_id long, n_words long, w long, toxic_ratio long, held_out_ratio long")
 
     def key(batch: pa.RecordBatch) -> pa.RecordBatch:
         k = np.asarray(batch.column("k"), np.int64)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import batches, cut, map_rows, of_ids, table, texts, without_ids
+from .common import batches, cut, map_arrow, map_rows, of_ids, table, texts, without_ids
 
 SEED = 42
 #: Fingerprints in a tile, at most about.
@@ -202,7 +202,7 @@ def links(fps: DataFrame, radius: int = 2, close: int | None = None, ratio: floa
                 bits = np.bitwise_count(pairs[:, 0] ^ pairs[:, 1]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy().view(np.int64)), pa.array(pairs[:, 1].copy().view(np.int64)), pa.array(bits)], ["a", "b", "bits"])
 
-    return dealt.mapInArrow(run, "a long, b long, bits int")
+    return map_arrow(dealt, run, "a long, b long, bits int")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -352,7 +352,7 @@ def candidates(prints: DataFrame, forest: bool) -> DataFrame:
             rest = int(ends[-1]) if len(ends) else 0
             held = [data[rest:]] if rest < len(data) else []
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return map_arrow(dealt, run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, fresh_dir, table
+from .common import batches, fresh_dir, map_arrow, table
 
 MIN_REVISIT = 100
 #: Records in a WARC file at most; a reading task holds one file.
@@ -175,7 +175,7 @@ def convert(arcs: DataFrame, content_col: str = "content") -> DataFrame:
                     records = [to_warc(r) for r in read_arc(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data)]
                     yield pa.RecordBatch.from_arrays([pa.array(records, pa.binary())], ["record"])
 
-    return arcs.select(content_col).mapInArrow(run, "record binary")
+    return map_arrow(arcs.select(content_col), run, "record binary")
 
 
 def write(records: DataFrame, path: str) -> None:
@@ -202,7 +202,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(fields, pa.map_(pa.string(), pa.string())), pa.array(sizes, pa.int64()), pa.array(digests, pa.string())], ["fields", "payload_bytes", "payload_sha256"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
-    return files.select("content").mapInArrow(run, "fields map<string,string>, payload_bytes long, payload_sha256 string")
+    return map_arrow(files.select("content"), run, "fields map<string,string>, payload_bytes long, payload_sha256 string")
 
 
 def _arc_record(page_id: int | None, url: str | None, html: str | None) -> ArcRecord:
@@ -249,7 +249,7 @@ def page_records(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
     joined = pages.select("page_id", "url", "html").join(later, "page_id", "left")
-    return joined.select("page_id", "url", "html", "firsts").mapInArrow(run, "record binary")
+    return map_arrow(joined.select("page_id", "url", "html", "firsts"), run, "record binary")
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
