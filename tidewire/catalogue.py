@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import knowledge, reconciling
+from .plans import assembly, knowledge, reconciling, records, reporting  # noqa: F401 - importing registers their queries
 
-QUERIES: dict = {**knowledge.QUERIES, **reconciling.QUERIES}
-ORACLE_SQL: dict[str, str] = {**knowledge.ORACLE_SQL, **reconciling.ORACLE_SQL}
+QUERIES: dict = reporting.QUERIES
+ORACLE_SQL: dict[str, str] = reporting.ORACLE_SQL
 FLAGSHIP = "feed_recent"

@@ -6,21 +6,25 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Wordings that give investment advice.
-ADVICE = (r"\byou should (?:buy|sell|hold)\b", r"\b(?:strong|must) buy\b", r"\bguaranteed (?:returns?|profit)\b", r"\bbuy (?:now|today|the dip)\b", r"\bsell (?:now|everything)\b", r"\bprice target\b", r"\brisk[- ]free\b")
+ADVICE = (
+    r"\b(?:investors?|traders?|shareholders?|readers?|buyers?|you|one)\s+(?:should|must|ought\s+to|need\s+to|may\s+want\s+to|would\s+do\s+well\s+to)\s+(?:consider\s+)?(?:buy|sell|short|hold|invest|divest|exit|enter|accumulate|book|add|reduce|avoid|switch)\b",
+    r"\b(?:should|must)\s+(?:consider\s+)?(?:buy|sell|short|accumulate|book\s+profits\s+in)\s+(?:the\s+|these\s+|its\s+)?(?:stock|shares|scrip|dip|rally)\b",
+    r"\b(?:we|i|our\s+\w+)\s+(?:recommend|advise|suggest\s+(?:buying|selling))\b",
+    r"\brecommend(?:s|ed|ation)?\s+(?:to\s+)?(?:buy|sell|short|hold|avoid)\b",
+    r"\b(?:strong\s+buy|strong\s+sell|table\s+pounding)\b",
+    r"\b(?:price|target)\s+target\b",
+    r"\bfair\s+value\s+of\s+(?:rs\.?|₹|\$|usd|inr)\s?[\d,]",
+    r"\b(?:guaranteed|assured|risk[-\s]free)\s+(?:returns?|profits?|gains?)\b",
+    r"\b(?:buy|sell)\s+(?:the\s+)?(?:dip|rally|stock|shares|scrip)\b",
+    r"\bgood\s+time\s+to\s+(?:buy|sell|enter|exit)\b",
+    r"\b(?:add|book)\s+(?:it\s+)?(?:to|in)\s+your\s+portfolio\b",
+)
 # Words for nothing.
-NULL_WORDS = ("", "null", "none", "n/a", "na", "unknown", "-")
-
-
-def image_score(width: Column, height: Column, url: Column) -> Column:
-    """How good an image is: 0 if unusable, 1 if its size is unknown, else by area, more for a wide frame."""
-    junk = F.lower(url).rlike(r"(?:logo|icon|sprite|avatar|pixel|placeholder)|\.(?:svg|gif|ico)(?:\?|$)")
-    aspect = F.try_divide(width, height)
-    good = F.round(F.sqrt(width * height) / 100 * F.when(aspect.between(1.3, 2.1), 1.25).otherwise(1.0), 4)
-    return F.when(junk, 0.0).when(width.isNull() | height.isNull(), 1.0).when((width < 200) | (height < 120), 0.3).when((aspect < 0.4) | (aspect > 3.5), 0.2).otherwise(good)
+NULL_WORDS = ("none", "null", "n/a", "na")
 
 
 def depth_hint(sources: Column, facts: Column) -> Column:
-    return F.when((sources >= 4) | (facts >= 5), "deep").when((sources >= 2) & (facts >= 2), "standard").otherwise("brief")
+    return F.when((sources >= 4) | (facts >= 5), "deep").when((sources >= 2) | (facts >= 2), "standard").otherwise("brief")
 
 
 def agreement(credibility: Column) -> Column:
@@ -32,7 +36,8 @@ def direction(change: Column) -> Column:
 
 
 def without_null_words(text: Column) -> Column:
-    return F.when(F.lower(F.trim(text)).isin(*NULL_WORDS), None).otherwise(F.trim(text))
+    """Trimmed text of 40 characters at most; empty for words that mean nothing."""
+    return F.when(F.lower(F.trim(text)).isin(*NULL_WORDS), "").otherwise(F.substring(F.trim(text), 1, 40))
 
 
 def number_in(text: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 HUB_DEGREE = 40
 MIN_CONFIDENCE = 0.35
 HOP_DECAY = 0.75
+PATH_CONFIDENCE = 0.4
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -40,6 +41,7 @@ def cascade(edges: DataFrame, seeds: DataFrame, cut: Callable[[DataFrame], DataF
     least hop; impact is confidence * HOP_DECAY ** hop.  A round joins the frontier with the edges at it; what is
     known so far is checkpointed.
     """
+    edges = cut(edges)
     strong = edges.where(F.col("confidence") >= min_confidence)
     both = strong.select(F.col("subject").alias("here"), F.col("object").alias("there"), "subject", "predicate", "object", "confidence").unionByName(
         strong.where("subject <> object").select(F.col("object").alias("here"), F.col("subject").alias("there"), "subject", "predicate", "object", "confidence")
@@ -58,17 +60,19 @@ def cascade(edges: DataFrame, seeds: DataFrame, cut: Callable[[DataFrame], DataF
     return best.select("subject", "predicate", "object", "hop", F.round(F.col("confidence") * F.pow(F.lit(HOP_DECAY), F.col("hop")), 4).alias("impact"))
 
 
-def beam_paths(edges: DataFrame, seeds: DataFrame, depth: int = 3, fan_out: int = 4) -> DataFrame:
+def beam_paths(edges: DataFrame, seeds: DataFrame, depth: int = 3, fan_out: int = 4, hub_degree: int = HUB_DEGREE, min_confidence: float = PATH_CONFIDENCE) -> DataFrame:
     """The best directed path from each seed (node): longest, then most likely, then first by name; path, hops, joint.
 
-    A node is left by its fan_out strongest edges; no node comes twice.
+    A node is left by its fan_out strongest edges of min_confidence at least; no node comes twice.  A path may start or
+    end at a node of more than hub_degree edges, but does not lead through it.
     """
     place = F.row_number().over(Window.partitionBy("subject").orderBy(F.desc("confidence"), "object"))
-    beam = edges.withColumn("place", place).where(F.col("place") <= fan_out).select(F.col("subject").alias("end"), F.col("object").alias("next"), F.col("confidence").alias("c"))
+    hubs = degrees(edges).where(F.col("degree") > hub_degree).select(F.col("node").alias("end"))
+    beam = edges.where(F.col("confidence") >= min_confidence).withColumn("place", place).where(F.col("place") <= fan_out).select(F.col("subject").alias("end"), F.col("object").alias("next"), F.col("confidence").alias("c"))
     paths = seeds.select(F.col("node").alias("seed"), F.array("node").alias("path"), F.lit(1.0).alias("joint"), F.col("node").alias("end"))
     found = None
-    for _ in range(depth):
-        paths = paths.join(beam, "end").where(~F.array_contains("path", F.col("next"))).select("seed", F.concat("path", F.array("next")).alias("path"), (F.col("joint") * F.col("c")).alias("joint"), F.col("next").alias("end"))
+    for hop in range(depth):
+        paths = (paths.join(hubs, "end", "left_anti") if hop else paths).join(beam, "end").where(~F.array_contains("path", F.col("next"))).select("seed", F.concat("path", F.array("next")).alias("path"), (F.col("joint") * F.col("c")).alias("joint"), F.col("next").alias("end"))
         found = paths if found is None else found.unionByName(paths)
     ranked = found.select("seed", F.array_join("path", ">").alias("path"), (F.size("path") - 1).alias("hops"), F.round("joint", 6).alias("joint"))
     first = F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("hops"), F.desc("joint"), "path"))

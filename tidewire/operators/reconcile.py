@@ -1,7 +1,9 @@
-"""Snapshots that absorb new rows: upserts, retirement, retention, mutual best matches."""
+"""Snapshots that absorb new rows: upserts, retirement, retention, greedy matches."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -52,11 +54,48 @@ def overlaps(members: DataFrame, group: str, member: str, least: int) -> DataFra
 
 
 def best_match(candidates: DataFrame, left: str, right: str, score: str) -> DataFrame:
-    """One to one: pairs that are the best of both their ends (ties to the lesser id), which greedy matching takes first; its further picks are not made."""
+    """Pairs that are the best of both their ends, ties to the lesser id."""
     place = lambda by, other: F.row_number().over(Window.partitionBy(by).orderBy(F.desc(score), other))
     return candidates.withColumn("__l", place(left, right)).withColumn("__r", place(right, left)).where("__l = 1 AND __r = 1").drop("__l", "__r")
 
 
+def greedy_match(candidates: DataFrame, left: str, right: str, score: str, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """One to one, highest score first, ties to the lesser left, then right id.
+
+    A pair that is the best of both ends is what greedy matching takes, whatever it takes elsewhere; rounds take those
+    and go on with what is left, until nothing is.
+    """
+    rest, found = cut(candidates), None
+    while not rest.isEmpty():
+        place = lambda by: F.row_number().over(Window.partitionBy(by).orderBy(F.desc(score), left, right))
+        best = cut(rest.withColumn("__l", place(left)).withColumn("__r", place(right)).where("__l = 1 AND __r = 1").drop("__l", "__r"))
+        found = best if found is None else found.unionByName(best)
+        rest = cut(rest.join(best.select(left), left, "left_anti").join(best.select(right), right, "left_anti").select(*candidates.columns))
+    return candidates.limit(0) if found is None else found
+
+
+def keep_first(rows: DataFrame, conflicts: DataFrame, key: str, order: list[Column], cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows kept when taken in order (key must settle ties) and each is left out that conflicts with one kept before: (key, kept_by), the keeper itself or the first that shut it out.
+
+    conflicts: pairs (a, b) of keys.  A round keeps every row without an undecided or kept row before it, and shuts out what conflicts with these.
+    """
+    ranked = cut(rows.select(F.col(key).alias("id"), F.struct(*[c.alias(f"o{i}") for i, c in enumerate([*order, F.col(key)])]).alias("rank")))
+    pairs = conflicts.select("a", "b").unionByName(conflicts.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
+    pairs = pairs.join(ranked.select(F.col("id").alias("a"), F.col("rank").alias("ra")), "a").join(ranked.select(F.col("id").alias("b"), F.col("rank").alias("rb")), "b")
+    before = cut(pairs.where(F.col("ra") < F.col("rb")))  # a comes before b
+    undecided, decided = ranked, None
+    while not undecided.isEmpty():
+        kept = cut(undecided.join(before.select(F.col("b").alias("id")).distinct(), "id", "left_anti"))
+        shut = before.join(kept.select(F.col("id").alias("a")), "a").groupBy(F.col("b").alias("id")).agg(F.min_by("a", "ra").alias("kept_by"))
+        now = cut(kept.select("id", F.col("id").alias("kept_by")).unionByName(shut))
+        decided = now if decided is None else decided.unionByName(now)
+        undecided = cut(undecided.join(now.select("id"), "id", "left_anti"))
+        gone = now.select(F.col("id").alias("a"))
+        before = cut(before.join(gone, "a", "left_anti").join(gone.withColumnRenamed("a", "b"), "b", "left_anti"))
+    done = rows.select(F.col(key).alias("id"), F.col(key).alias("kept_by")).limit(0) if decided is None else decided
+    return done.withColumnRenamed("id", key)
+
+
 def keep_best(rows: DataFrame, key: Column, order: list[Column]) -> DataFrame:
     """One row a key, the first in order."""
     place = F.row_number().over(Window.partitionBy("__key").orderBy(*order))

@@ -30,22 +30,23 @@ def kg_edges_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 strong AS (SELECT * FROM edges WHERE confidence >= 0.35),
 both_ AS (SELECT subject AS here, object AS there, * FROM strong UNION ALL SELECT object, subject, * FROM strong WHERE subject <> object),
 walk(node, hop) AS (
-  SELECT 'S' || s_suppkey, 0 FROM supplier WHERE s_suppkey < 3
+  SELECT 'S' || s_suppkey, 0 FROM supplier WHERE s_acctbal < 2500
   UNION
   SELECT b.there, w.hop + 1 FROM walk w JOIN both_ b ON b.here = w.node LEFT JOIN deg ON deg.node = w.node WHERE w.hop < 2 AND (w.hop = 0 OR deg.d <= 40)),
 reach AS (SELECT node, min(hop) AS hop FROM walk GROUP BY 1)
 SELECT b.subject, b.predicate, b.object, min(r.hop)::INT AS hop, round(max(b.confidence) * pow(0.75, min(r.hop)), 4) AS impact
 FROM reach r JOIN both_ b ON b.here = r.node LEFT JOIN deg ON deg.node = r.node WHERE r.hop = 0 OR deg.d <= 40 GROUP BY ALL""")
 def kg_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seeds = t.load(spark, sf_dir, "supplier").where("s_suppkey < 3").select(F.concat(F.lit("S"), "s_suppkey").alias("node"))
+    seeds = t.load(spark, sf_dir, "supplier").where("s_acctbal < 2500").select(F.concat(F.lit("S"), "s_suppkey").alias("node"))
     return graph.cascade(t.kg_edges(spark, sf_dir), seeds, cut)
 
 
-@query(f"""WITH RECURSIVE {t.EDGES_SQL}, beam AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY confidence DESC, object) AS place FROM edges) WHERE place <= 4),
+@query(f"""WITH RECURSIVE {t.EDGES_SQL}, deg AS (SELECT node, count(*) AS d FROM (SELECT subject AS node FROM edges UNION ALL SELECT object FROM edges) GROUP BY 1),
+beam AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY confidence DESC, object) AS place FROM edges WHERE confidence >= 0.4) WHERE place <= 4),
 paths(seed, path, joint, last) AS (
   SELECT 'S' || s_suppkey, ['S' || s_suppkey], 1.0::DOUBLE, 'S' || s_suppkey FROM supplier
   UNION ALL
-  SELECT seed, list_append(path, object), joint * confidence, object FROM paths JOIN beam ON subject = last WHERE len(path) <= 3 AND NOT list_contains(path, object)),
+  SELECT seed, list_append(path, object), joint * confidence, object FROM paths JOIN beam ON subject = last LEFT JOIN deg ON node = last WHERE (len(path) = 1 OR d <= 40) AND len(path) <= 3 AND NOT list_contains(path, object)),
 r AS (SELECT seed, array_to_string(path, '>') AS path, (len(path) - 1)::INT AS hops, round(joint, 6) AS joint FROM paths WHERE len(path) > 1)
 SELECT seed, path, hops, joint FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY hops DESC, joint DESC, path) AS place FROM r) WHERE place = 1""")
 def kg_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,13 +73,11 @@ def orphan_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.prune(nodes, edges, t.moment("2001-08-01 00:00:00"))[0]
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS a, 1000000000 + l_suppkey * 100000 + l_partkey % 1000 AS b FROM lineitem WHERE l_linenumber = 1),
-both_ AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), reach(node, other) AS (SELECT a, a FROM both_ UNION SELECT r.node, b.b FROM reach r JOIN both_ b ON b.a = r.other)
-SELECT node, min(other) AS component FROM reach GROUP BY 1""")
+@query()
 def shared_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stories whose first articles share a source and part, as connected components."""
-    rows = t.load(spark, sf_dir, "lineitem").where("l_linenumber = 1")
-    return connected_components(rows.select(F.col("l_orderkey").alias("a"), (F.lit(1_000_000_000) + F.col("l_suppkey") * 100_000 + F.col("l_partkey") % 1000).alias("b")), cut)
+    """Stories that share a source's report (supplier and part), directly or through others, as connected components."""
+    rows = t.load(spark, sf_dir, "lineitem")
+    return connected_components(rows.select(F.col("l_orderkey").alias("a"), (F.lit(1 << 61) + F.xxhash64("l_suppkey", "l_partkey").bitwiseAND((1 << 60) - 1)).alias("b")), cut)
 
 
 STOP_SQL = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(set(T.STOP_WORDS))) + "]"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores
 from ..operators import feed, reconcile
+from ..operators.checkpoint import cut
 from ..sources import tables as t
 from .reporting import ORACLE_SQL, QUERIES, query
 
@@ -42,10 +43,10 @@ def soft_retirement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.retire(kept, "updated_at", now, 30).select("id", F.date_format("retired_at", "yyyy-MM-dd").alias("retired_at"))
 
 
-@query(f"""WITH {t.EDGES_SQL}, n AS (SELECT 'C' || c_custkey AS id FROM customer WHERE c_custkey % 7 = 0)
+@query(f"""WITH {t.EDGES_SQL}, n AS (SELECT 'C' || c_custkey AS id FROM customer WHERE c_acctbal < 0)
 SELECT DISTINCT subject, predicate, object FROM edges WHERE subject IN (SELECT id FROM n) OR object IN (SELECT id FROM n)""")
 def edges_touching(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = t.load(spark, sf_dir, "customer").where("c_custkey % 7 = 0").select(F.concat(F.lit("C"), "c_custkey").alias("id"))
+    nodes = t.load(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.concat(F.lit("C"), "c_custkey").alias("id"))
     return reconcile.touching(t.kg_edges(spark, sf_dir).drop("confidence"), nodes, "subject", "object")
 
 
@@ -64,6 +65,13 @@ def best_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.best_match(scored, "a", "b", "score")
 
 
+@query()
+def greedy_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers and parts matched one to one, the highest totals first."""
+    scored = t.load(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b")).agg(F.round(F.sum("l_quantity"), 2).alias("score"))
+    return reconcile.greedy_match(scored, "a", "b", "score", cut)
+
+
 @query("""SELECT p_partkey, p_type, p_retailprice FROM (SELECT *, row_number() OVER (PARTITION BY lower(p_type), p_size ORDER BY p_retailprice DESC, p_partkey) AS place FROM part) WHERE place = 1""")
 def forecast_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One a title (type and size), that of the highest confidence (price)."""
@@ -71,16 +79,7 @@ def forecast_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.keep_best(rows, F.struct(F.lower("p_type"), "p_size"), [F.desc("p_retailprice"), F.col("p_partkey")]).drop("p_size")
 
 
-@query("""WITH i AS (SELECT p_partkey, CASE WHEN p_partkey % 11 > 0 THEN p_size * 40 END AS w, p_size * 25 AS h, p_name || CASE WHEN p_partkey % 13 = 0 THEN '.svg' ELSE '.jpg' END AS url FROM part)
-SELECT p_partkey, CASE WHEN url LIKE '%.svg' THEN 0.0 WHEN w IS NULL THEN 1.0 WHEN w < 200 OR h < 120 THEN 0.3 WHEN w / h < 0.4 OR w / h > 3.5 THEN 0.2
- ELSE round(sqrt(w * h) / 100 * CASE WHEN w / h BETWEEN 1.3 AND 2.1 THEN 1.25 ELSE 1.0 END, 4) END::DOUBLE AS score FROM i""")
-def image_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    url = F.concat("p_name", F.when(F.col("p_partkey") % 13 == 0, ".svg").otherwise(".jpg"))
-    width = F.when(F.col("p_partkey") % 11 > 0, F.col("p_size") * 40)
-    return t.load(spark, sf_dir, "part").select("p_partkey", scores.image_score(width, F.col("p_size") * 25, url).cast("double").alias("score"))
-
-
-@query(f"""WITH {t.STORIES_SQL} SELECT id, CASE WHEN source_count >= 4 OR n_articles >= 5 THEN 'deep' WHEN source_count >= 2 AND n_articles >= 2 THEN 'standard' ELSE 'brief' END AS depth,
+@query(f"""WITH {t.STORIES_SQL} SELECT id, CASE WHEN source_count >= 4 OR n_articles >= 5 THEN 'deep' WHEN source_count >= 2 OR n_articles >= 2 THEN 'standard' ELSE 'brief' END AS depth,
 CASE WHEN credibility >= 85 THEN 'very high' WHEN credibility >= 70 THEN 'high' WHEN credibility >= 55 THEN 'fair' WHEN credibility >= 40 THEN 'mixed' ELSE 'low' END AS agreement FROM stories""")
 def story_ladders(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = t.stories(spark, sf_dir)
@@ -116,12 +115,12 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.load(spark, sf_dir, "events").groupBy("event_type").agg(F.count(k).alias("n"), F.sum(k).alias("total"), F.max(k).alias("largest"))
 
 
-@query("""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(substr(text, 1, 600)), '[a-z]{4,}')) AS w, generate_subscripts(regexp_extract_all(lower(substr(text, 1, 600)), '[a-z]{4,}'), 1) AS p FROM documents),
+@query("""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS w, generate_subscripts(regexp_extract_all(lower(text), '[a-z]{4,}'), 1) AS p FROM documents),
 c AS (SELECT doc_id, w, count(*) AS n, min(p) AS p FROM w GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, p) AS place FROM c)
 SELECT doc_id, string_agg(w, ' ' ORDER BY place) AS keywords FROM r WHERE place <= 3 GROUP BY 1""")
 def keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three most frequent words of four letters or more, ties by first use."""
-    own = t.articles(spark, sf_dir).select(F.col("id").alias("doc_id"), F.posexplode(F.regexp_extract_all(F.lower("summary"), F.lit("[a-z]{4,}"), F.lit(0))).alias("p", "w"))
+    own = t.articles(spark, sf_dir).select(F.col("id").alias("doc_id"), F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("p", "w"))
     counts = own.groupBy("doc_id", "w").agg(F.count("*").alias("n"), F.min("p").alias("p"))
     best = feed.top_per_group(counts, ["doc_id"], [F.desc("n"), F.col("p")], 3)
     return best.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "p", "w"))), lambda x: x["w"]), " ").alias("keywords"))
@@ -136,7 +135,10 @@ def sitemap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.unionByName(section("source", t.load(spark, sf_dir, "supplier"), "s_suppkey", "s_acctbal", 50))
 
 
-@query("""SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), 'price target|risk[- ]free') THEN TRUE ELSE FALSE END AS advice, regexp_replace(regexp_replace(lower(trim(role)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS role FROM conversations""")
+ADVICE_SQL = "|".join(f"(?:{p})" for p in scores.ADVICE)
+
+
+@query(f"""SELECT conv_id, turn, regexp_matches(lower(text), '{ADVICE_SQL}') AS advice, regexp_replace(regexp_replace(lower(trim(role)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS role FROM conversations""")
 def conversation_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.load(spark, sf_dir, "conversations").select("conv_id", "turn", scores.advice_in(F.col("text")).isNotNull().alias("advice"), scores.snake(F.col("role")).alias("role"))
 

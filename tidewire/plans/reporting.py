@@ -210,11 +210,11 @@ def topn_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feed.top_per_group(rows, ["l_suppkey"], [F.desc("l_shipdate"), F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")], 2).drop("l_shipdate")
 
 
-@query(f"""WITH {t.STORIES_SQL} SELECT event_id AS bookmark, id AS story_id, round(credibility - value, 1) AS delta FROM events JOIN stories ON id = event_id % 1500 WHERE event_type = 'click'""")
+@query(f"""WITH {t.STORIES_SQL} SELECT event_id AS bookmark, id AS story_id, round((credibility - value)::DECIMAL(20, 8), 1)::DOUBLE AS delta FROM events JOIN stories ON id = event_id % 1500 WHERE event_type = 'click'""")
 def saved_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = t.visits(spark, sf_dir).where("path = 'click'").select(F.col("id").alias("bookmark"), "story_id", "value")
     joined = marks.join(t.stories(spark, sf_dir).select(F.col("id").alias("story_id"), "credibility"), "story_id")
-    return joined.select("bookmark", "story_id", F.round(F.col("credibility") - F.col("value"), 1).alias("delta"))
+    return joined.select("bookmark", "story_id", F.round((F.col("credibility") - F.col("value")).cast("decimal(20,8)"), 1).cast("double").alias("delta"))
 
 
 READS = """reads AS (SELECT user_id, event_id % 1500 AS story_id, max(least(value / 100, 1.0)) AS progress, min(CASE WHEN least(value / 100, 1.0) >= 0.9 THEN ts END) AS completed_at, count(*) AS updates

@@ -103,14 +103,11 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def kg_edges(spark: SparkSession, sf_dir: str, strongest: int = 5) -> DataFrame:
-    """supplier -supplies-> customer -located_in-> nation -part_of-> region; each supplier's strongest customers only."""
-    from pyspark.sql.window import Window
-
+def kg_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """supplier -supplies-> customer -located_in-> nation -part_of-> region."""
     lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_discount")
     pairs = lines.join(load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("l_suppkey", "o_custkey").agg(F.round(1 - F.avg("l_discount"), 4).alias("confidence"))
-    first = F.row_number().over(Window.partitionBy("l_suppkey").orderBy(F.desc("confidence"), "o_custkey"))
-    supplies = pairs.withColumn("place", first).where(F.col("place") <= strongest).select(F.concat(F.lit("S"), "l_suppkey").alias("subject"), F.lit("supplies").alias("predicate"), F.concat(F.lit("C"), "o_custkey").alias("object"), "confidence")
+    supplies = pairs.select(F.concat(F.lit("S"), "l_suppkey").alias("subject"), F.lit("supplies").alias("predicate"), F.concat(F.lit("C"), "o_custkey").alias("object"), "confidence")
     located = load(spark, sf_dir, "customer").select(F.concat(F.lit("C"), "c_custkey").alias("subject"), F.lit("located_in").alias("predicate"), F.concat(F.lit("N"), "c_nationkey").alias("object"), F.lit(0.9).alias("confidence"))
     part = load(spark, sf_dir, "nation").select(F.concat(F.lit("N"), "n_nationkey").alias("subject"), F.lit("part_of").alias("predicate"), F.concat(F.lit("R"), "n_regionkey").alias("object"), F.lit(0.95).alias("confidence"))
     return supplies.unionByName(located).unionByName(part)
@@ -120,6 +117,6 @@ EDGES_SQL = """pairs AS (
   SELECT l_suppkey, o_custkey, round(1 - avg(l_discount), 4) AS confidence FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
 edges AS (
   SELECT 'S' || l_suppkey AS subject, 'supplies' AS predicate, 'C' || o_custkey AS object, confidence
-  FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY confidence DESC, o_custkey) AS place FROM pairs) WHERE place <= 5
+  FROM pairs
   UNION ALL SELECT 'C' || c_custkey, 'located_in', 'N' || c_nationkey, 0.9 FROM customer
   UNION ALL SELECT 'N' || n_nationkey, 'part_of', 'R' || n_regionkey, 0.95 FROM nation)"""
