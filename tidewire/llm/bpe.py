@@ -31,11 +31,13 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import batches, map_arrow, table, texts
 
 #: Entries that the tables of known stretches and of known pieces hold before they are emptied.
-KNOWN, KNOWN_PIECES = 250_000, 150_000
+KNOWN, KNOWN_PIECES = 200_000, 100_000
 #: Bytes of the pieces that one recursive query takes (one piece at least), and steps after which it hands on what is not done.
-QUERY_BYTES, STEPS = 400_000, 16
+QUERY_BYTES, STEPS = 250_000, 16
+#: Ids that one query decodes (one row at least).
+QUERY_IDS = 200_000
 #: Memory of a task's database; what goes beyond is spilled to the task's own scratch folder.
-MEMORY = "128MB"
+MEMORY = "100MB"
 
 _LAST = f"""last AS (SELECT piece, max(step) AS step FROM state GROUP BY piece)
 SELECT piece, list(tok ORDER BY pos) AS ids, step = {STEPS} AS unfinished FROM state JOIN last USING (piece, step) GROUP BY piece, step ORDER BY piece"""
@@ -199,24 +201,33 @@ class Codec:
             fresh = {p for ps in cut for p in ps if p not in self.whole}
         if fresh:
             self.pieces.update(zip(fresh, self._merge(list(fresh)), strict=True))
-        found = {**self.pieces, **self.whole}
+        whole, pieces_ = self.whole, self.pieces
         for unit, pieces in zip(units, cut, strict=True):
-            self.known[unit] = found[pieces[0]] if len(pieces) == 1 else b"".join([found[p] for p in pieces])
+            self.known[unit] = b"".join([whole[p] if p in whole else pieces_[p] for p in pieces])
 
     def encode(self, texts_: list[str]) -> list[bytes]:
         """The ids of each text, as bytes of int32."""
-        cut = [self.units(t) for t in texts_]
-        fresh = {u for us in cut for u in us if u not in self.known}
-        if len(self.known) + len(fresh) > KNOWN:
-            self.known.clear()
-            fresh = set().union(*cut)
+        # texts are cut twice rather than all their stretches held at once
+        known = self.known
+        fresh = {u for t in texts_ for u in self.units(t) if u not in known}
+        if len(known) + len(fresh) > KNOWN:
+            known.clear()
+            fresh = {u for t in texts_ for u in self.units(t)}
         if fresh:
             self._learn(list(fresh))
-        known = self.known
-        return [b"".join(map(known.__getitem__, us)) for us in cut]
+        return [b"".join(map(known.__getitem__, self.units(t))) for t in texts_]
 
     def decode(self, rows: list[np.ndarray]) -> list[bytes]:
         """The bytes of each row of ids."""
+        ends = np.cumsum([len(r) for r in rows], dtype=np.int64)
+        out: list[bytes] = []
+        while len(out) < len(rows):
+            start = len(out)
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + QUERY_IDS, side="right")))
+            out += self._decode(rows[start:stop])
+        return out
+
+    def _decode(self, rows: list[np.ndarray]) -> list[bytes]:
         sizes = np.array([len(r) for r in rows], np.int64)
         ids = np.concatenate(rows) if rows else np.zeros(0, np.int32)
         if len(ids) and (int(ids.min()) < 0 or int(ids.max()) >= len(self.decimal)):
