@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,6 +55,20 @@ def blocked_pairs(keys: DataFrame, n_docs: int, share: float = 0.2) -> DataFrame
     return kept.select("key", F.col("id").alias("a")).join(kept.select("key", F.col("id").alias("b")), "key").where("a < b").select("a", "b").distinct()
 
 
+def rare_pairs(anchors: DataFrame, n_docs: int) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of ids within WINDOW_HOURS that share a rare anchor (id, key, at): no other pair passes the gates.
+
+    Times fall into windows; a row meets its own and the windows beside it.  Rows without a time meet all of their key.
+    """
+    useful = anchors.groupBy("key").agg(F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("n") <= max(3, int(0.02 * n_docs)))).select("key")
+    kept = anchors.join(useful, "key", "left_semi").withColumn("window", F.floor(F.col("at") / (WINDOW_HOURS * 3600)))
+    left = kept.select("key", F.col("id").alias("a"), F.col("at").alias("ta"), "window")
+    right = kept.select("key", F.col("id").alias("b"), F.col("at").alias("tb"), F.col("window").alias("w"))
+    near = left.join(right.withColumn("window", F.explode(F.array(F.col("w") - 1, F.col("w"), F.col("w") + 1))), ["key", "window"]).where((F.col("a") < F.col("b")) & (F.abs(F.col("ta") - F.col("tb")) <= WINDOW_HOURS * 3600))
+    timeless = left.where("ta IS NULL").join(right, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return near.select("a", "b").unionByName(timeless).distinct()
+
+
 def cosines(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     """(a, b, cos) of pairs, through the terms they share."""
     left, right = vectors.select(F.col("id").alias("a"), "term", F.col("w").alias("wa")), vectors.select(F.col("id").alias("b"), "term", F.col("w").alias("wb"))
@@ -85,10 +102,12 @@ def event_groups(articles: DataFrame, cut: Callable[[DataFrame], DataFrame]) ->
     whose mean score with the others is under COHESION leaves it, unless all would.
     """
     n = articles.count()
-    named = articles.select("id", F.array_distinct(F.concat(T.anchors(F.col("title")), T.anchors(F.substring("summary", 1, 200)))).alias("keys"), T.numbers(F.col("title")).alias("nums"), "fetched_at")
-    anchors = named.select("id", F.explode("keys").alias("key"))
-    pairs = cut(blocked_pairs(anchors, n))
-    vectors = tfidf(term_counts(articles), n)
+    named = cut(articles.select("id", F.array_distinct(F.concat(T.anchors(F.col("title")), T.anchors(F.substring("summary", 1, 200)))).alias("keys"), T.numbers(F.col("title")).alias("nums"), "fetched_at"))
+    anchors = cut(named.select("id", F.explode("keys").alias("key"), F.unix_timestamp("fetched_at").alias("at")))
+    pairs = cut(rare_pairs(anchors, n))
+    anchors = anchors.select("id", "key")
+    paired = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    vectors = tfidf(term_counts(articles), n).join(paired, "id", "left_semi")
     facts = named.select("id", "nums", F.unix_timestamp("fetched_at").alias("at"))
     a, b = (facts.select(F.col("id").alias(x), F.col("nums").alias(f"n{x}"), F.col("at").alias(f"t{x}")) for x in "ab")
     joined = cosines(pairs, vectors).join(anchor_similarity(pairs, anchors, n), ["a", "b"]).join(a, "a").join(b, "b")
@@ -108,34 +127,48 @@ def event_groups(articles: DataFrame, cut: Callable[[DataFrame], DataFrame]) ->
 
 
 def fact_clusters(facts: DataFrame) -> DataFrame:
-    """Facts of a story (story_id, pos, source, words) with their cluster, in order of position.
+    """Facts of a story (story_id, pos, source, words) with their cluster, in order of article and position.
 
     Greedy by average linkage, which depends on the order: each fact joins the cluster it is most like, on average,
-    from SAME_FACT on.  A story's facts are bounded by its articles and FACTS_AN_ARTICLE.
+    by the cosine of TF-IDF weights over the story's facts, from SAME_FACT on.  A story's facts are bounded by its
+    articles and FACTS_AN_ARTICLE.
     """
 
     def cluster(story: pd.DataFrame) -> pd.DataFrame:
-        story = story.sort_values(["pos", "source"], kind="stable")
-        bags: list[list[set[str]]] = []
+        story = story.sort_values(["source", "pos"], kind="stable")
+        counts = [Counter(words) for words in story["words"]]
+        df = Counter(w for c in counts for w in c)
+        names = {w: i for i, w in enumerate(df)}
+        rarity = np.array([math.log((len(counts) + 1) / (n + 1)) + 1 for n in df.values()])
+        vectors = np.zeros((len(counts), len(names)))
+        for i, c in enumerate(counts):
+            for w, n in c.items():
+                vectors[i, names[w]] = (1 + math.log(n)) * rarity[names[w]]
+        vectors /= np.maximum(np.sqrt((vectors * vectors).sum(1, keepdims=True)), 1e-300)
+        sums: list[np.ndarray] = []  # the mean cosine with a cluster is the cosine with its sum, divided by its size
+        sizes: list[int] = []
         labels = []
-        for words in story["words"]:
-            bag = set(words)
-            best, place = 0.0, -1
-            for i, members in enumerate(bags):
-                mean = sum(len(bag & m) / ((len(bag) * len(m)) ** 0.5) if bag and m else 0.0 for m in members) / len(members)
-                if mean > best:
-                    best, place = mean, i
-            if best >= SAME_FACT:
-                bags[place].append(bag)
+        for vector in vectors:
+            means = [float(s @ vector) / n for s, n in zip(sums, sizes, strict=True)]
+            place = int(np.argmax(means)) if means else -1
+            if place >= 0 and means[place] >= SAME_FACT:
+                sums[place] = sums[place] + vector
+                sizes[place] += 1
             else:
-                place = len(bags)
-                bags.append([bag])
+                place = len(sums)
+                sums.append(vector)
+                sizes.append(1)
             labels.append(place)
         return story[["story_id", "pos", "source"]].assign(cluster=labels)
 
     return facts.groupBy("story_id").applyInPandas(cluster, "story_id long, pos int, source string, cluster int")
 
 
+def info_score(text: Column) -> Column:
+    """How much a sentence reports: its anchors, numbers and length."""
+    return F.size(T.anchors(text)) + 0.8 * F.size(T.numbers(text)) + F.least(F.length(text) / 120.0, F.lit(1.5))
+
+
 def subject_pairs(articles: DataFrame, story: str, n_docs: int, least: float = 0.45) -> DataFrame:
     """Pairs of articles within one story whose cosine reaches ``least``; joined on story and term, not on story alone."""
     vectors = tfidf(term_counts(articles.select("id", "title", "summary")), n_docs).join(articles.select("id", story), "id")
