@@ -23,7 +23,7 @@ fingerprint (null if no row of the class has an id).
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -270,52 +270,69 @@ def wide_fingerprints(docs: DataFrame, width: int) -> DataFrame:
     return map_rows(texts(docs), scan, f"doc_id long, {', '.join(f'{w} long' for w in PRINT)}, n_shingles long")
 
 
-def _candidates(a: np.ndarray, b: np.ndarray | None, slot: int, forest: bool) -> Iterator[np.ndarray]:
-    """Pairs of ids from two tiles, or from one (b is None), block by block; rows are (id, class, n, *PRINT).
-
-    Pairs of one class are left out, and those that share the least shingle of an earlier slot.  As a forest: each row
-    comes with the nearest of a block only, and what a pair connects is one class from there on.
-    """
-    rows = a if b is None else np.concatenate([a, b])
-    classes, prints = np.unique(rows[:, 1], return_inverse=True)[1], np.ascontiguousarray(rows[:, 3 : 3 + len(WORDS)]).view(np.uint64)
-    least = np.ascontiguousarray(rows[:, 3 + len(WORDS) :]).view(np.uint32)
-    sizes = rows[:, 2]
-    for start in range(0, len(a), STAGE_BLOCK):
-        stop = min(start + STAGE_BLOCK, len(a))
-        first = start if b is None else len(a)
-        x, y = np.nonzero(np.bitwise_count(prints[start:stop, None, 0] ^ prints[None, first:, 0]) <= STAGE_RADIUS)
-        x, y = x + start, y + first
-        keep = (x < y) & (classes[x] != classes[y])
-        x, y = x[keep], y[keep]
-        keep = np.minimum(sizes[x], sizes[y]) >= STAGE_SIMILARITY * np.maximum(sizes[x], sizes[y])
-        keep &= ~(least[x, :slot] == least[y, :slot]).any(1)
-        x, y = x[keep], y[keep]
-        bits = np.zeros(len(x), np.int64)
-        for word in range(len(WORDS)):
-            bits += np.bitwise_count(prints[x, word] ^ prints[y, word])
-        keep = bits <= STAGE_WIDE_RADIUS
-        x, y, bits = x[keep], y[keep], bits[keep]
-        if forest and len(x):
-            order = np.lexsort((x, bits))
-            nearest = order[np.unique(y[order], return_index=True)[1]]
-            taken = []
-            for i, j in zip(x[nearest].tolist(), y[nearest].tolist(), strict=True):
-                if classes[i] != classes[j]:
+def _close(prints: np.ndarray, least: np.ndarray, sizes: np.ndarray, begin: int, first: int, classes: np.ndarray | None, slot: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows, one of the block from begin, one from first on: within the radii, of similar size, of different classes, without a common least shingle in an earlier slot."""
+    block = prints[begin : begin + STAGE_BLOCK, None, 0]
+    x, y = np.nonzero(np.bitwise_count(block ^ prints[None, first:, 0]) <= STAGE_RADIUS)
+    x, y = x + begin, y + first
+    keep = x < y
+    if classes is not None:
+        keep &= classes[x] != classes[y]
+    x, y = x[keep], y[keep]
+    keep = np.minimum(sizes[x], sizes[y]) >= STAGE_SIMILARITY * np.maximum(sizes[x], sizes[y])
+    keep &= ~(least[x, :slot] == least[y, :slot]).any(1)
+    x, y = x[keep], y[keep]
+    bits = np.zeros(len(x), np.int64)
+    for word in range(len(WORDS)):
+        bits += np.bitwise_count(prints[x, word] ^ prints[y, word])
+    return x[bits <= STAGE_WIDE_RADIUS], y[bits <= STAGE_WIDE_RADIUS]
+
+
+def _tile(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
+    """(order that puts one tile before the other, prints, least, size of the first tile, where partners begin) of a tile pair's rows (slot, key, one, two, own, id, n, *PRINT)."""
+    order = np.argsort(rows[:, 4] != rows[0, 2], kind="stable")
+    rows = rows[order]
+    n_first = int((rows[:, 4] == rows[0, 2]).sum())
+    at = 7 + len(WORDS)
+    return order, np.ascontiguousarray(rows[:, 7:at]).view(np.uint64), np.ascontiguousarray(rows[:, at:]).view(np.uint32), n_first, 0 if rows[0, 2] == rows[0, 3] else n_first
+
+
+def _marks(rows: np.ndarray, _: list | None) -> np.ndarray:
+    """(id, slot) of the rows of a tile pair that have a partner in it."""
+    order, prints, least, n_first, first = _tile(rows)
+    rows = rows[order]
+    slot, found = int(rows[0, 0]), np.zeros(len(rows), bool)
+    for begin in range(0, n_first, STAGE_BLOCK):
+        x, y = _close(prints, least, rows[:, 6], begin, first, None, slot)
+        x, y = x[x < n_first], y[x < n_first]
+        found[x] = found[y] = True
+    return np.stack([rows[found, 5], np.full(int(found.sum()), slot)], 1)
+
+
+def _similar(rows: np.ndarray, grams: list[bytes]) -> np.ndarray:
+    """Pairs of ids of a tile pair whose sets of shingles are similar (Jaccard): enough to connect all that such pairs connect."""
+    order, prints, least, n_first, first = _tile(rows)
+    rows = rows[order]
+    sets = [np.frombuffer(grams[i], np.uint32) for i in order.tolist()]
+    classes, out = np.arange(len(rows)), []
+    for begin in range(0, n_first, STAGE_BLOCK):
+        x, y = _close(prints, least, rows[:, 6], begin, first, classes, int(rows[0, 0]))
+        inside = x < n_first
+        for i, j in zip(x[inside].tolist(), y[inside].tolist(), strict=True):
+            if classes[i] != classes[j]:
+                common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if common >= STAGE_SIMILARITY * (len(sets[i]) + len(sets[j]) - common):
                     classes[classes == classes[j]] = classes[i]
-                    taken.append((i, j))
-            x, y = np.array(taken, np.int64).reshape(-1, 2).T
-        if len(x):
-            yield np.stack([rows[x, 0], rows[y, 0]], 1)
-
+                    out.append((rows[i, 5], rows[j, 5]))
+    return np.array(out, np.int64).reshape(-1, 2)
 
-def candidates(prints: DataFrame, forest: bool) -> DataFrame:
-    """Pairs (a, b) of ids of rows (id, class, n, *PRINT) that may be similar to STAGE_SIMILARITY and are of different classes; each pair once.
 
-    Rows with one least shingle in a slot make a tile, or several that are compared pair by pair.
-    """
-    columns = ["id", "class", "n", *PRINT]
+def _by_tile(rows: DataFrame, function: Callable[[np.ndarray, list | None], np.ndarray], names: tuple[str, str]) -> DataFrame:
+    """function of each tile pair's rows (id, n, *PRINT, slots, and grams if there are any): rows with one least shingle in a slot make a tile, or several that are compared pair by pair."""
+    columns = ["id", "n", *PRINT, *(["grams"] if "grams" in rows.columns else [])]
     half = lambda i: F.shiftrightunsigned(F.col(LEAST[i // 2]), 32 * (i % 2)).bitwiseAND(F.lit(0xFFFFFFFF))
-    keyed = prints.select(*columns, F.explode(F.array(*[F.struct(F.lit(i).alias("slot"), half(i).alias("key")) for i in range(SLOTS)])).alias("k"))
+    keys = F.array(*[half(i) for i in range(SLOTS)])
+    keyed = rows.select(*columns, F.explode(F.transform("slots", lambda s: F.struct(s.alias("slot"), F.get(keys, s).alias("key")))).alias("k"))
     keyed = keyed.select(F.col("k.slot").alias("slot"), F.col("k.key").alias("key"), *columns)
     hot = cut(keyed.groupBy("slot", "key").agg(F.ceil(F.count("*") / STAGE_TILE).cast("int").alias("parts")).where("parts > 1"))
     n_hot = hot.count()
@@ -328,12 +345,15 @@ def candidates(prints: DataFrame, forest: bool) -> DataFrame:
         keyed = keyed.select("slot", "key", F.lit(0).alias("own"), F.lit(0).alias("other"), *columns)
     tile = ["slot", "key", "one", "two"]
     dealt = keyed.select("slot", "key", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", *columns).repartition(*tile).sortWithinPartitions(*tile, "own", "id")
+    numbers = 7 + len(PRINT)
 
     def run(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        grams: list[bytes] = []
         for batch in itertools.chain(batches(iterator), [None]):
             if batch is not None:
-                held.append(np.stack([np.asarray(c, np.int64) for c in batch.columns], 1))
+                held.append(np.stack([np.asarray(c, np.int64) for c in batch.columns[:numbers]], 1))
+                grams += batch.column(numbers).to_pylist() if batch.num_columns > numbers else []
                 if (held[0][0, :4] == held[-1][-1, :4]).all():
                     continue
             if not held:
@@ -343,60 +363,45 @@ def candidates(prints: DataFrame, forest: bool) -> DataFrame:
             ends = np.append(edges, len(data)) if batch is None else edges
             starts = np.append(0, edges)[: len(ends)]
             several = ends - starts > 1
-            for start, end in zip(starts[several].tolist(), ends[several].tolist(), strict=True):
-                part = data[start:end]
-                slot, _, one, two = part[0, :4].tolist()
-                a, b = (part[:, 5:], None) if one == two else (part[part[:, 4] == one, 5:], part[part[:, 4] == two, 5:])
-                for pairs in _candidates(a, b, slot, forest):
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+            found = [function(data[x:y], grams[x:y]) for x, y in zip(starts[several].tolist(), ends[several].tolist(), strict=True)]
+            if found:
+                pairs = np.concatenate(found)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], list(names))
             rest = int(ends[-1]) if len(ends) else 0
-            held = [data[rest:]] if rest < len(data) else []
+            held, grams = [data[rest:]] if rest < len(data) else [], grams[rest:]
 
-    return map_arrow(dealt, run, "a long, b long")
+    return map_arrow(dealt, run, f"{names[0]} long, {names[1]} long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of ids whose sets of shingles are so similar (Jaccard).
+def similar_pairs(prints: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ids of prints (id, n, *PRINT) that connect all texts similar to STAGE_SIMILARITY.
 
-    Shingles travel as 32 bits of their hash: of n shingles about n / 2 ** 32 of them may be taken for others.
+    A first pass marks the rows that have a partner within the radii, and the slots where they meet; only these fetch
+    their shingles, as 32 bits of each hash (of n shingles about n / 2 ** 32 may be taken for others), and meet again.
+    Both passes give out a row's mark or a link of a forest, never all pairs of a tile.
     """
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    marks = cut(_by_tile(prints.withColumn("slots", F.sequence(F.lit(0), F.lit(SLOTS - 1))), _marks, ("id", "slot")).distinct())
+    wanted = marks.groupBy("id").agg(F.array_sort(F.collect_set(F.col("slot").cast("int"))).alias("slots"))  # SLOTS at most
 
     def shingles(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [np.unique(shingle_hashes(t, width, True) >> np.uint64(32)).astype(np.uint32).tobytes() for t in batch.column("text").to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "grams"])
-
-    grams = map_rows(of_ids(texts(docs), ids), shingles, "doc_id long, grams binary").dropDuplicates(["doc_id"])
-    both = pairs.join(grams.select(F.col("doc_id").alias("a"), F.col("grams").alias("ga")), "a").join(grams.select(F.col("doc_id").alias("b"), F.col("grams").alias("gb")), "b")
-
-    def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ok = []
-        for x, y in zip(batch.column("ga").to_pylist(), batch.column("gb").to_pylist(), strict=True):
-            x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-            common = len(np.intersect1d(x, y, assume_unique=True))
-            ok.append(common >= similarity * (len(x) + len(y) - common))
-        return pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        sets = [np.unique(shingle_hashes(t, STAGE_WIDTH, True) >> np.uint64(32)).astype(np.uint32).tobytes() for t in batch.column("text").to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["id", "grams"])
 
-    return map_rows(both.select("a", "b", "ga", "gb"), compare, "a long, b long")
+    grams = map_rows(of_ids(texts(docs), marks.select("id")), shingles, "id long, grams binary").dropDuplicates(["id"])
+    return _by_tile(prints.join(wanted, "id").join(grams, "id"), _similar, ("a", "b"))
 
 
 def deduplicated_documents(docs: DataFrame) -> DataFrame:
     """The rows of documents without those of which a near copy with a smaller id stays.
 
     Prints of 256 bits over distinct five-word shingles propose pairs, which are
-    held against the shingles themselves.  A first pass proposes each print with
-    its nearest ones, which joins large groups of copies by few pairs; a second
-    proposes all pairs between what the first did not join.  Equal prints are one
-    class; one row of each class stays, that with the least id; of rows that
-    repeat an id one stays; rows with a null id stay.
+    held against the shingles themselves.  Equal prints are one class; one row of
+    each class stays, that with the least id; of rows that repeat an id one
+    stays; rows with a null id stay.
     """
     own = cut(wide_fingerprints(docs.where("doc_id IS NOT NULL"), STAGE_WIDTH))
     prints = cut(own.groupBy(*PRINT).agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n")))
-    verified = lambda rows, forest: cut(_verified(cut(candidates(rows, forest)), docs, STAGE_WIDTH, STAGE_SIMILARITY))
-    first = verified(prints.withColumn("class", F.col("id")), True)
-    joined = connected_components(first, cut)
-    classed = cut(prints.join(joined, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("class"), "n", *PRINT))
-    component = connected_components(first.unionByName(verified(classed, False)), cut)
+    component = connected_components(cut(similar_pairs(prints, docs)), cut)
     heads = prints.select("id").join(component, F.col("id") == F.col("node"), "left").where("component IS NULL OR component = id").select(F.col("id").alias("doc_id")).distinct()
     copies = own.select("doc_id").distinct().join(heads, "doc_id", "left_anti")
     once = own.groupBy("doc_id").count().where("count > 1").isEmpty()
