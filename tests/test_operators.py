@@ -1,5 +1,7 @@
 """Operators against hand-computed expectations and brute force."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,3 +87,29 @@ def test_event_groups(spark):
     ]
     docs = spark.createDataFrame(rows, "id long, title string, summary string").withColumn("fetched_at", F.lit("2024-01-01").cast("timestamp"))
     assert {r.id: r.event_id for r in similarity.event_groups(docs, cut).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
+def test_greedy_match_and_keep_first(spark):
+    from tidewire.operators import reconcile
+    from tidewire.operators.checkpoint import cut
+
+    r = random.Random(3)
+    rows = [(a, b, r.randint(1, 5)) for a in range(12) for b in range(12) if r.random() < 0.4]
+    taken, used_a, used_b = [], set(), set()
+    for a, b, score in sorted(rows, key=lambda x: (-x[2], x[0], x[1])):
+        if a not in used_a and b not in used_b:
+            taken.append((a, b, score))
+            used_a.add(a)
+            used_b.add(b)
+    found = reconcile.greedy_match(spark.createDataFrame(rows, "a int, b int, score int"), "a", "b", "score", cut)
+    assert sorted(tuple(x) for x in found.collect()) == sorted(taken)
+    nodes = [(i, r.randint(0, 4)) for i in range(40)]
+    pairs = {(r.randrange(40), r.randrange(40)) for _ in range(60)}
+    kept, by = [], {}
+    for i, _ in sorted(nodes, key=lambda x: (x[1], x[0])):
+        hit = next((k for k in kept if (i, k) in pairs or (k, i) in pairs), i)
+        by[i] = hit
+        if hit == i:
+            kept.append(i)
+    out = reconcile.keep_first(spark.createDataFrame(nodes, "id int, o int"), spark.createDataFrame(sorted(pairs), "a int, b int"), "id", [F.col("o")], cut)
+    assert {x.id: x.kept_by for x in out.collect()} == by

@@ -75,25 +75,25 @@ def greedy_match(candidates: DataFrame, left: str, right: str, score: str, cut:
 
 
 def keep_first(rows: DataFrame, conflicts: DataFrame, key: str, order: list[Column], cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Rows kept when taken in order (key must settle ties) and each is left out that conflicts with one kept before: (key, kept_by), the keeper itself or the first that shut it out.
+    """Rows kept when taken in order (key must settle ties) and each is left out that conflicts with one kept before: (key, kept_by), the row itself or the first kept one it conflicts with.
 
     conflicts: pairs (a, b) of keys.  A round keeps every row without an undecided or kept row before it, and shuts out what conflicts with these.
     """
     ranked = cut(rows.select(F.col(key).alias("id"), F.struct(*[c.alias(f"o{i}") for i, c in enumerate([*order, F.col(key)])]).alias("rank")))
     pairs = conflicts.select("a", "b").unionByName(conflicts.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     pairs = pairs.join(ranked.select(F.col("id").alias("a"), F.col("rank").alias("ra")), "a").join(ranked.select(F.col("id").alias("b"), F.col("rank").alias("rb")), "b")
-    before = cut(pairs.where(F.col("ra") < F.col("rb")))  # a comes before b
-    undecided, decided = ranked, None
+    before = first_pairs = cut(pairs.where(F.col("ra") < F.col("rb")))  # a comes before b
+    undecided, kept = ranked, ranked.select("id").limit(0)
     while not undecided.isEmpty():
-        kept = cut(undecided.join(before.select(F.col("b").alias("id")).distinct(), "id", "left_anti"))
-        shut = before.join(kept.select(F.col("id").alias("a")), "a").groupBy(F.col("b").alias("id")).agg(F.min_by("a", "ra").alias("kept_by"))
-        now = cut(kept.select("id", F.col("id").alias("kept_by")).unionByName(shut))
-        decided = now if decided is None else decided.unionByName(now)
-        undecided = cut(undecided.join(now.select("id"), "id", "left_anti"))
-        gone = now.select(F.col("id").alias("a"))
-        before = cut(before.join(gone, "a", "left_anti").join(gone.withColumnRenamed("a", "b"), "b", "left_anti"))
-    done = rows.select(F.col(key).alias("id"), F.col(key).alias("kept_by")).limit(0) if decided is None else decided
-    return done.withColumnRenamed("id", key)
+        now = cut(undecided.select("id").join(before.select(F.col("b").alias("id")).distinct(), "id", "left_anti"))
+        shut = before.join(now.select(F.col("id").alias("a")), "a").select(F.col("b").alias("id"))
+        gone = cut(now.unionByName(shut).distinct())
+        kept = kept.unionByName(now)
+        undecided = cut(undecided.join(gone, "id", "left_anti"))
+        before = cut(before.join(gone.select(F.col("id").alias("a")), "a", "left_anti").join(gone.select(F.col("id").alias("b")), "b", "left_anti"))
+    kept = cut(kept)
+    absorbed = first_pairs.join(kept.select(F.col("id").alias("a")), "a").join(kept.select(F.col("id").alias("b")), "b", "left_anti").groupBy(F.col("b").alias("id")).agg(F.min_by("a", "ra").alias("kept_by"))
+    return kept.select("id", F.col("id").alias("kept_by")).unionByName(absorbed).withColumnRenamed("id", key)
 
 
 def keep_best(rows: DataFrame, key: Column, order: list[Column]) -> DataFrame:
