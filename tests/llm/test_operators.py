@@ -108,6 +108,8 @@ def test_bpe_like_tiktoken(spark):
     r = random.Random(5)
     texts = ["", " ", "  x", "x \n y", "it's\tI'll", "a" * 3000, "<|endoftext|> 1½ ٣", "　x\u0085"] + ["".join(r.choice("abc  \n\t.é1\x1c'漢😀") for _ in range(r.randint(1, 60))) for _ in range(400)]
     texts += ["".join(r.choice("etaoinshr") for _ in range(600)) for _ in range(3)]
+    texts += ["a" * 50_000, "".join(r.choice("acgt") for _ in range(2000)), "".join(chr(r.randint(0x4E00, 0x9FFF)) for _ in range(3000))]
+    texts += [" ".join("".join(chr(r.randint(0x4E00, 0x9FFF)) for _ in range(80)) for _ in range(1000))]
     ids = [np.frombuffer(x, np.int32) for x in codec.encode(texts)]
     assert [i.tolist() for i in ids] == [reference.encode_ordinary(t) for t in texts]
     assert codec.decode(ids) == [t.encode() for t in texts]
@@ -152,7 +154,9 @@ def test_near_copies_stage(spark):
     assert sorted(str(x.doc_id) for x in simhash.deduplicated_documents(df).collect()) == sorted(map(str, [*range(8), 22, 30, None]))
 
 
-def test_near_copies_stage_at_the_bound(spark):
+@pytest.mark.parametrize("tile", [8192, 8])  # whole groups, and groups in several tiles
+def test_near_copies_stage_at_the_bound(spark, monkeypatch, tile):
+    monkeypatch.setattr(simhash, "STAGE_TILE", tile)
     r = random.Random(17)
     word = lambda: "".join(r.choice("abcdefghijkl") for _ in range(6))
     docs = []
@@ -251,6 +255,15 @@ def test_quality_counts_each_ngram(spark, monkeypatch):
     assert sorted(map(str, resampling.weights(docs, ratios).collect())) == rows and len(rows) == 103
 
 
+def test_sample_follows_the_weights(spark):
+    """Over many ids, Gumbel top-k takes documents about in proportion to their weights."""
+    docs = spark.createDataFrame([(i, "heavy" if i % 2 else "light") for i in range(40_000)], "doc_id long, text string")
+    key = int(resampling._Hasher().keys("heavy")[0])
+    scored = resampling.weights(docs, spark.createDataFrame([(key, 1_098_612)], "ngram long, ratio long")).withColumn("decent", F.lit(True))  # weights 3 and 1
+    taken = resampling.sampled(scored, 2000).where("selected").select("doc_id").collect()
+    assert len(taken) == 2000 and 0.70 < sum(x.doc_id % 2 for x in taken) / 2000 < 0.80
+
+
 def test_nth_smallest(spark):
     r = random.Random(11)
     values = [r.randint(-(1 << 62), 1 << 62) for _ in range(200)] + [5] * 10
