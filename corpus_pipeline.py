@@ -41,7 +41,7 @@ STAGES = [
     ("bpe", encode_tokens),
 ]
 
-#: Trained weights, fingerprints and alignments are beyond SQL; tests hold the stages against brute force.
+#: Trained weights, fingerprints and alignments are beyond SQL; tests plant cases for each stage and check the pipeline's rows on a small table.
 ORACLE_SQL = None
 
 
