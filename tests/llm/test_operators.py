@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tests.oracle import SF, spark_rows, sql_rows
 from tidewire.llm import bpe, decontamination, merkle, pii, queries, resampling, simhash, url_lists, warc
+from tidewire.llm.common import batches
 
 ODD = [(1, ""), (2, None), (3, "a"), (3, "a"), (None, "b c"), (4, "word " * 3000), (5, "é😀\n\n x\x1c y  z")]
 
@@ -301,3 +303,12 @@ def test_pipeline(spark):
 
     out = corpus_pipeline.run(spark, str(SF)).collect()
     assert out and len({x.doc_id for x in out}) == len(out) and all(x.n_tokens == len(x.ids) for x in out)
+
+
+def test_batches_put_together_and_split():
+    rows = lambda *sizes: pa.RecordBatch.from_pydict({"text": ["x" * n for n in sizes]})
+    given = [rows(), rows(10, 20), rows(5000), rows(*[100] * 50), rows(1)]
+    out = list(batches(iter(given), 1000))
+    assert [len(t) for b in out for t in b.column("text").to_pylist()] == [10, 20, 5000, *[100] * 50, 1]
+    assert all(b.nbytes <= 1000 or b.num_rows == 1 for b in out) and len(out) <= 10
+    assert list(batches(iter([]))) == []

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import batches, map_arrow, table, texts
+from .common import batches, give_back, map_arrow, table, texts
 
 #: Entries that the tables of known stretches and of known pieces hold before they are emptied.
 KNOWN, KNOWN_PIECES = 200_000, 100_000
@@ -38,6 +38,8 @@ QUERY_BYTES, STEPS = 250_000, 16
 QUERY_IDS = 200_000
 #: Memory of a task's database; what goes beyond is spilled to the task's own scratch folder.
 MEMORY = "100MB"
+#: Freed memory beyond which the database gives it back to the system at once.
+FLUSH = "8MB"
 
 _LAST = f"""last AS (SELECT piece, max(step) AS step FROM state GROUP BY piece)
 SELECT piece, list(tok ORDER BY pos) AS ids, step = {STEPS} AS unfinished FROM state JOIN last USING (piece, step) GROUP BY piece, step ORDER BY piece"""
@@ -140,7 +142,7 @@ class Codec:
         import duckdb
 
         self.scratch = tempfile.TemporaryDirectory(dir=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None)
-        opened = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": self.scratch.name})
+        opened = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": self.scratch.name, "allocator_flush_threshold": FLUSH, "allocator_bulk_deallocation_flush_threshold": FLUSH})
         for name, rows in self.tables.items():
             opened.register("loaded", rows)
             opened.execute(f"CREATE TABLE {name} AS FROM loaded")
@@ -298,6 +300,7 @@ def _coded(function: Callable[[pa.RecordBatch, Codec], pa.RecordBatch], path: st
         try:
             for batch in batches(iterator, 4 << 20):
                 yield function(batch, coder)
+                give_back()
         finally:
             coder.release()
 

@@ -17,8 +17,11 @@ from ..operators.checkpoint import cut, shared_dir
 LAST_ID = (1 << 63) - 1
 #: Ids in a list that is broadcast whole, 8 bytes each; longer lists are joined by merging.
 MOST_IDS = 2_000_000
+#: Bytes of a batch that is sent to a worker; batches() puts them together as an operator wants them.
+SENT_BYTES = 1 << 20
+_SENT, _SENT_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
-__all__ = ["LAST_ID", "batches", "cut", "fresh_dir", "id_key", "map_arrow", "map_rows", "of_ids", "shared_dir", "table", "texts", "without_ids"]
+__all__ = ["LAST_ID", "batches", "cut", "fresh_dir", "give_back", "id_key", "map_arrow", "map_rows", "of_ids", "shared_dir", "table", "texts", "without_ids"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,17 +60,30 @@ def without_ids(rows: DataFrame, ids: DataFrame, column: str = "doc_id") -> Data
 
 
 def batches(iterator: Iterator[pa.RecordBatch], most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of bounded bytes (one row at least)."""
+    """The same rows in batches near most_bytes, but not above (one row at least): small batches are put together, large ones split."""
+    waiting: list[pa.RecordBatch] = []
+    held = 0
     for batch in iterator:
         rows = batch.num_rows
         if not rows:
             continue
         step = max(1, int(rows * most_bytes / max(batch.nbytes, 1)))
         for start in range(0, rows, step):
-            yield batch.slice(start, min(step, rows - start))
+            part = batch.slice(start, min(step, rows - start))
+            if waiting and held + part.nbytes > most_bytes:
+                whole, waiting, held = _together(waiting), [], 0
+                yield whole
+            waiting.append(part)
+            held += part.nbytes
+    if waiting:
+        yield _together(waiting)
 
 
-def _give_back() -> None:
+def _together(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return parts[0] if len(parts) == 1 else pa.concat_batches(parts)
+
+
+def give_back() -> None:
     """Return freed memory to the system: Spark keeps Python workers for other stages, and several of them share an executor."""
     pa.default_memory_pool().release_unused()
     if sys.platform == "linux":
@@ -75,11 +91,18 @@ def _give_back() -> None:
 
 
 def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: object) -> DataFrame:
-    """mapInArrow, after which a task leaves no memory behind in its worker."""
+    """mapInArrow, after which a task leaves no memory behind in its worker.
+
+    Batches on their way to the workers are bounded by SENT_BYTES, unless the session already has a bound of its own: it
+    keeps whole batches outside the heap, on both sides.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_SENT) == _SENT_DEFAULT:
+        conf.set(_SENT, str(SENT_BYTES))
 
     def run(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from function(iterator)
-        _give_back()
+        give_back()
 
     return df.mapInArrow(run, schema)
 
