@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import batches, give_back, map_arrow, table, texts
 
 #: Entries that the tables of known stretches and of known pieces hold before they are emptied.
-KNOWN, KNOWN_PIECES = 200_000, 100_000
+KNOWN, KNOWN_PIECES = 500_000, 400_000
 #: Bytes of the pieces that one recursive query takes (one piece at least), and steps after which it hands on what is not done.
 QUERY_BYTES, STEPS = 250_000, 16
 #: Ids that one query decodes (one row at least).
@@ -39,7 +39,7 @@ QUERY_IDS = 200_000
 #: Memory of a task's database; what goes beyond is spilled to the task's own scratch folder.
 MEMORY = "100MB"
 #: Freed memory beyond which the database gives it back to the system at once.
-FLUSH = "8MB"
+FLUSH = "128MB"
 
 _LAST = f"""last AS (SELECT piece, max(step) AS step FROM state GROUP BY piece)
 SELECT piece, list(tok ORDER BY pos) AS ids, step = {STEPS} AS unfinished FROM state JOIN last USING (piece, step) GROUP BY piece, step ORDER BY piece"""
