@@ -21,7 +21,7 @@ MOST_IDS = 2_000_000
 SENT_BYTES = 1 << 20
 _SENT, _SENT_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
-__all__ = ["LAST_ID", "batches", "cut", "fresh_dir", "give_back", "id_key", "map_arrow", "map_rows", "of_ids", "shared_dir", "table", "texts", "without_ids"]
+__all__ = ["LAST_ID", "batches", "cut", "fresh_dir", "give_back", "id_key", "map_arrow", "map_rows", "of_ids", "remove_dir", "shared_dir", "table", "texts", "without_ids"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,12 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def remove_dir(spark: SparkSession, path: str) -> None:
+    """Remove a folder that fresh_dir named, once nothing reads it any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) of every row; a null text is empty."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

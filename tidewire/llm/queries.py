@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, decontamination, fm_dedup, merkle, pii, resampling, simhash, suffix_dedup, url_lists, warc
+from . import ball_kmeans, bpe, decontamination, fm_dedup, merkle, pii, resampling, simhash, suffix_dedup, toxicity, turns, url_lists, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -17,9 +17,12 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_fingerprints": merkle.op10_fingerprints,
+    "op11_ball_kmeans": ball_kmeans.op11_ball_kmeans,
+    "op12_toxicity": toxicity.op12_toxicity,
+    "op13_turns": turns.op13_turns,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL = {"op1_warc": warc.OP1_SQL, "op2_url_filters": url_lists.OP2_SQL}
+ORACLE_SQL = {"op1_warc": warc.OP1_SQL, "op2_url_filters": url_lists.OP2_SQL, "op11_ball_kmeans": ball_kmeans.OP11_SQL}
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
