@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import batches, map_arrow, map_rows, table
 
 #: Bounds of the rows that a model is fitted on, and of each row's words.
-TOXIC_ROWS, ORDINARY_ROWS, ROW_WORDS = 4_000, 12_000, 4_000
+TOXIC_ROWS, ORDINARY_ROWS, ROW_WORDS = 3_000, 9_000, 600
 #: Bytes of the dictionaries, and the trainer's segment and piece lengths.
 TOXIC_BYTES, ORDINARY_BYTES, SEGMENT, PIECE = 16_384, 262_144, 24, 8
 MOST_RATIO = 1 / 3
@@ -129,8 +129,8 @@ def _calibration(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.n
     return mean, spread, w
 
 
-def fit(rows: list[tuple[int, int, list[str]]]) -> Model:
-    """A model from (fold, toxic, words) of labelled rows."""
+def fit(rows: list[tuple[int, int, str]]) -> Model:
+    """A model from (fold, toxic, words between spaces) of labelled rows."""
     share = sum(t for _, t, _ in rows) / len(rows) if rows else 0.0
     train, held = [r for r in rows if r[0] != 4], [r for r in rows if r[0] == 4]
     if any(len({t for _, t, _ in part}) < 2 for part in (train, held)):
@@ -140,22 +140,26 @@ def fit(rows: list[tuple[int, int, list[str]]]) -> Model:
         out = []
         for i, (_, t, words) in enumerate(train):
             if t == kind:
-                random.Random(i).shuffle(mixed := list(words))
+                random.Random(i).shuffle(mixed := words.split())
                 out.append((" " + " ".join(mixed) + " ").encode())
         return out
 
     ordinary, toxic = _dictionary(samples(0), ORDINARY_BYTES), _dictionary(samples(1), TOXIC_BYTES)
-    in_texts: tuple[Counter, Counter] = (Counter(), Counter())
-    for _, t, words in train:
-        in_texts[t].update(words)
     n = Counter(t for _, t, _ in train)
-    tried = sorted(w for w, c in in_texts[1].items() if c > 1)
+    in_toxic = Counter(w for _, t, words in train if t for w in words.split())
+    tried = sorted(w for w, c in in_toxic.items() if c > 1)
+    in_ordinary = dict.fromkeys(tried, 0)
+    for _, t, words in train:
+        if not t:
+            for w in words.split():
+                if w in in_ordinary:
+                    in_ordinary[w] += 1
     for _ in range(ROUNDS):
         gains = Gains(ordinary, toxic)(tried)
-        chance = [w for w, g in zip(tried, gains, strict=True) if g >= 2 and in_texts[0][w] / n[0] >= MOST_RATIO * in_texts[1][w] / n[1]]
+        chance = [w for w, g in zip(tried, gains, strict=True) if g >= 2 and in_ordinary[w] / n[0] >= MOST_RATIO * in_toxic[w] / n[1]]
         ordinary = (" " + " ".join(chance) + " ").encode() + ordinary
     gain = Gains(ordinary, toxic)
-    calibration = _calibration(np.array([features(gain(words)) for _, _, words in held]), np.array([t for _, t, _ in held], float))
+    calibration = _calibration(np.array([features(gain(words.split())) for _, _, words in held]), np.array([t for _, t, _ in held], float))
     return Model(share, ordinary, toxic, *calibration)
 
 
@@ -169,8 +173,8 @@ def _labelled_words(batch: pa.RecordBatch) -> pa.RecordBatch:
         words = words_of(text or "")
         if len(words) > ROW_WORDS:
             words = sorted(sorted(words, key=lambda w: (zlib.crc32(w.encode()), w))[:ROW_WORDS])
-        found.append(words)
-    return pa.RecordBatch.from_arrays([batch["fold"], batch["toxic"], pa.array(found, pa.list_(pa.string()))], ["fold", "toxic", "words"])
+        found.append(" ".join(words))
+    return pa.RecordBatch.from_arrays([batch["fold"], batch["toxic"], pa.array(found)], ["fold", "toxic", "words"])
 
 
 def trained(documents: DataFrame, labels: DataFrame) -> Model:
@@ -179,7 +183,7 @@ def trained(documents: DataFrame, labels: DataFrame) -> Model:
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = own.where("toxic = 1").orderBy(*order).limit(TOXIC_ROWS).unionByName(own.where("toxic = 0").orderBy(*order).limit(ORDINARY_ROWS))
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    words = map_rows(texts.select(fold(F.col("doc_id")).cast("int").alias("fold"), "toxic", "text"), _labelled_words, "fold int, toxic int, words array<string>")
+    words = map_rows(texts.select(fold(F.col("doc_id")).cast("int").alias("fold"), "toxic", "text"), _labelled_words, "fold int, toxic int, words string")
     return fit(sorted((r["fold"], r["toxic"], r["words"]) for r in words.collect()))
 
 
