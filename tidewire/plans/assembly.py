@@ -231,19 +231,6 @@ def id_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("l_orderkey", F.size(F.array_union("ids", two)).alias("together"), (F.size(F.array_except(two, F.col("ids"))) == 0).alias("holds"), F.array_contains("ids", "T3").alias("has_three"))
 
 
-@query()
-def trend_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trends kept newest first; one that shares its name with a kept one, or half of the smaller one's articles, is absorbed."""
-    own = t.load(spark, sf_dir, "lineitem")
-    trends = own.groupBy(F.col("l_suppkey").alias("id")).agg(F.max("l_shipdate").alias("created_at"), F.countDistinct("l_partkey").alias("n"))
-    members = own.select(F.col("l_suppkey").alias("g"), F.col("l_partkey").alias("m"))
-    size = lambda c: trends.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"))
-    shared = reconcile.overlaps(members, "g", "m", 1).join(size("a"), "a").join(size("b"), "b").where(F.col("shared") >= 0.5 * F.least("na", "nb")).select("a", "b")
-    names = t.load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), T.trend_name(F.concat(F.lit("Trend: "), (F.col("s_suppkey") % 90).cast("string"))).alias("name"))
-    same = names.select("name", F.col("id").alias("a")).join(names.select("name", F.col("id").alias("b")), "name").where("a < b").select("a", "b")
-    return reconcile.keep_first(trends, shared.unionByName(same), "id", [-F.unix_timestamp("created_at")], cut)
-
-
 @query()
 def connections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles of late that share entities though they tell of different things; 600 articles are looked at, as a rule of the scan."""

@@ -103,10 +103,25 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def trends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A trend a document: its name is the first line, its kind the language, its members the lines; labelled ones are the stored ones."""
+    lines = F.array_distinct(F.transform(F.split("text", "\n"), lambda x: F.md5(x)))
+    labels = load(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality", "toxic")
+    own = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("kind"), F.substring_index("text", "\n", 1).alias("name"), F.coalesce(lines, F.array().cast("array<string>")).alias("members"), "n_chars")
+    return own.join(labels, "id", "left")
+
+
+TRENDS_SQL = """trends AS MATERIALIZED (
+  SELECT doc_id AS id, lang AS kind, split_part(text, chr(10), 1) AS name, coalesce(list_distinct(list_transform(str_split(text, chr(10)), lambda x: md5(x))), []) AS members, n_chars, quality, toxic FROM documents LEFT JOIN labels USING (doc_id))"""
+
+
 def kg_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """supplier -supplies-> customer -located_in-> nation -part_of-> region."""
     lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_discount")
-    pairs = lines.join(load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("l_suppkey", "o_custkey").agg(F.round(1 - F.avg("l_discount"), 4).alias("confidence"))
+    # in whole cents: a mean of discounts may lie on a rounding tie
+    cents, n = F.sum(F.round(100 * (1 - F.col("l_discount"))).cast("long")), F.count("*")
+    whole = F.floor((cents * 200 + n) / (n * 2)) / 10_000
+    pairs = lines.join(load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("l_suppkey", "o_custkey").agg(whole.alias("confidence"))
     supplies = pairs.select(F.concat(F.lit("S"), "l_suppkey").alias("subject"), F.lit("supplies").alias("predicate"), F.concat(F.lit("C"), "o_custkey").alias("object"), "confidence")
     located = load(spark, sf_dir, "customer").select(F.concat(F.lit("C"), "c_custkey").alias("subject"), F.lit("located_in").alias("predicate"), F.concat(F.lit("N"), "c_nationkey").alias("object"), F.lit(0.9).alias("confidence"))
     part = load(spark, sf_dir, "nation").select(F.concat(F.lit("N"), "n_nationkey").alias("subject"), F.lit("part_of").alias("predicate"), F.concat(F.lit("R"), "n_regionkey").alias("object"), F.lit(0.95).alias("confidence"))
@@ -114,7 +129,7 @@ def kg_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 EDGES_SQL = """pairs AS (
-  SELECT l_suppkey, o_custkey, round(1 - avg(l_discount), 4) AS confidence FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
+  SELECT l_suppkey, o_custkey, floor((sum(round(100 * (1 - l_discount))::BIGINT) * 200 + count(*)) / (count(*) * 2)) / 10000 AS confidence FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
 edges AS (
   SELECT 'S' || l_suppkey AS subject, 'supplies' AS predicate, 'C' || o_custkey AS object, confidence
   FROM pairs
