@@ -150,9 +150,7 @@ class Codec:
         return opened
 
     def release(self) -> None:
-        """Give back at a task's end what only it needs: the worker may go on to other work."""
-        self.known.clear()
-        self.pieces.clear()
+        """Close the task's database; the tables of what is known stay for the worker's next task, bounded as they are."""
         if "db" in self.__dict__:
             self.db.close()
             del self.__dict__["db"]

@@ -21,7 +21,7 @@ MOST_IDS = 2_000_000
 SENT_BYTES = 1 << 20
 _SENT, _SENT_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
-__all__ = ["LAST_ID", "batches", "cut", "fresh_dir", "give_back", "id_key", "map_arrow", "map_rows", "of_ids", "remove_dir", "shared_dir", "table", "texts", "without_ids"]
+__all__ = ["LAST_ID", "batches", "cut", "fresh_dir", "give_back", "id_key", "map_arrow", "map_rows", "of_ids", "remove_dir", "row_key", "shared_dir", "table", "texts", "with_small_batches", "without_ids", "without_rows"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,16 @@ def without_ids(rows: DataFrame, ids: DataFrame, column: str = "doc_id") -> Data
     return _joined(rows, ids, column, "left_anti")
 
 
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """Names a row by its id and text: rows that share an id are told apart, rows equal in both are one."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
+def without_rows(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of documents whose row_key is not in the first column of keys."""
+    return _joined(rows.withColumn("__row", row_key()), keys, "__row", "left_anti").drop("__row")
+
+
 def batches(iterator: Iterator[pa.RecordBatch], most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches near most_bytes, but not above (one row at least): small batches are put together, large ones split."""
     waiting: list[pa.RecordBatch] = []
@@ -96,15 +106,18 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: object) -> DataFrame:
-    """mapInArrow, after which a task leaves no memory behind in its worker.
+def with_small_batches(spark: SparkSession) -> SparkSession:
+    """Bound batches on their way to the workers by SENT_BYTES, unless the session has a bound of its own: both sides keep whole batches outside the heap.
 
-    Batches on their way to the workers are bounded by SENT_BYTES, unless the session already has a bound of its own: it
-    keeps whole batches outside the heap, on both sides.
+    For applications, which own their session: the registered queries and the pipeline; operators leave settings alone.
     """
-    conf = df.sparkSession.conf
-    if conf.get(_SENT) == _SENT_DEFAULT:
-        conf.set(_SENT, str(SENT_BYTES))
+    if spark.conf.get(_SENT) == _SENT_DEFAULT:
+        spark.conf.set(_SENT, str(SENT_BYTES))
+    return spark
+
+
+def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: object) -> DataFrame:
+    """mapInArrow, after which a task leaves no memory behind in its worker."""
 
     def run(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from function(iterator)

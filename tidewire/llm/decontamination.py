@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, id_key, map_arrow, table, texts, without_ids
+from .common import batches, id_key, map_arrow, row_key, table, texts, without_rows
 
 SEED = 3
 RARE_DOCS = 50
@@ -233,5 +233,6 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of documents that no item contaminates."""
-    return without_ids(docs, matches(docs, items).where("contaminated").select("k"))
+    """The rows of documents that no item contaminates; rows that share an id are judged each by its text."""
+    rows = docs.select(row_key().alias("doc_id"), "text")
+    return without_rows(docs, matches(rows, items).where("contaminated").select("k"))

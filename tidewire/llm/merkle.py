@@ -18,12 +18,13 @@ comes first in descending order.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import batches, id_key, map_arrow, table, texts
@@ -148,6 +149,20 @@ def _ranges(keys: DataFrame) -> list[int]:
     return sorted({int(c) for c in cuts})
 
 
+def _range_of(key: Column, bounds: list[int]) -> Column:
+    """How many bounds are at or below a key: first among every width-th bound, then within one stretch, so that the plan has two array literals whatever their number."""
+    if not bounds:
+        return F.lit(0)
+    width = math.isqrt(len(bounds)) + 1
+    chunks = [bounds[i : i + width] for i in range(0, len(bounds), width)]
+    below = lambda values: F.size(F.filter(values, lambda b: b <= key))
+    heads = below(F.lit([c[0] for c in chunks]))
+    # of chunk heads[n - 1] the first bounds are below
+    listed = F.split(F.lit("|".join(",".join(map(str, c)) for c in chunks)), r"\|")
+    stretch = F.split(F.get(listed, F.greatest(heads - 1, F.lit(0))), ",").cast("array<long>")
+    return F.when(heads == 0, 0).otherwise((heads - 1) * width + below(stretch)).cast("int")
+
+
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Compare each document with its edited text and with the next one in descending order of doc_id.
 
@@ -157,11 +172,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """
     own = texts(docs, id_col, text_col).withColumn("k", id_key())
     bounds = _ranges(own.select("k"))
-    part, step = F.lit(0), 1 << max(0, len(bounds).bit_length() - 1) if bounds else 0
-    while step:  # binary search in the array of bounds
-        part = F.when(F.try_element_at(F.lit(bounds), part + step) <= F.col("k"), part + step).otherwise(part)
-        step >>= 1
-    own = own.withColumn("part", part.cast("int"))
+    own = own.withColumn("part", _range_of(F.col("k"), bounds))
     tops = {r["part"]: r["top"] for r in own.groupBy("part").agg(F.max("k").alias("top")).collect()}
     filled = sorted(tops)
     # ghosts: range -> the highest key of the filled range below it, or of all for the lowest

@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
 import corpus_pipeline
 
 from . import ball_kmeans, bpe, decontamination, fm_dedup, merkle, pii, resampling, simhash, suffix_dedup, toxicity, turns, url_lists, warc
+from .common import with_small_batches
+
+
+def _run(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: query(with_small_batches(spark), sf_dir)
+
 
-QUERIES = {
+_QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_url_filters": url_lists.op2_url_filters,
     "op3_quality": resampling.op3_quality,
@@ -22,6 +32,7 @@ QUERIES = {
     "op13_turns": turns.op13_turns,
     "pipeline": corpus_pipeline.run,
 }
+QUERIES = {name: _run(query) for name, query in _QUERIES.items()}
 
 ORACLE_SQL = {"op1_warc": warc.OP1_SQL, "op2_url_filters": url_lists.OP2_SQL, "op11_ball_kmeans": ball_kmeans.OP11_SQL}
 if corpus_pipeline.ORACLE_SQL is not None:

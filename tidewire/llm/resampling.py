@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, cut, id_key, map_arrow, map_rows, table, texts, without_ids
+from .common import batches, cut, id_key, map_arrow, map_rows, row_key, table, texts, without_rows
 
 PRIOR = 4.0
 MIN_Z = 5.0
@@ -272,7 +272,7 @@ class _Table:
 
 
 def _joined_weights(docs: DataFrame, values: DataFrame, bits: int) -> DataFrame:
-    """k, doc_id, n_words, w and the toxicities of every row, by a join of its n-grams with the values."""
+    """k, doc_id, h, n_words, w and the toxicities of every row, by a join of its n-grams with the values."""
 
     def explode(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = _Hasher(bits)
@@ -283,19 +283,19 @@ def _joined_weights(docs: DataFrame, values: DataFrame, bits: int) -> DataFrame:
             ngrams = np.concatenate([np.append(g, -1) for g, _ in found])
             times = np.concatenate([np.append(n, (n.sum() + 1) // 2) for _, n in found])
             rows = pa.array(each)
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(rows) for c in ("row", "k", "doc_id")] + [pa.array(ngrams), pa.array(times.astype(np.int64))], ["row", "k", "doc_id", "ngram", "times"])
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(rows) for c in ("row", "k", "doc_id", "h")] + [pa.array(ngrams), pa.array(times.astype(np.int64))], ["row", "k", "doc_id", "h", "ngram", "times"])
 
-    numbered = cut(docs.select(F.monotonically_increasing_id().alias("row"), "k", "doc_id", "text"))  # a row's number stays the same
-    exploded = map_arrow(numbered, explode, "row long, k long, doc_id long, ngram long, times long")
+    numbered = cut(docs.select(F.monotonically_increasing_id().alias("row"), "k", "doc_id", "h", "text"))  # a row's number stays the same
+    exploded = map_arrow(numbered, explode, "row long, k long, doc_id long, h long, ngram long, times long")
     own = F.col("ngram") < 0
     joined = exploded.join(values.hint("merge"), "ngram", "left").where(own | F.col("ratio").isNotNull())
     greatest = [F.greatest(F.max(c), F.lit(0)).alias(c) for c in VALUES[1:]]
-    return joined.groupBy("row", "k", "doc_id").agg(F.sum(F.when(own, F.col("times"))).alias("n_words"), F.sum(F.when(own, F.lit(0)).otherwise(F.col("times") * F.col("ratio"))).alias("w"), *greatest).drop("row")
+    return joined.groupBy("row", "k", "doc_id", "h").agg(F.sum(F.when(own, F.col("times"))).alias("n_words"), F.sum(F.when(own, F.lit(0)).otherwise(F.col("times") * F.col("ratio"))).alias("w"), *greatest).drop("row")
 
 
 def weights(docs: DataFrame, ratios: DataFrame, toxic: DataFrame | None = None, bits: int = 63, temperature: float = TEMPERATURE) -> DataFrame:
-    """k (the id, or LAST_ID), doc_id, n_words, log_weight, key, toxicity and held_out (toxicity as of a good document not counted) of every row."""
-    rows = texts(docs).withColumn("k", id_key()).select("k", "doc_id", "text")
+    """k (the id, or LAST_ID), doc_id, h (row_key), n_words, log_weight, key, toxicity and held_out (toxicity as of a good document not counted) of every row."""
+    rows = texts(docs).withColumns({"k": id_key(), "h": row_key()}).select("k", "doc_id", "h", "text")
     none = F.lit(0).cast("long")
     values = ratios.join(toxic, "ngram", "full") if toxic is not None else ratios.select("*", *(none.alias(c) for c in VALUES[1:]))
     values = cut(values.select("ngram", *(F.coalesce(c, none).alias(c) for c in VALUES)))
@@ -313,16 +313,16 @@ def weights(docs: DataFrame, ratios: DataFrame, toxic: DataFrame | None = None,
                     values = table_(keys)
                     for held, n in zip(numbers, ((len(keys) + 1) // 2, values[:, 0].sum(dtype=np.int64), values[:, 1].max(initial=0), values[:, 2].max(initial=0)), strict=True):
                         held.append(int(n))
-                yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("doc_id"), *(pa.array(n, pa.int64()) for n in numbers)], ["k", "doc_id", "n_words", "w", *VALUES[1:]])
+                yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("doc_id"), batch.column("h"), *(pa.array(n, pa.int64()) for n in numbers)], ["k", "doc_id", "h", "n_words", "w", *VALUES[1:]])
 
-        summed = map_arrow(rows, add, "k long, doc_id long, n_words long, w long, toxic_ratio long, held_out_ratio long")
+        summed = map_arrow(rows, add, "k long, doc_id long, h long, n_words long, w long, toxic_ratio long, held_out_ratio long")
 
     def key(batch: pa.RecordBatch) -> pa.RecordBatch:
         k = np.asarray(batch.column("k"), np.int64)
         w, toxic, held_out = (np.asarray(batch.column(c), np.int64) / 1_000_000 for c in ("w", *VALUES[1:]))
-        return pa.RecordBatch.from_arrays([batch.column("k"), batch.column("doc_id"), batch.column("n_words"), *map(pa.array, (w, w / temperature + _gumbel(k), toxic, held_out))], ["k", "doc_id", "n_words", "log_weight", "key", "toxicity", "held_out"])
+        return pa.RecordBatch.from_arrays([batch.column("k"), batch.column("doc_id"), batch.column("h"), batch.column("n_words"), *map(pa.array, (w, w / temperature + _gumbel(k), toxic, held_out))], ["k", "doc_id", "h", "n_words", "log_weight", "key", "toxicity", "held_out"])
 
-    return map_rows(summed, key, "k long, doc_id long, n_words long, log_weight double, key double, toxicity double, held_out double")
+    return map_rows(summed, key, "k long, doc_id long, h long, n_words long, log_weight double, key double, toxicity double, held_out double")
 
 
 def nth_smallest(rows: DataFrame, column: str, n: int) -> tuple[int, int] | None:
@@ -383,6 +383,10 @@ def sampled(scored: DataFrame, k: int) -> DataFrame:
 
 def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, temperature: float = TEMPERATURE) -> DataFrame:
     """doc_id, n_words, log_weight, key, selected for every row of docs: k of them are selected, by default as many as the cutoffs let pass."""
+    return _resampled(docs, labels, k, temperature).select("doc_id", "n_words", "log_weight", "key", "selected")
+
+
+def _resampled(docs: DataFrame, labels: DataFrame, k: int | None = None, temperature: float = TEMPERATURE) -> DataFrame:
     judged = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg((F.min("quality") >= 1).alias("fine"), (F.max(F.coalesce("toxic", F.lit(0))) >= 1).alias("is_toxic"))
     judged = judged.where("is_toxic OR fine").select("doc_id", "is_toxic")
     chosen = lambda toxic: judged.where(F.col("is_toxic") == F.lit(toxic)).orderBy(F.xxhash64("doc_id")).limit(FIT_ROWS)
@@ -394,7 +398,7 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, temperatu
     scored = scored.withColumn("decent", F.col("toxicity") <= F.lit(limit))
     if k is None:
         k = scored.where(F.col("decent") & (F.col("log_weight") >= F.lit(cutoff))).select("k").distinct().count()
-    return sampled(scored, k).select("doc_id", "n_words", "log_weight", "key", "selected")
+    return sampled(scored, k)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -402,5 +406,5 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def selected_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of documents that the sample takes."""
-    return without_ids(docs, resample(docs, labels).where("NOT selected").select(id_key()))
+    """The rows of documents that the sample takes; rows that share an id are judged each by its text."""
+    return without_rows(docs, _resampled(docs, labels).where("NOT selected").select("h"))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import batches, cut, map_arrow, map_rows, of_ids, table, texts, without_ids
+from .common import MOST_IDS, batches, cut, map_arrow, map_rows, of_ids, row_key, table, texts, without_ids, without_rows
 
 SEED = 42
 #: Fingerprints in a tile, at most about.
@@ -396,15 +396,35 @@ def deduplicated_documents(docs: DataFrame) -> DataFrame:
 
     Prints of 256 bits over distinct five-word shingles propose pairs, which are
     held against the shingles themselves.  Equal prints are one class; one row of
-    each class stays, that with the least id; of rows that repeat an id one
-    stays; rows with a null id stay.
+    each class stays, that with the least id.  Rows that share an id are rows of
+    their own if their texts differ, else one of them stays; rows with a null id stay.
     """
+    named = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("__h"))
+    repeats = cut(named.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1"))
+    if repeats.isEmpty():
+        return without_ids(docs, _copies(docs))
+    # every (id, text) gets a number of its own, in order of ids
+    keys = named.distinct()
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    nodes = cut(keys.repartitionByRange(n, "doc_id", "__h").sortWithinPartitions("doc_id", "__h").select("__h", F.monotonically_increasing_id().alias("__node")))
+    once = docs.withColumn("__row", row_key())
+    single = once.where("doc_id IS NOT NULL").join(_listed(repeats.select(F.col("doc_id").alias("__id"))), F.col("doc_id") == F.col("__id"), "left_anti")
+    several = once.join(_listed(repeats.select(F.col("doc_id").alias("__id"))), F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id", "__row"])
+    kept = single.unionByName(several)
+    numbered = kept.join(_listed(nodes), F.col("__row") == F.col("__h")).select(F.col("__node").alias("doc_id"), "text")
+    copies = cut(_copies(numbered)).join(nodes, F.col("doc_id") == F.col("__node")).select("__h")
+    return without_rows(kept.drop("__row"), copies).unionByName(docs.where("doc_id IS NULL"))
+
+
+def _listed(rows: DataFrame) -> DataFrame:
+    """Rows of two longs at most, broadcast if there are few enough."""
+    return F.broadcast(rows) if rows.count() <= MOST_IDS // 2 else rows.hint("merge")
+
+
+def _copies(docs: DataFrame) -> DataFrame:
+    """(doc_id) of documents, of ids that do not repeat, of which a near copy with a smaller id stays."""
     own = cut(wide_fingerprints(docs.where("doc_id IS NOT NULL"), STAGE_WIDTH))
     prints = cut(own.groupBy(*PRINT).agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n")))
     component = connected_components(cut(similar_pairs(prints, docs)), cut)
     heads = prints.select("id").join(component, F.col("id") == F.col("node"), "left").where("component IS NULL OR component = id").select(F.col("id").alias("doc_id")).distinct()
-    copies = own.select("doc_id").distinct().join(heads, "doc_id", "left_anti")
-    once = own.groupBy("doc_id").count().where("count > 1").isEmpty()
-    if not once:
-        docs = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
-    return without_ids(docs, copies)
+    return own.select("doc_id").distinct().join(heads, "doc_id", "left_anti")
