@@ -20,23 +20,12 @@ def test_anchors_and_numbers(spark):
     assert one(spark, T.numbers(F.lit("12 dead, 1,400 hurt, 3.5 km, 12"))) == ["12", "1400", "3.5"]
 
 
-def test_clean_and_sentences(spark):
-    assert one(spark, T.clean(F.lit("<p>Rates &amp;amp; prices</p> rise. Read more at https://x.example/y"))) == "Rates & prices rise."
-    assert one(spark, T.sentences(F.lit("Mr. Bose spoke. Rates rose! Why? No one knows."))) == ["Mr. Bose spoke.", "Rates rose!", "Why?", "No one knows."]
-    assert one(spark, T.clean(F.lit(None).cast("string"))) == ""
-
-
 def test_hosts_and_names(spark):
     assert one(spark, T.host(F.lit("https://www.x.com/a?b=1"))) == "x.com"
     assert one(spark, T.referrer(F.lit("https://m.own.com/"), "own.com")) == ""
     assert one(spark, T.company_key(F.lit("Reliance Industries Ltd."))) == "reliance industries"
 
 
-def test_html_to_text(spark):
-    page = "<nav><p>one two three four five six seven eight</p></nav><article><p>a b c d e f g h</p><p>short</p><p>a b c d e f g h</p><li>1 2 3 4 5 6 7 8 9</li></article>"
-    assert one(spark, T.html_to_text(F.lit(page))) == "a b c d e f g h\n1 2 3 4 5 6 7 8 9"
-
-
 def test_scores(spark):
     rank = feed.rank_score(F.log1p(F.lit(3.0)), F.lit(1.0))
     assert one(spark, rank) == pytest.approx(0.490129, abs=1e-6)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -20,8 +20,8 @@ LEAST_COSINE, LEAST_ANCHOR = 0.10, 0.50
 COSINE_WEIGHT, ANCHOR_WEIGHT, TIME_WEIGHT = 0.40, 0.45, 0.15
 NUMBERS_DIFFER = 0.08
 STRONG, COHESION = 0.52, 0.34
-#: Facts that agree to this cosine are one; sentences an article gives.
-SAME_FACT, FACTS_AN_ARTICLE = 0.40, 8
+#: Facts that agree to this cosine are one.
+SAME_FACT = 0.40
 
 
 def idf(terms: DataFrame, n_docs: int) -> DataFrame:
@@ -44,17 +44,6 @@ def tfidf(counts: DataFrame, n_docs: int) -> DataFrame:
     return weights.join(norms, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
-def blocked_pairs(keys: DataFrame, n_docs: int, share: float = 0.2) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of ids that share a key; keys of more than max(4, share of all) ids block nothing.
-
-    The reference rule drops such keys: they say nothing about the event, and their lists are the skew of the join.
-    """
-    limit = max(4, int(share * n_docs))
-    useful = keys.groupBy("key").agg(F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("n") <= limit)).select("key")
-    kept = keys.join(useful, "key", "left_semi")
-    return kept.select("key", F.col("id").alias("a")).join(kept.select("key", F.col("id").alias("b")), "key").where("a < b").select("a", "b").distinct()
-
-
 def rare_pairs(anchors: DataFrame, n_docs: int) -> DataFrame:
     """Distinct pairs (a, b), a < b, of ids within WINDOW_HOURS that share a rare anchor (id, key, at): no other pair passes the gates.
 
@@ -126,42 +115,98 @@ def event_groups(articles: DataFrame, cut: Callable[[DataFrame], DataFrame]) ->
     return articles.select("id").join(named_groups, "id", "left").select("id", F.coalesce("event_id", "id").alias("event_id"))
 
 
-def fact_clusters(facts: DataFrame) -> DataFrame:
-    """Facts of a story (story_id, pos, source, words) with their cluster, in order of article and position.
+def fact_labels(facts: list[list[str]]) -> list[int]:
+    """Clusters of facts (their words, in order), greedy by average linkage: each joins the cluster it is most like, on average, by the cosine of TF-IDF weights over these facts, from SAME_FACT on."""
+    counts = [Counter(words) for words in facts]
+    df = Counter(w for c in counts for w in c)
+    names = {w: i for i, w in enumerate(df)}
+    rarity = np.array([math.log((len(counts) + 1) / (n + 1)) + 1 for n in df.values()])
+    vectors = np.zeros((len(counts), len(names)))
+    for i, c in enumerate(counts):
+        for w, n in c.items():
+            vectors[i, names[w]] = (1 + math.log(n)) * rarity[names[w]]
+    vectors /= np.maximum(np.sqrt((vectors * vectors).sum(1, keepdims=True)), 1e-300)
+    sums: list[np.ndarray] = []  # the mean cosine with a cluster is the cosine with its sum, divided by its size
+    sizes: list[int] = []
+    labels = []
+    for vector in vectors:
+        means = [float(s @ vector) / n for s, n in zip(sums, sizes, strict=True)]
+        place = int(np.argmax(means)) if means else -1
+        if place >= 0 and means[place] >= SAME_FACT:
+            sums[place] = sums[place] + vector
+            sizes[place] += 1
+        else:
+            place = len(sums)
+            sums.append(vector)
+            sizes.append(1)
+        labels.append(place)
+    return labels
 
-    Greedy by average linkage, which depends on the order: each fact joins the cluster it is most like, on average,
-    by the cosine of TF-IDF weights over the story's facts, from SAME_FACT on.  A story's facts are bounded by its
-    articles and FACTS_AN_ARTICLE.
-    """
+
+def fact_clusters(facts: DataFrame) -> DataFrame:
+    """Facts of a story (story_id, place, pos, words) with their cluster, in order of article and position.  A story's facts are bounded by its articles and FACTS_AN_ARTICLE."""
 
     def cluster(story: pd.DataFrame) -> pd.DataFrame:
-        story = story.sort_values(["source", "pos"], kind="stable")
-        counts = [Counter(words) for words in story["words"]]
-        df = Counter(w for c in counts for w in c)
-        names = {w: i for i, w in enumerate(df)}
-        rarity = np.array([math.log((len(counts) + 1) / (n + 1)) + 1 for n in df.values()])
-        vectors = np.zeros((len(counts), len(names)))
-        for i, c in enumerate(counts):
-            for w, n in c.items():
-                vectors[i, names[w]] = (1 + math.log(n)) * rarity[names[w]]
-        vectors /= np.maximum(np.sqrt((vectors * vectors).sum(1, keepdims=True)), 1e-300)
-        sums: list[np.ndarray] = []  # the mean cosine with a cluster is the cosine with its sum, divided by its size
-        sizes: list[int] = []
-        labels = []
-        for vector in vectors:
-            means = [float(s @ vector) / n for s, n in zip(sums, sizes, strict=True)]
-            place = int(np.argmax(means)) if means else -1
-            if place >= 0 and means[place] >= SAME_FACT:
-                sums[place] = sums[place] + vector
-                sizes[place] += 1
-            else:
-                place = len(sums)
-                sums.append(vector)
-                sizes.append(1)
-            labels.append(place)
-        return story[["story_id", "pos", "source"]].assign(cluster=labels)
-
-    return facts.groupBy("story_id").applyInPandas(cluster, "story_id long, pos int, source string, cluster int")
+        story = story.sort_values(["place", "pos"], kind="stable")
+        return story[["story_id", "place", "pos"]].assign(cluster=fact_labels(list(story["words"])))
+
+    return facts.groupBy("story_id").applyInPandas(cluster, "story_id long, place int, pos int, cluster int")
+
+
+def _disagreement(facts: pd.DataFrame) -> str:
+    """The numbers that each outlet gives for one fact, if they differ."""
+    numbers: dict[str, set[str]] = {}
+    for outlet, own in zip(facts["source"], facts["numbers"], strict=True):
+        if len(own):
+            numbers.setdefault(outlet, set()).update(own)
+    sets = list(numbers.values())
+    if len(sets) < 2 or all(s == sets[0] for s in sets):
+        return ""
+    return "; ".join(f"{outlet}: {'/'.join(sorted(own))}" for outlet, own in numbers.items())
+
+
+def told_brief(story: pd.DataFrame, most: int) -> tuple[int, int, int, int, int, str]:
+    """(facts, core, unique, conflicts, sources, text) of a story's rows (place, pos, source, tier, title, fact, words, info, numbers), a row a fact, or one without a fact for an article that has none.
+
+    How outlets framed it; facts that several report, told by the most informative wording (then tier, then position), first by
+    2 * sources + information - 0.35 * position; single reports; where numbers differ; sources.  Cut at a line, the sources kept.
+    """
+    story = story.sort_values(["place", "pos"], kind="stable")
+    articles = story.drop_duplicates("place")
+    outlets = list(dict.fromkeys(articles["source"]))
+    framed = [f"- [{s}] {t}" for s, t in zip(articles["source"], articles["title"], strict=True) if t]
+    facts = story[story["fact"].notna()]
+    if not len(facts):
+        return 0, 0, 0, 0, len({s for s, t in zip(articles["source"], articles["title"], strict=True) if t}), "\n".join(framed)
+    entries = []
+    for _, own in facts.assign(cluster=fact_labels(list(facts["words"]))).groupby("cluster", sort=True):
+        best = own.sort_values(["info", "tier", "pos"], ascending=[False, True, True], kind="stable").iloc[0]
+        sources = list(dict.fromkeys(own["source"]))
+        entries.append((len(sources), -(2.0 * len(sources) + best["info"] - 0.35 * own["pos"].min()), sources, best["fact"], _disagreement(own)))
+    entries.sort(key=lambda e: e[1])
+    core, single, differ = ([e for e in entries if e[0] >= 2], [e for e in entries if e[0] == 1], [e for e in entries if e[4]])
+    lines = ["HOW EACH OUTLET FRAMED IT", *framed, ""] if framed else []
+    if core:
+        lines += ["CORE FACTS (reported by more than one outlet)", *(f"[{i}] ({n} sources: {', '.join(s[:4])}) {text}" for i, (n, _, s, text, _) in enumerate(core, 1))]
+    if single:
+        head = "ADDITIONAL DETAIL (only one outlet reported this — include if relevant)" if core else "REPORTED FACTS (each carried by a single outlet — attribute in the prose)"
+        lines += ["", head, *(f"[{i}] ({s[0]}) {text}" for i, (_, _, s, text, _) in enumerate(single, len(core) + 1))]
+    if differ:
+        lines += ["", "DISCREPANCIES (report the disagreement; do not silently pick one)", *(f"- {text[:90]} → {detail}" for _, _, _, text, detail in differ)]
+    last = f"\nSOURCES: {', '.join(outlets)}"
+    text = "\n".join([*lines, last])
+    if len(text) > most:
+        text = text[:most].rsplit("\n", 1)[0] + "\n" + last
+    return len(facts), len(core), len(single), len(differ), len(outlets), text
+
+
+def briefs(facts: DataFrame, most: int) -> DataFrame:
+    """(story_id, facts, core, unique, conflicts, sources, text): told_brief of each story, one bounded group each."""
+
+    def tell(story: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(story["story_id"].iloc[0], *told_brief(story, most))], columns=["story_id", "facts", "core", "unique", "conflicts", "sources", "text"])
+
+    return facts.groupBy("story_id").applyInPandas(tell, "story_id long, facts int, core int, unique int, conflicts int, sources int, text string")
 
 
 def info_score(text: Column) -> Column:
@@ -169,31 +214,9 @@ def info_score(text: Column) -> Column:
     return F.size(T.anchors(text)) + 0.8 * F.size(T.numbers(text)) + F.least(F.length(text) / 120.0, F.lit(1.5))
 
 
-def subject_pairs(articles: DataFrame, story: str, n_docs: int, least: float = 0.45) -> DataFrame:
-    """Pairs of articles within one story whose cosine reaches ``least``; joined on story and term, not on story alone."""
-    vectors = tfidf(term_counts(articles.select("id", "title", "summary")), n_docs).join(articles.select("id", story), "id")
-    left, right = (vectors.select(story, "term", F.col("id").alias(x), F.col("w").alias(f"w{x}")) for x in "ab")
-    return left.join(right, [story, "term"]).where("a < b").groupBy(story, "a", "b").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 4).alias("cos")).where(F.col("cos") >= least)
-
-
 def same_source_copies(articles: DataFrame) -> DataFrame:
     """(id, first): articles whose title an earlier article (by time, then id) of the same source has, too."""
     key = F.array_join(F.array_sort(T.tokens(F.col("title"))), " ")
     own = articles.select("id", "source", key.alias("key"), F.struct("fetched_at", "id").alias("at")).where("key <> ''")
     firsts = own.groupBy("source", "key").agg(F.min("at").alias("first"))
     return own.join(firsts, ["source", "key"]).where("at > first").select("id", F.col("first.id").alias("first"))
-
-
-def batched(rows: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
-    """The rows of an iterator of frames in frames of one size: the unit of a model call."""
-    held: list[pd.DataFrame] = []
-    n = 0
-    for frame in rows:
-        held.append(frame)
-        n += len(frame)
-        while n >= size:
-            joined = pd.concat(held)
-            yield joined.iloc[:size]
-            held, n = [joined.iloc[size:]], n - size
-    if n:
-        yield pd.concat(held)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import prose as P
 from ..functions import text as T
 from ..operators import graph, similarity
 from ..operators.components import connected_components
@@ -127,12 +128,12 @@ def event_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t.load(spark, sf_dir, "pages").select("page_id", T.html_to_text(F.col("html")).alias("prose"))
+    return t.load(spark, sf_dir, "pages").select("page_id", P.html_to_text("html").alias("prose"))
 
 
 @query()
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t.articles(spark, sf_dir).select("id", F.posexplode(T.sentences(T.clean(F.col("text")))).alias("pos", "sentence"))
+    return t.articles(spark, sf_dir).select("id", F.posexplode(P.sentences("text")).alias("pos", "sentence"))
 
 
 #: Articles of a story that its brief is made from, newest first: a rule of the brief.
@@ -141,45 +142,20 @@ BRIEF_CHARS = 2600
 
 
 def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts of stories: sentences of the articles' bodies that report something, without the headline, FACTS_AN_ARTICLE an article."""
+    """Facts of stories, a row each; an article without any has a row without a fact.  Bodies are read where they lie; only their facts move, those of the newest articles of each story."""
     own = t.articles(spark, sf_dir).withColumn("story_id", F.col("id") % 97 + 100 * F.floor(F.col("id") / 1000))
-    own = own.withColumn("place", F.row_number().over(Window.partitionBy("story_id").orderBy(F.desc("fetched_at"), "id"))).where(F.col("place") <= BRIEF_ARTICLES)
-    title = T.clean(F.col("title"))
-    told = F.filter(T.sentences(T.clean(F.col("text"))), lambda s: ~T.is_fluff(s))
-    bare = F.transform(told, lambda s: F.when((title != "") & F.startswith(s, title), F.ltrim(F.regexp_replace(F.substring(s, F.length(title) + 1, F.length(s)), r"^[ \-–—:.]+", ""))).otherwise(s))
-    facts = F.slice(F.filter(bare, lambda s: F.length(s) >= 30), 1, similarity.FACTS_AN_ARTICLE)
-    source = F.concat_ws("#", F.lpad(F.col("place").cast("string"), 2, "0"), "source")
-    return own.select("story_id", source.alias("source"), F.posexplode(facts).alias("pos", "fact")).select("story_id", "pos", "source", "fact", T.tokens(F.col("fact")).alias("words"))
+    told = own.select("story_id", "id", "fetched_at", "source", P.facts("title", "text").alias("f"))
+    newest = told.withColumn("place", F.row_number().over(Window.partitionBy("story_id").orderBy(F.desc("fetched_at"), "id"))).where(F.col("place") <= BRIEF_ARTICLES)
+    rows = newest.select("story_id", "place", "source", (F.regexp_extract("source", r"\d+", 0).try_cast("int") % 4 + 1).alias("tier"), F.col("f.title").alias("title"), F.posexplode_outer("f.facts").alias("pos", "fact"))
+    return rows.withColumns({"words": T.tokens(F.col("fact")), "info": similarity.info_score(F.col("fact")), "numbers": T.numbers(F.col("fact")), "tier": F.coalesce("tier", F.lit(4))})
 
 
 @query()
 def fact_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity.fact_clusters(_facts(spark, sf_dir).select("story_id", "pos", "source", "words"))
+    return similarity.fact_clusters(_facts(spark, sf_dir).where("fact IS NOT NULL").select("story_id", "place", "pos", "words"))
 
 
 @query()
 def brief(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A story's brief: facts several outlets report first, then the others, then where numbers disagree; cut at a line to BRIEF_CHARS.
-
-    A cluster is told by its most informative wording; clusters come by 2 * sources + information - 0.35 * position.
-    """
-    facts = cut(_facts(spark, sf_dir).withColumn("outlet", F.substring_index("source", "#", -1)))
-    joined = facts.join(similarity.fact_clusters(facts.select("story_id", "pos", "source", "words")), ["story_id", "pos", "source"])
-    joined = joined.withColumns({"info": similarity.info_score(F.col("fact")), "numbers": T.numbers(F.col("fact"))})
-    by_outlet = joined.groupBy("story_id", "cluster", "outlet").agg(
-        F.max(F.struct("info", (-F.col("pos")).alias("p"), "fact")).alias("best"), F.min("pos").alias("pos"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("numbers")))).alias("numbers"),
-    )
-    numbered = F.filter("sets", lambda s: F.size(s["numbers"]) > 0)
-    entries = by_outlet.groupBy("story_id", "cluster").agg(F.count("*").alias("sources"), F.max("best").alias("best"), F.min("pos").alias("pos"), F.array_sort(F.collect_list(F.struct("outlet", "numbers"))).alias("sets"))
-    distinct = F.array_distinct(F.transform(numbered, lambda s: s["numbers"]))
-    conflict = (F.size(numbered) >= 2) & (F.size(distinct) >= 2)
-    entries = entries.select("story_id", "sources", F.col("best.fact").alias("fact"), conflict.alias("conflict"), (-(2.0 * F.col("sources") + F.col("best.info") - 0.35 * F.col("pos"))).alias("order"), F.array_join(F.transform("sets", lambda s: s["outlet"]), ", ").alias("outlets"),
-        F.array_join(F.transform(numbered, lambda s: F.concat(s["outlet"], F.lit(": "), F.array_join(s["numbers"], "/"))), "; ").alias("detail"))
-    told = entries.groupBy("story_id").agg(F.count_if(F.col("sources") >= 2).alias("core"), F.count_if(F.col("sources") == 1).alias("unique"), F.count_if("conflict").alias("conflicts"), F.array_sort(F.collect_list(F.struct("order", "fact", "sources", "outlets", "conflict", "detail"))).alias("e"))
-    line = lambda e: F.concat(F.lit("- ("), e["outlets"], F.lit(") "), e["fact"])
-    part = lambda head, rows, form: F.when(F.size(rows) > 0, F.concat(F.lit(head + "\n"), F.array_join(F.transform(rows, form), "\n")))
-    text = F.concat_ws("\n\n",
-        part("CORE FACTS", F.filter("e", lambda e: e["sources"] >= 2), line), part("SINGLE REPORTS", F.filter("e", lambda e: e["sources"] == 1), line),
-        part("DISCREPANCIES", F.filter("e", lambda e: e["conflict"]), lambda e: F.concat(F.lit("- "), F.substring(e["fact"], 1, 90), F.lit(" → "), e["detail"])))
-    whole = F.when(F.length(text) <= BRIEF_CHARS, text).otherwise(F.regexp_replace(F.substring(text, 1, BRIEF_CHARS), r"\n[^\n]*$", ""))
-    return told.select("story_id", "core", "unique", "conflicts", (F.col("core") + F.col("unique")).alias("facts"), whole.alias("text"))
+    """A story's brief, from its newest articles' facts."""
+    return similarity.briefs(_facts(spark, sf_dir), BRIEF_CHARS)
