@@ -45,6 +45,36 @@ def terms(items: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(items, name), lambda n: n.isNotNull() & (n != "")))
 
 
+#: Lists within lists that variant_terms looks through.
+NESTED = 8
+
+
+def variant_terms(doc: Column, *keys: str) -> Column:
+    """Names under the keys of a VARIANT object: distinct, in order, as JSON of any shape tells them.
+
+    A value is one string or number, or a list of strings, numbers, objects (the first of TERM_KEYS that holds a string, number or boolean) and
+    lists of these; booleans, nulls, blanks and objects without a name give nothing, nor does a document that is no object.
+    """
+    kind = lambda v: F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
+    plain = lambda v: kind(v).rlike("^(STRING|BIGINT|DECIMAL|DOUBLE|FLOAT|BOOLEAN)")
+    none = F.array().cast("array<variant>")
+
+    def name(item: Column) -> Column:
+        told = F.filter(F.array(*[F.try_variant_get(item, f"$.{k}", "variant") for k in TERM_KEYS]), lambda v: v.isNotNull() & plain(v))
+        value = F.when(kind(item).startswith("OBJECT"), F.get(told, F.lit(0))).otherwise(item)
+        text = F.when(kind(value).rlike(r"^(DECIMAL\(\d+,[1-9]|DOUBLE|FLOAT)"), F.try_variant_get(value, "$", "double").cast("string")).when(~kind(value).startswith("BOOLEAN") & plain(value), F.try_variant_get(value, "$", "string"))
+        return F.trim(text)
+
+    def items(raw: Column) -> Column:
+        out = F.when(plain(raw), F.array(raw)).otherwise(F.coalesce(F.try_variant_get(raw, "$", "array<variant>"), none))
+        for _ in range(NESTED):
+            out = F.flatten(F.transform(out, lambda v: F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array(v))))
+        return F.transform(out, name)
+
+    found = F.concat(*[items(F.try_variant_get(doc, f"$.{k}", "variant")) for k in keys])
+    return F.when(kind(doc).startswith("OBJECT"), F.array_distinct(F.filter(found, lambda n: n.isNotNull() & (n != "")))).otherwise(F.array().cast("array<string>"))
+
+
 def usage(answer: Column) -> list[Column]:
     """prompt, completion, cached and total tokens from either provider's form of a usage record."""
     at = lambda path: F.coalesce(F.get_json_object(answer, path).try_cast("long"), F.lit(0))

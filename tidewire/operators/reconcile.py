@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .components import connected_components
+
 
 def merge_counters(stored: DataFrame, fresh: DataFrame, keys: list[str], sums: list[str], first: str | None = None, last: str | None = None) -> DataFrame:
     """Counters of both, added up by key; the earliest ``first`` and the latest ``last``."""
@@ -59,41 +62,56 @@ def best_match(candidates: DataFrame, left: str, right: str, score: str) -> Data
     return candidates.withColumn("__l", place(left, right)).withColumn("__r", place(right, left)).where("__l = 1 AND __r = 1").drop("__l", "__r")
 
 
+def _in_components(pairs: DataFrame, a: Column, b: Column, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Pairs with the component of the graph that they hang in; only pairs of one component can bear on each other."""
+    groups = connected_components(pairs.select(a.alias("a"), b.alias("b")), cut)
+    return pairs.join(groups.withColumnsRenamed({"node": "__node", "component": "__component"}), a == F.col("__node")).drop("__node")
+
+
 def greedy_match(candidates: DataFrame, left: str, right: str, score: str, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """One to one, highest score first, ties to the lesser left, then right id.
+    """One to one, highest score first, ties to the lesser left, then right id; each component of candidates is settled in one grouped pass."""
+    pairs, columns = cut(candidates), list(candidates.columns)
+    node = lambda side, c: F.struct(F.lit(side).alias("side"), F.col(c).alias("id"))
 
-    A pair that is the best of both ends is what greedy matching takes, whatever it takes elsewhere; rounds take those
-    and go on with what is left, until nothing is.
-    """
-    rest, found = cut(candidates), None
-    while not rest.isEmpty():
-        place = lambda by: F.row_number().over(Window.partitionBy(by).orderBy(F.desc(score), left, right))
-        best = cut(rest.withColumn("__l", place(left)).withColumn("__r", place(right)).where("__l = 1 AND __r = 1").drop("__l", "__r"))
-        found = best if found is None else found.unionByName(best)
-        rest = cut(rest.join(best.select(left), left, "left_anti").join(best.select(right), right, "left_anti").select(*candidates.columns))
-    return candidates.limit(0) if found is None else found
+    def settle(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values([score, left, right], ascending=[False, True, True], kind="stable")
+        one, other, taken = set(), set(), []
+        for a, b in zip(rows[left], rows[right], strict=True):
+            free = a not in one and b not in other
+            taken.append(free)
+            if free:
+                one.add(a)
+                other.add(b)
+        return rows.loc[taken, columns]
+
+    return _in_components(pairs, node(0, left), node(1, right), cut).groupBy("__component").applyInPandas(settle, pairs.schema)
 
 
 def keep_first(rows: DataFrame, conflicts: DataFrame, key: str, order: list[Column], cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Rows kept when taken in order (key must settle ties) and each is left out that conflicts with one kept before: (key, kept_by), the row itself or the first kept one it conflicts with.
 
-    conflicts: pairs (a, b) of keys.  A round keeps every row without an undecided or kept row before it, and shuts out what conflicts with these.
+    conflicts: pairs (a, b) of keys, in either direction.  Each component of conflicts is settled in one grouped pass over ids and order; a row without any is kept.
     """
-    ranked = cut(rows.select(F.col(key).alias("id"), F.struct(*[c.alias(f"o{i}") for i, c in enumerate([*order, F.col(key)])]).alias("rank")))
+    turn = [f"__o{i}" for i in range(len(order) + 1)]
+    ranked = cut(rows.select(F.col(key).alias("id"), *[c.alias(o) for o, c in zip(turn, [*order, F.col(key)], strict=True)]))
     pairs = conflicts.select("a", "b").unionByName(conflicts.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    pairs = pairs.join(ranked.select(F.col("id").alias("a"), F.col("rank").alias("ra")), "a").join(ranked.select(F.col("id").alias("b"), F.col("rank").alias("rb")), "b")
-    before = first_pairs = cut(pairs.where(F.col("ra") < F.col("rb")))  # a comes before b
-    undecided, kept = ranked, ranked.select("id").limit(0)
-    while not undecided.isEmpty():
-        now = cut(undecided.select("id").join(before.select(F.col("b").alias("id")).distinct(), "id", "left_anti"))
-        shut = before.join(now.select(F.col("id").alias("a")), "a").select(F.col("b").alias("id"))
-        gone = cut(now.unionByName(shut).distinct())
-        kept = kept.unionByName(now)
-        undecided = cut(undecided.join(gone, "id", "left_anti"))
-        before = cut(before.join(gone.select(F.col("id").alias("a")), "a", "left_anti").join(gone.select(F.col("id").alias("b")), "b", "left_anti"))
-    kept = cut(kept)
-    absorbed = first_pairs.join(kept.select(F.col("id").alias("a")), "a").join(kept.select(F.col("id").alias("b")), "b", "left_anti").groupBy(F.col("b").alias("id")).agg(F.min_by("a", "ra").alias("kept_by"))
-    return kept.select("id", F.col("id").alias("kept_by")).unionByName(absorbed).withColumnRenamed("id", key)
+    met = cut(_in_components(cut(pairs), F.col("a"), F.col("b"), cut).join(ranked.withColumnRenamed("id", "a"), "a"))
+    kind = ranked.schema["id"].dataType.simpleString()
+
+    def settle(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(turn, kind="stable")
+        partners = part.groupby("a", sort=False)["b"].agg(list)
+        place = {a: i for i, a in enumerate(partners.index)}
+        kept, out = set(), []
+        for a, others in partners.items():
+            before = min((b for b in others if b in kept), key=place.__getitem__, default=None)
+            if before is None:
+                kept.add(a)
+            out.append((a, a if before is None else before))
+        return pd.DataFrame(out, columns=["id", "kept_by"])
+
+    found = met.groupBy("__component").applyInPandas(settle, f"id {kind}, kept_by {kind}")
+    return ranked.select("id").join(found, "id", "left").select(F.col("id").alias(key), F.coalesce("kept_by", "id").alias("kept_by"))
 
 
 def keep_best(rows: DataFrame, key: Column, order: list[Column]) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import images, records, scores
 from ..functions import text as T
@@ -171,3 +172,25 @@ def loose_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.when(k % 3 == 0, F.lit("Rs 12,345.50 crore")).when(k % 3 == 1, F.concat(F.lit("about "), F.format_string("%s", F.col("s_acctbal").cast("decimal(18,2)").cast("string")))).otherwise("none")
     label = F.when(k % 2 == 0, F.lit(" N/A ")).otherwise(F.concat(F.lit(" "), "s_name"))
     return t.load(spark, sf_dir, "supplier").select("s_suppkey", scores.number_in(said).alias("amount"), scores.without_null_words(label).alias("label"))
+
+
+@query("""WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS pos, 'P' || l_partkey AS p FROM lineitem),
+n AS (SELECT l_orderkey, pos, CASE WHEN pos % 6 IN (0, 1, 5) THEN p WHEN pos % 6 = 2 THEN l_partkey::VARCHAR WHEN pos % 6 = 4 THEN (l_partkey + 0.5)::DECIMAL(18, 1)::VARCHAR END AS term FROM l WHERE l_orderkey % 7 <> 6),
+u AS (SELECT l_orderkey, term, min(pos) AS pos FROM n WHERE term IS NOT NULL GROUP BY ALL), s AS (SELECT l_orderkey, string_agg(term, '|' ORDER BY pos) AS names FROM u GROUP BY 1)
+SELECT DISTINCT l.l_orderkey, coalesce(names, '') AS names, CASE l.l_orderkey % 7 WHEN 6 THEN '' WHEN 0 THEN '7' WHEN 1 THEN 'one' ELSE '' END AS sectors FROM l LEFT JOIN s USING (l_orderkey)""")
+def variant_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names out of answers of any shape: strings, nested lists, objects with and without a name, numbers, booleans, nulls, broken JSON."""
+    text = F.concat(F.lit("P"), F.col("l_partkey").cast("string"))
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    quoted = F.concat(F.lit('"'), text, F.lit('"'))
+    forms = (
+        F.when(F.col("pos") % 6 == 0, F.concat(F.lit("[["), quoted, F.lit(', [" "]], null]'))).when(F.col("pos") % 6 == 1, quoted)
+        .when(F.col("pos") % 6 == 2, F.concat(F.lit('{"entity": '), F.col("l_partkey").cast("string"), F.lit(', "text": "later"}'))).when(F.col("pos") % 6 == 3, F.concat(F.lit('{"name": true, "label": '), quoted, F.lit("}")))
+        .when(F.col("pos") % 6 == 4, F.concat(F.col("l_partkey").cast("string"), F.lit(".5"))).otherwise(F.concat(F.lit('{"name": {"x": 1}, "title": " '), text, F.lit(' "}')))
+    )
+    own = t.load(spark, sf_dir, "lineitem").withColumn("pos", place).withColumn("item", forms).groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "item"))), lambda x: x["item"]), ", ").alias("items"))
+    form = F.col("l_orderkey") % 7
+    sectors = F.when(form == 0, "7").when(form == 1, '" one "').when(form == 2, "true").when(form == 3, "{}").when(form == 4, '[[], {"id": 3}]').otherwise("null")
+    blob = F.concat(F.lit('{"entities": ['), "items", F.lit('], "sectors": '), sectors, F.when(form == 6, "").otherwise("}"))
+    doc = own.select("l_orderkey", F.try_parse_json(blob).alias("doc"))
+    return doc.select("l_orderkey", F.array_join(records.variant_terms(F.col("doc"), "entities"), "|").alias("names"), F.array_join(records.variant_terms(F.col("doc"), "sectors"), "|").alias("sectors"))
