@@ -10,9 +10,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 #: Entries older than this when they arrive are dropped.
 LATE = "12 hours"
@@ -39,27 +39,67 @@ def first_arrivals(articles: DataFrame, late: str = LATE) -> DataFrame:
     return articles.withWatermark("fetched_at", late).dropDuplicatesWithinWatermark(["url"])
 
 
-_PROGRESS = "user_id long, story_id long, progress double, completed_at double, updates long"
+_PROGRESS = "user_id long, story_id long, progress double, completed_at timestamp, updates long, ended boolean"
 
 
-def reading_progress(events: DataFrame, finished: float = 0.9) -> DataFrame:
-    """Progress that never goes back and is completed once: (user_id, story_id, progress, completed_at, updates) after each batch.
+class _Progress(StatefulProcessor):
+    """The state of one reader and story: best progress, when it was completed, how many updates, and the timer that ends it."""
 
-    events: user_id, story_id, at (epoch seconds), progress.
-    """
+    def __init__(self, finished: float, idle_ms: int) -> None:
+        self.finished, self.idle_ms = finished, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.best = handle.getValueState("best", "progress double, completed_at long, updates long, until long")
 
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best, done, n = state.get if state.exists else (0.0, None, 0)
-        for frame in frames:
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        best, done, n, until = self.best.get() if self.best.exists() else (0.0, None, 0, None)
+        last = 0
+        for frame in rows:
+            at = frame["at"].astype("int64") // (1000 if str(frame["at"].dtype).startswith("datetime64[us") else 1_000_000)
             n += len(frame)
+            last = max(last, int(at.max()))
             best = max(best, float(frame["progress"].max()))
-            reached = frame.loc[frame["progress"] >= finished, "at"]
+            reached = at[frame["progress"] >= self.finished]
             if len(reached):
-                done = float(reached.min()) if done is None else min(done, float(reached.min()))
-        state.update((best, done, n))
-        yield pd.DataFrame({"user_id": [key[0]], "story_id": [key[1]], "progress": [best], "completed_at": [done], "updates": [n]})
+                done = int(reached.min()) if done is None else min(done, int(reached.min()))
+        if until is None or last + self.idle_ms > until:
+            if until is not None:
+                self.handle.deleteTimer(until)
+            until = last + self.idle_ms
+            self.handle.registerTimer(until)
+        self.best.update((best, done, n, until))
+        yield self._row(key, best, done, n, False)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        best, done, n, _ = self.best.get()
+        self.best.clear()
+        yield self._row(key, best, done, n, True)
+
+    def close(self) -> None:
+        pass
+
+    @staticmethod
+    def _row(key: tuple, best: float, done: int | None, n: int, ended: bool) -> pd.DataFrame:
+        at = pd.to_datetime([done], unit="ms")
+        return pd.DataFrame({"user_id": [key[0]], "story_id": [key[1]], "progress": [best], "completed_at": at, "updates": [n], "ended": [ended]})
+
+
+def reading_progress(events: DataFrame, finished: float = 0.9, idle_hours: int = 72, late: str = LATE) -> DataFrame:
+    """Progress that never goes back and is completed once: (user_id, story_id, progress, completed_at, updates, ended) whenever it changes.
+
+    events: user_id, story_id, at (timestamp), progress.  A reader and story without news for ``idle_hours`` of event time end with a
+    row ``ended`` and hold no state any more; events behind the watermark are dropped.  Needs the RocksDB state store
+    (with_rocksdb).
+    """
+    keyed = events.withWatermark("at", late).groupBy("user_id", "story_id")
+    return keyed.transformWithStateInPandas(_Progress(finished, idle_hours * 3_600_000), _PROGRESS, "update", "eventTime")
+
 
-    return events.groupBy("user_id", "story_id").applyInPandasWithState(fold, _PROGRESS, "progress double, completed_at double, updates long", "update", GroupStateTimeout.NoTimeout)
+def with_rocksdb(spark: SparkSession) -> SparkSession:
+    """The state store that timers need; for applications, which own their session."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return spark
 
 
 def changed_rows(read_last: Callable[[], DataFrame | None], write: Callable[[DataFrame], None], key: str) -> Callable[[DataFrame, int], None]:
