@@ -6,8 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import text as T
+from . import similarity
+
 #: Where a chain's step stands in time.
 STEP_HORIZON = ("Immediate (days)", "Weeks", "1-3 months", "3-6 months", "6-12 months")
+#: Entities and cosine that an article shares with the trend it continues.
+ATTACH_ENTITIES, ATTACH_COSINE = 2, 0.30
 #: Order of live cards by type.
 TYPE_RANK = {"breaking": 0, "event": 1, "score": 2, "market": 3}
 
@@ -40,6 +45,30 @@ def best_attachment(rows: DataFrame, item: str, group: str, least_shared: int, l
     return fit.groupBy(item).agg(F.max_by(group, F.struct("score", -F.col(group))).alias(group), F.max("score").alias("score"))
 
 
+def unit_vectors(texts: DataFrame) -> DataFrame:
+    """(id, term, w) of texts (id, text): counts of trend words, of unit length."""
+    words = texts.select("id", F.explode(T.trend_tokens(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    norms = words.groupBy("id").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
+    return words.join(norms, "id").select("id", "term", (F.col("tf") / F.col("norm")).alias("w"))
+
+
+def continued_trends(articles: DataFrame, trends: DataFrame, least_shared: int = ATTACH_ENTITIES, least_cosine: float = ATTACH_COSINE) -> DataFrame:
+    """(article, trend, shared, cos): the trend (id, text, entities) that an article (id, text, entities) continues, if any.
+
+    Both must share ``least_shared`` entities and texts of ``least_cosine``; the likest trend wins, ties to the lesser id.  Articles and trends meet through
+    their entities, so that texts are compared for those pairs only.
+    """
+    side = lambda rows, kind: rows.select(F.struct(F.lit(kind).alias("kind"), "id").alias("id"), "text", F.array_distinct("entities").alias("entities"))
+    one, other = side(articles, 0), side(trends, 1)
+    named = lambda rows, x: rows.select(F.col("id").alias(x), F.explode("entities").alias("key"))
+    pairs = named(one, "a").join(named(other, "b"), "key").groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least_shared)
+    met = pairs.select("a", "b", "shared")
+    vectors = unit_vectors(one.select("id", "text").unionByName(other.select("id", "text")))
+    scored = similarity.cosines(met.select("a", "b"), vectors).where(F.col("cos") >= least_cosine - 1e-12).join(met, ["a", "b"])
+    best = F.max_by(F.struct("b", "shared", "cos"), F.struct(F.round("cos", 9), -F.col("b.id")))
+    return scored.groupBy("a").agg(best.alias("x")).select(F.col("a.id").alias("article"), F.col("x.b.id").alias("trend"), "x.shared", "x.cos")
+
+
 def inherited_groups(components: DataFrame, prior: DataFrame) -> DataFrame:
     """(id, group_id): a component takes the group of its earliest member that has one, else its own number.
 
@@ -88,7 +117,7 @@ def connections(entities: DataFrame, cosine: DataFrame, seen: DataFrame, limit:
     """
     left, right = entities.select("key", F.col("id").alias("a")), entities.select("key", F.col("id").alias("b"))
     shared = left.join(right, "key").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
-    apart = shared.join(cosine, ["a", "b"], "left").where(F.coalesce("cos", F.lit(0.0)) <= most).drop("cos")
+    apart = shared.join(cosine, ["a", "b"], "left").where(F.coalesce("cos", F.lit(0.0)) <= most + 1e-12).drop("cos")
     return apart.join(seen, ["a", "b"], "left_anti").orderBy(F.desc("shared"), "a", "b").limit(limit)
 
 

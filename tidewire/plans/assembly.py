@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import assembly, graph, reconcile, similarity
+from ..operators import assembly, graph
 from ..operators.checkpoint import cut
 from ..operators.components import connected_components
 from ..sources import tables as t
@@ -231,18 +231,6 @@ def id_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("l_orderkey", F.size(F.array_union("ids", two)).alias("together"), (F.size(F.array_except(two, F.col("ids"))) == 0).alias("holds"), F.array_contains("ids", "T3").alias("has_three"))
 
 
-@query()
-def connections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Articles of late that share entities though they tell of different things; 600 articles are looked at, as a rule of the scan."""
-    recent = cut(t.articles(spark, sf_dir).orderBy(F.desc("fetched_at"), "id").limit(600))
-    entities = recent.select("id", F.explode(T.anchors(F.col("title"))).alias("key"))
-    words = recent.select("id", F.explode(T.tokens(F.concat_ws(" ", "title", "summary"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
-    norms = words.groupBy("id").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
-    vectors = words.join(norms, "id").select("id", "term", (F.col("tf") / F.col("norm")).alias("w"))
-    pairs = entities.select("key", F.col("id").alias("a")).join(entities.select("key", F.col("id").alias("b")), "key").where("a < b").select("a", "b").distinct()
-    return assembly.connections(entities, similarity.cosines(pairs, vectors), pairs.limit(0))
-
-
 @query("""WITH e AS (SELECT c_custkey AS id, c_nationkey + 1000000 AS e FROM customer WHERE c_acctbal < 0), n AS (SELECT id, min(id) OVER (PARTITION BY e) AS subject FROM e),
 k AS (SELECT subject, count(*) AS n FROM n GROUP BY 1), b AS (SELECT arg_max(subject, (n, -subject)) AS big FROM k) SELECT id, subject, subject = (SELECT big FROM b) AS keeps FROM n""")
 def blob_split(spark: SparkSession, sf_dir: str) -> DataFrame:
