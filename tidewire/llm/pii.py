@@ -96,12 +96,13 @@ def _ibans(text: str):
 def _emails(text: str):
     done, at = 0, text.find("@")
     while at >= 0:
-        before = text[done:at]
-        local = len(before) - len(before.rstrip(_LOCAL_PART))
-        domain = _DOMAIN.match(text, at + 1) if local else None
+        start = at  # back over the run of letters before the "@": no letter lies before two of them
+        while start > done and text[start - 1] in _LOCAL_PART:
+            start -= 1
+        domain = _DOMAIN.match(text, at + 1) if start < at else None
         if domain:
             done = domain.end()
-            yield at - local, done
+            yield start, done
         at = text.find("@", max(at + 1, done))
 
 
