@@ -299,9 +299,8 @@ def weights(docs: DataFrame, ratios: DataFrame, toxic: DataFrame | None = None,
     none = F.lit(0).cast("long")
     values = ratios.join(toxic, "ngram", "full") if toxic is not None else ratios.select("*", *(none.alias(c) for c in VALUES[1:]))
     values = cut(values.select("ngram", *(F.coalesce(c, none).alias(c) for c in VALUES)))
-    if values.count() > MOST_BROADCAST:
-        summed = _joined_weights(rows, values, bits)
-    else:
+    listed = values.count() <= MOST_BROADCAST
+    if listed:
         shared = docs.sparkSession.sparkContext.broadcast(_Table(values))
 
         def add(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,14 +314,15 @@ def weights(docs: DataFrame, ratios: DataFrame, toxic: DataFrame | None = None,
                         held.append(int(n))
                 yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("doc_id"), batch.column("h"), *(pa.array(n, pa.int64()) for n in numbers)], ["k", "doc_id", "h", "n_words", "w", *VALUES[1:]])
 
-        summed = map_arrow(rows, add, "k long, doc_id long, h long, n_words long, w long, toxic_ratio long, held_out_ratio long")
-
     def key(batch: pa.RecordBatch) -> pa.RecordBatch:
         k = np.asarray(batch.column("k"), np.int64)
         w, toxic, held_out = (np.asarray(batch.column(c), np.int64) / 1_000_000 for c in ("w", *VALUES[1:]))
         return pa.RecordBatch.from_arrays([batch.column("k"), batch.column("doc_id"), batch.column("h"), batch.column("n_words"), *map(pa.array, (w, w / temperature + _gumbel(k), toxic, held_out))], ["k", "doc_id", "h", "n_words", "log_weight", "key", "toxicity", "held_out"])
 
-    return map_rows(summed, key, "k long, doc_id long, h long, n_words long, log_weight double, key double, toxicity double, held_out double")
+    schema = "k long, doc_id long, h long, n_words long, log_weight double, key double, toxicity double, held_out double"
+    if not listed:
+        return map_rows(_joined_weights(rows, values, bits), key, schema)
+    return map_arrow(rows, lambda iterator: map(key, add(iterator)), schema)  # one pass, so one worker a task
 
 
 def nth_smallest(rows: DataFrame, column: str, n: int) -> tuple[int, int] | None:
