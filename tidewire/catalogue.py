@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import assembly, impact, knowledge, matching, reconciling, records, reporting  # noqa: F401 - importing registers their queries
+from .plans import answers, assembly, impact, knowledge, matching, reconciling, records, reporting  # noqa: F401 - importing registers their queries
 
 QUERIES: dict = reporting.QUERIES
 ORACLE_SQL: dict[str, str] = reporting.ORACLE_SQL
