@@ -13,6 +13,7 @@ HEADLINE = [
     "feed_recent", "feed_foryou", "feed_merged", "visitor_totals", "visitor_daily_dense", "user_activity", "llm_by_model", "llm_daily", "llm_totals", "trend_rollup", "story_topic_mode",
     "history_changes", "corrections", "topn_per_source", "progress_fold", "reading_stats", "kg_degrees", "kg_edges_merge", "kg_cascade", "kg_paths", "chain_confidence", "shock_simulation",
     "idf", "same_source_dups", "doc_numbers", "html_to_text", "event_groups", "brief",
+    "trend_reconcile_fuzzy", "trend_dedupe", "gazetteer_match", "story_subjects", "story_upsert", "impact_links", "distinct_chains", "variant_terms",
 ]
 
 

@@ -86,3 +86,10 @@ def test_sample_and_quotes(spark, tmp_path):
     (tmp_path / "q.csv").write_text("symbol,open,close\nA,100,110\nB,,5\nC,0,5\n")
     assert [(x.id, x.title) for x in tables.load_json(spark, str(tmp_path / "a.json"), "id int, title string").collect()] == [(1, "x"), (2, None)]
     assert [x.pct for x in tables.load_quotes(spark, str(tmp_path / "q.csv")).orderBy("symbol").collect()] == [10.0, None, None]
+
+
+def test_log_of_runs(spark, tmp_path):
+    path = f"file://{tmp_path}/runs"
+    tables.log_run(spark, path, "trends", "ok", "3 new", at(NOW))
+    tables.log_run(spark, path, "stories", "error", "no answer", at(NOW))
+    assert sorted((x.stage, x.status, x.detail) for x in spark.read.parquet(path).collect()) == [("stories", "error", "no answer"), ("trends", "ok", "3 new")]

@@ -114,6 +114,12 @@ def reconcile_fuzzy(stored: DataFrame, fresh: DataFrame, now: Column, cut: Calla
     return out.withColumn("retired_at", F.when(F.col("action") == "retire", now).when(F.col("action").isin("stay", "purge"), F.col("retired_at")))
 
 
+def _shared(links: DataFrame) -> DataFrame:
+    """Links (a, b) to what more than one row has: the others lead nowhere."""
+    several = links.groupBy("b").agg(F.count("*").alias("n")).where("n > 1").select("b")
+    return links.join(several, "b", "left_semi").select("a", "b")
+
+
 def _cosine(a: dict[str, int], b: dict[str, int]) -> float:
     if not a or not b:
         return 0.0
@@ -154,13 +160,14 @@ def absorb(rows: DataFrame, order: list[Column], cut: Callable[[DataFrame], Data
     node = lambda kind, *c: F.struct(F.lit(kind).alias("kind"), F.concat_ws("\x01", *[F.col(x).cast("string") for x in c]).alias("key"))
     row = lambda c: F.struct(F.lit(0).alias("kind"), F.col(c).cast("string").alias("key"))
     links = pairs.select(row("a").alias("a"), row("b").alias("b"))
-    links = links.unionByName(ranked.select(row("id").alias("a"), by, F.explode("members").alias("m")).select("a", node(1, by, "m").alias("b")))
+    links = links.unionByName(_shared(ranked.select(row("id").alias("a"), by, F.explode("members").alias("m")).select("a", node(1, by, "m").alias("b"))))
     if not renew:
-        links = links.unionByName(ranked.withColumn("k", T.trend_name(F.col("name"))).where("k <> ''").select(row("id").alias("a"), node(2, by, "k").alias("b")))
-    links = links.unionByName(ranked.select(row("id").alias("a"), row("id").alias("b")))
+        keyed = ranked.withColumn("k", T.trend_name(F.col("name"))).where("k <> ''")
+        links = links.unionByName(_shared(keyed.select(row("id").alias("a"), node(2, by, "k").alias("b"))))
     groups = connected_components(links, cut).where("node.kind = 0").select(F.col("node.key").alias("text_id"), F.struct("component.kind", "component.key").alias("component"))
     told = ranked.withColumns({"text_id": F.col("id").cast("string"), "words": T.trend_tokens(F.col("name")), "key": F.lit("") if renew else T.trend_name(F.col("name")), "members": F.coalesce("members", F.array().cast(ranked.schema["members"].dataType))})
-    own = told.join(groups, "text_id").select("id", "held", "words", "key", "members", "component", *turn)
+    alone = F.struct(F.lit(0).alias("kind"), F.col("text_id").alias("key"))
+    own = told.join(groups, "text_id", "left").select("id", "held", "words", "key", "members", F.coalesce("component", alone).alias("component"), *turn)
 
     def fold(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(turn)

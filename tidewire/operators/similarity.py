@@ -37,9 +37,11 @@ def term_counts(docs: DataFrame, title_weight: int = 3) -> DataFrame:
     return docs.select("id", F.explode(weighted).alias("w")).groupBy("id", F.col("w.term").alias("term")).agg(F.sum("w.n").alias("tf"))
 
 
-def tfidf(counts: DataFrame, n_docs: int) -> DataFrame:
-    """(id, term, w): sublinear term frequency times idf, of unit length."""
-    weights = counts.join(idf(counts.select("id", "term"), n_docs), "term").withColumn("w", (1 + F.log("tf")) * F.col("idf"))
+def tfidf(counts: DataFrame, n_docs: int, wanted: DataFrame | None = None) -> DataFrame:
+    """(id, term, w): sublinear term frequency times idf, of unit length; of the ids wanted, if given, with rarity over all."""
+    rarity = idf(counts.select("id", "term"), n_docs)
+    counts = counts if wanted is None else counts.join(wanted, "id", "left_semi")
+    weights = counts.join(rarity, "term").withColumn("w", (1 + F.log("tf")) * F.col("idf"))
     norms = weights.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return weights.join(norms, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("w"))
 
@@ -96,7 +98,7 @@ def event_groups(articles: DataFrame, cut: Callable[[DataFrame], DataFrame]) ->
     pairs = cut(rare_pairs(anchors, n))
     anchors = anchors.select("id", "key")
     paired = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    vectors = tfidf(term_counts(articles), n).join(paired, "id", "left_semi")
+    vectors = tfidf(term_counts(articles), n, paired)
     facts = named.select("id", "nums", F.unix_timestamp("fetched_at").alias("at"))
     a, b = (facts.select(F.col("id").alias(x), F.col("nums").alias(f"n{x}"), F.col("at").alias(f"t{x}")) for x in "ab")
     joined = cosines(pairs, vectors).join(anchor_similarity(pairs, anchors, n), ["a", "b"]).join(a, "a").join(b, "b")

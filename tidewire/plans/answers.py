@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..operators import answers, similarity
+from ..operators import answers, history, similarity
 from ..sources import tables as t
 from .knowledge import _tokens_sql
 from .reporting import query
@@ -134,3 +134,26 @@ def own_city_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     readers = t.load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("reader"))
     place = F.row_number().over(Window.partitionBy("reader").orderBy(F.col("city") != F.col("reader"), F.desc("c_acctbal"), "c_custkey"))
     return leading.crossJoin(F.broadcast(readers)).select("reader", F.col("c_custkey").alias("story"), place.alias("place"))  # a row a city on both sides
+
+
+@query("""SELECT l_orderkey AS story_id, arg_max(l_linenumber, (l_shipdate, l_linenumber, l_suppkey, l_partkey)) AS seq, arg_max(l_suppkey, (l_shipdate, l_linenumber, l_suppkey, l_partkey)) AS src FROM lineitem GROUP BY 1""")
+def latest_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last state of each story in its change log."""
+    return history.latest(t.story_history(spark, sf_dir), "story_id", ["at", "seq", "src", "part"]).select("story_id", "seq", "src")
+
+
+@query(r"""WITH f AS (SELECT doc_id AS id, trim(regexp_replace(left(text, 600), '\s+', ' ', 'g')) AS x FROM documents) SELECT id, CASE WHEN length(x) > 60 THEN rtrim(left(x, 59)) || '…' ELSE x END AS teaser FROM f""")
+def teasers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries on one line, cut at 60 characters."""
+    return t.articles(spark, sf_dir).select("id", T.clip(F.col("summary"), 60).alias("teaser"))
+
+
+@query("""WITH r AS (SELECT user_id % 20 AS stage, CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'skipped' ELSE 'ok' END AS status FROM events)
+SELECT (SELECT count(DISTINCT user_id) FROM events) AS users, (SELECT count(*) FROM r) AS runs, (SELECT count(*) FROM r WHERE status = 'error') AS failed, (SELECT count(*) FROM orders WHERE o_orderstatus = 'P') AS pending, (SELECT count(*) FROM orders WHERE o_orderstatus = 'P' AND o_custkey IN (SELECT user_id FROM events)) AS pending_of_users""")
+def ops_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users, runs and repairs that wait, for the operations page."""
+    events = t.load(spark, sf_dir, "events")
+    waiting = t.load(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("id"))
+    runs = events.agg(F.countDistinct("user_id").alias("users"), F.count("*").alias("runs"), F.count_if(F.col("event_type") == "error").alias("failed"))
+    of_users = t.ids_of(waiting, events.select(F.col("user_id").alias("id"))).agg(F.count("*").alias("pending_of_users"))
+    return runs.crossJoin(waiting.agg(F.count("*").alias("pending"))).crossJoin(of_users)  # one row each

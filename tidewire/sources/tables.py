@@ -15,10 +15,14 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def save_snapshot(df: DataFrame, path: str, by: str | None = None) -> None:
-    """A new version of a table; partitioned by a column where readers prune on it."""
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(by) if by else writer).parquet(path)
+def log_run(spark: SparkSession, path: str, stage: str, status: str, detail: str, at: Column) -> None:
+    """Append one line to the log of runs; readers see whole files only."""
+    spark.range(1).select(F.lit(stage).alias("stage"), F.lit(status).alias("status"), F.lit(detail).alias("detail"), at.alias("at")).coalesce(1).write.mode("append").parquet(path)
+
+
+def ids_of(rows: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """The rows with one of the ids, each once: a semi-join, whatever the number of ids."""
+    return rows.join(ids.select(key).distinct(), key, "left_semi")
 
 
 def load_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
