@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -68,9 +69,28 @@ def _in_components(pairs: DataFrame, a: Column, b: Column, cut: Callable[[DataFr
     return pairs.join(groups.withColumnsRenamed({"node": "__node", "component": "__component"}), a == F.col("__node")).drop("__node")
 
 
-def greedy_match(candidates: DataFrame, left: str, right: str, score: str, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """One to one, highest score first, ties to the lesser left, then right id; each component of candidates is settled in one grouped pass."""
-    pairs, columns = cut(candidates), list(candidates.columns)
+#: Candidates that one task may settle at once.
+SMALL_MATCH = 200_000
+
+
+def _mutual_bests(pairs: DataFrame, left: str, right: str, score: str) -> DataFrame:
+    """Rows that come first for both their ends: highest score, then lesser left, then right id."""
+    best = lambda by, other: pairs.groupBy(by).agg(F.max_by(F.struct(*pairs.columns), F.struct(score, -F.col(other))).alias("x")).select("x.*")
+    return best(left, right).join(best(right, left).select(left, right), [left, right]).select(*pairs.columns)
+
+
+def greedy_match(candidates: DataFrame, left: str, right: str, score: str, cut: Callable[[DataFrame], DataFrame], small: int = SMALL_MATCH) -> DataFrame:
+    """One to one, highest score first, ties to the lesser left, then right id (ids are numbers).
+
+    A pair that comes first for both its ends is taken whatever the others are; without its ends, others come first.  Rounds of that take the
+    greedy matching; once ``small`` candidates are left, each component of them is settled in one grouped pass.
+    """
+    pairs, columns = cut(candidates.where(F.col(left).isNotNull() & F.col(right).isNotNull())), list(candidates.columns)
+    rounds = []
+    while (n := pairs.count()) > small:
+        taken = cut(_mutual_bests(pairs, left, right, score))
+        rounds.append(taken)
+        pairs = cut(pairs.join(taken.select(left), left, "left_anti").join(taken.select(right), right, "left_anti").select(*columns))
     node = lambda side, c: F.struct(F.lit(side).alias("side"), F.col(c).alias("id"))
 
     def settle(rows: pd.DataFrame) -> pd.DataFrame:
@@ -84,7 +104,8 @@ def greedy_match(candidates: DataFrame, left: str, right: str, score: str, cut:
                 other.add(b)
         return rows.loc[taken, columns]
 
-    return _in_components(pairs, node(0, left), node(1, right), cut).groupBy("__component").applyInPandas(settle, pairs.schema)
+    rest = _in_components(pairs, node(0, left), node(1, right), cut).groupBy("__component").applyInPandas(settle, pairs.schema) if n else pairs
+    return reduce(DataFrame.unionByName, rounds, rest)
 
 
 def keep_first(rows: DataFrame, conflicts: DataFrame, key: str, order: list[Column], cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
