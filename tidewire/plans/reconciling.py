@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scores
+from ..functions import text as T
 from ..operators import feed, reconcile
 from ..operators.checkpoint import cut
 from ..sources import tables as t
@@ -115,15 +116,25 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.load(spark, sf_dir, "events").groupBy("event_type").agg(F.count(k).alias("n"), F.sum(k).alias("total"), F.max(k).alias("largest"))
 
 
+#: Ids of several rows that are broadcast; if there are more, texts move to them.
+MOST_SHARED_IDS = 100_000
+
+
 @query("""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS w, generate_subscripts(regexp_extract_all(lower(text), '[a-z]{4,}'), 1) AS p FROM documents),
 c AS (SELECT doc_id, w, count(*) AS n, min(p) AS p FROM w GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, p) AS place FROM c)
 SELECT doc_id, string_agg(w, ' ' ORDER BY place) AS keywords FROM r WHERE place <= 3 GROUP BY 1""")
 def keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three most frequent words of four letters or more, ties by first use."""
-    own = t.articles(spark, sf_dir).select(F.col("id").alias("doc_id"), F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("p", "w"))
-    counts = own.groupBy("doc_id", "w").agg(F.count("*").alias("n"), F.min("p").alias("p"))
+    own = t.articles(spark, sf_dir).select(F.col("id").alias("doc_id"), "text")
+    several = own.groupBy("doc_id").agg(F.count("*").alias("rows")).where((F.col("rows") > 1) | F.col("doc_id").isNull()).select(F.col("doc_id").alias("other"))
+    several = F.broadcast(several) if several.limit(MOST_SHARED_IDS + 1).count() <= MOST_SHARED_IDS else several
+    alone = own.join(several, F.col("doc_id") == F.col("other"), "left_anti").where("doc_id IS NOT NULL")  # a text is counted where it lies; only rows that share an id move
+    single = alone.select("doc_id", T.frequent_words(F.lower("text"), F.lit(3)).alias("keywords")).where("keywords IS NOT NULL")
+    shared = own.join(several, F.col("doc_id").eqNullSafe(F.col("other")), "left_semi")
+    words = shared.select("doc_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("p", "w"))
+    counts = words.groupBy("doc_id", "w").agg(F.count("*").alias("n"), F.min("p").alias("p"))
     best = feed.top_per_group(counts, ["doc_id"], [F.desc("n"), F.col("p")], 3)
-    return best.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "p", "w"))), lambda x: x["w"]), " ").alias("keywords"))
+    return single.unionByName(best.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "p", "w"))), lambda x: x["w"]), " ").alias("keywords")))
 
 
 @query(f"""WITH {t.STORIES_SQL}
