@@ -67,6 +67,21 @@ def test_components(spark, edges):
     assert found == up
 
 
+def test_components_contract_first(spark):
+    """What only one node holds is gone after the first step: later frames hold the links that are left and their ends."""
+    edges = [(i // 4, 1000 + i) for i in range(400)] + [(0, 1007), (1, 1011), (50, 1399)]
+    sizes = []
+
+    def counted(df):
+        df = cut(df)
+        sizes.append(df.count())
+        return df
+
+    found = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long"), counted).collect()}
+    assert len(found) == 500 and found[2] == found[1008] == 0 and found[99] == found[1399] == 50 and found[3] == found[1012] == 3
+    assert sizes[:2] == [403, 500] and max(sizes[2:]) <= 5
+
+
 def test_event_groups(spark):
     rows = [
         (1, "Quake hits Kathmandu, 1200 homes destroyed", "A strong quake hit Kathmandu. Nepal Army sent help to Pokhara."),
