@@ -164,6 +164,14 @@ def test_subjects_in_tiles_and_with_a_reference(spark):
     assert len(set(unseen.values())) == 1  # terms that the reference lacks weigh alike
 
 
+def test_terms_are_counted_where_an_article_lies(spark):
+    from tidewire.operators import similarity
+
+    counted = similarity.term_counts(spark.createDataFrame([(1, "Quake hits quake hits", "A quake in Nepal"), (2, None, None)], "id long, title string, summary string"))
+    assert {(x.id, x.term): x.tf for x in counted.collect()} == {(1, "quake"): 7, (1, "hits"): 6, (1, "quake_hits"): 6, (1, "hits_quake"): 3, (1, "nepal"): 1}
+    assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
+
+
 def test_story_upsert_rules(spark):
     prior = [(1, 101, ["a", "b"], ["t1"]), (2, None, ["c", "d"], []), (3, None, [f"x{i}" for i in range(30)] + ["e"], ["t2"]), (4, None, ["a"], ["dead"]), (5, 104, ["g"], ["t1"]), (6, None, ["h"], ["t2"])]
     events = [(101, ["a", "b", "n1"], ["t1"]), (102, ["c", "n2"], []), (103, ["e"], ["t2"]), (104, ["g"], ["t1", "t2"]), (105, ["n3", "h"], ["t2"]), (106, [], ["t1"]), (107, ["n4"], ["t1"])]

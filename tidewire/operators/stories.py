@@ -76,16 +76,22 @@ def rarity(articles: DataFrame) -> DataFrame:
     return known.unionByName(articles.sparkSession.range(1).select(F.lit("articles").alias("kind"), F.lit("").alias("term"), F.lit(n).cast("long").alias("df"), F.lit(0.0).alias("idf")))
 
 
-def rare_vectors(articles: DataFrame, model: DataFrame) -> DataFrame:
-    """(id, term, w) of unit length: sublinear counts times the model's idf."""
+def rare_lists(articles: DataFrame, model: DataFrame) -> DataFrame:
+    """(id, terms, ws): an article's terms and their weights, of unit length; sublinear counts times the model's idf."""
     known = model.where("kind = 'term'").select("term", "idf")
-    weights = term_counts(articles).join(known, "term", "left").select("id", "term", ((1 + F.log("tf")) * F.coalesce("idf", F.lit(1.0))).alias("w"))
-    norms = weights.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weights.join(norms, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("w"))
+    weights = term_counts(articles).join(known, "term", "left").select("id", F.struct("term", ((1 + F.log("tf")) * F.coalesce("idf", F.lit(1.0))).alias("w")).alias("v"))
+    listed = weights.groupBy("id").agg(F.collect_list("v").alias("v")).select("id", F.col("v.term").alias("terms"), F.col("v.w").alias("ws"))
+    norm = F.sqrt(F.aggregate("ws", F.lit(0.0), lambda done, w: done + w * w))
+    return listed.withColumn("norm", norm).select("id", "terms", F.transform("ws", lambda w: w / F.col("norm")).alias("ws"))
+
+
+def rare_vectors(articles: DataFrame, model: DataFrame) -> DataFrame:
+    """(id, term, w) of rare_lists, a row a term."""
+    return rare_lists(articles, model).select("id", F.explode(F.arrays_zip("terms", "ws")).alias("v")).select("id", F.col("v.terms").alias("term"), F.col("v.ws").alias("w"))
 
 
 def _linked(rows: pd.DataFrame, across: bool) -> list[tuple[int, int]]:
-    """A forest over the places of rows that connects what links connect, those between two tiles only where ``across``; cosines come by postings."""
+    """Each place of rows with the least that links connect it to, those between two tiles only where ``across``; cosines come by postings."""
     up = list(range(len(rows)))
 
     def root(i: int) -> int:
@@ -95,7 +101,6 @@ def _linked(rows: pd.DataFrame, across: bool) -> list[tuple[int, int]]:
         return i
 
     postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
-    forest = []
     anchors, tiles = [set(a) for a in rows["anchors"]], rows["tile"].tolist()
     for i, (terms, weights) in enumerate(zip(rows["terms"], rows["ws"], strict=True)):
         cos: dict[int, float] = defaultdict(float)
@@ -106,10 +111,8 @@ def _linked(rows: pd.DataFrame, across: bool) -> list[tuple[int, int]]:
         for j, c in cos.items():
             if (not across or tiles[i] != tiles[j]) and (c >= LINK_COS - 1e-9 or (c >= ANCHOR_LINK_COS - 1e-9 and anchors[i] & anchors[j])):
                 a, b = root(i), root(j)
-                if a != b:
-                    up[a] = b
-                    forest.append((i, j))
-    return forest
+                up[max(a, b)] = min(a, b)
+    return [(root(i), i) for i in range(len(rows))]
 
 
 def subjects(articles: DataFrame, model: DataFrame, cut: Callable[[DataFrame], DataFrame], tile: int = TILE) -> DataFrame:
@@ -117,10 +120,10 @@ def subjects(articles: DataFrame, model: DataFrame, cut: Callable[[DataFrame], D
 
     Two articles are linked by the cosine of their rare_vectors, LINK_COS, or ANCHOR_LINK_COS if they share an anchor; links close transitively.
     The largest subject (then the least) keeps the story's row; the others leave it.  A story of up to ``tile`` articles is settled in one grouped
-    pass; a larger one is cut into tiles, pairs of which are compared in passes of their own, and only forests of links are joined up.
+    pass; a larger one is cut into tiles, pairs of which are compared in passes of their own, and only what each article is least linked to is joined up.
     """
     own = articles.select("story", "id", F.array_distinct(F.concat(T.anchors(F.col("title")), T.anchors(F.substring("summary", 1, 200)))).alias("anchors"))
-    listed = rare_vectors(articles.select("id", "title", "summary"), model).groupBy("id").agg(F.collect_list("term").alias("terms"), F.collect_list("w").alias("ws"))
+    listed = rare_lists(articles.select("id", "title", "summary"), model)
     empty = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>")).alias(c)
     rows = own.join(listed, "id", "left").select("story", "id", "anchors", empty("terms", "string"), empty("ws", "double"))
     sizes = own.groupBy("story").agg(F.count("*").alias("n"))
@@ -133,8 +136,7 @@ def subjects(articles: DataFrame, model: DataFrame, cut: Callable[[DataFrame], D
         x, y = int(part["x"].iloc[0]), int(part["y"].iloc[0])
         part = part.sort_values("id").reset_index(drop=True)
         ids, story = part["id"].tolist(), part["story"].iloc[0]
-        alone = [(i, i) for i in range(len(ids))] if x == y else []
-        return pd.DataFrame([(story, ids[i], ids[j]) for i, j in _linked(part, x != y) + alone], columns=["story", "a", "b"])
+        return pd.DataFrame([(story, ids[i], ids[j]) for i, j in _linked(part, x != y) if x == y or i != j], columns=["story", "a", "b"])
 
     kinds = {c: rows.schema[c].dataType.simpleString() for c in ("story", "id")}
     found = cut(spread.groupBy("story", "x", "y").applyInPandas(links, f"story {kinds['story']}, a {kinds['id']}, b {kinds['id']}"))
