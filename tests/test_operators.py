@@ -82,6 +82,20 @@ def test_components_contract_first(spark):
     assert sizes[:2] == [403, 500] and max(sizes[2:]) <= 5
 
 
+def test_cascade_stops_where_no_node_is_new(spark):
+    """The rounds end with the frontier, hubs are not crossed, and edges without an end or between one node count once."""
+    rows = [("s", "p", "h", 0.9), ("s", "p", "a", 0.8), ("b", "p", "a", 0.5), ("a", "p", "a", 0.4), ("a", "p", None, 0.6), (None, "p", "a", 0.7), ("x", "p", "y", 0.9), ("s", "p", "w", 0.1), *[("h", "p", f"z{i}", 0.9) for i in range(6)]]
+    cuts = []
+
+    def counted(df):
+        cuts.append(df)
+        return cut(df)
+
+    out = graph.cascade(spark.createDataFrame(rows, "subject string, predicate string, object string, confidence double"), spark.createDataFrame([("s",), ("s",), (None,)], "node string"), counted, hops=9, hub_degree=6)
+    assert {(x.subject, x.object): (x.hop, x.impact) for x in out.collect()} == {("s", "h"): (0, 0.9), ("s", "a"): (0, 0.8), ("b", "a"): (1, 0.375), ("a", "a"): (1, 0.3), ("a", None): (1, 0.45)}
+    assert len(cuts) <= 6
+
+
 def test_event_groups(spark):
     rows = [
         (1, "Quake hits Kathmandu, 1200 homes destroyed", "A strong quake hit Kathmandu. Nepal Army sent help to Pokhara."),
