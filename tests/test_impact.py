@@ -1,6 +1,7 @@
 """Bounded walks against a queue in memory."""
 
 import random
+from itertools import takewhile
 
 import pytest
 
@@ -46,3 +47,17 @@ def test_walk_of_nothing(spark):
     edges = spark.createDataFrame([("a", "supplies", "b", 0.1)], "subject string, predicate string, object string, confidence double")
     assert impact.impact_links(edges, spark.createDataFrame([("a",)], "node string"), cut).collect() == []
     assert impact.impact_links(edges, spark.createDataFrame([], "node string"), cut).collect() == []
+
+
+def test_trends_that_name_nothing_are_not_sorted(spark):
+    links = spark.createDataFrame([(f"S{i}", "supplies", f"C{i}", True, 1, 1 - i / 100, f"m{i}") for i in range(30)], "subject string, predicate string, object string, forward boolean, order int, confidence double, mechanism string")
+    kinds = "id long, name string, named array<string>, claims array<struct<entity:string,mechanism:string,order:int>>"
+    silent = impact.trend_cascades(spark.createDataFrame([(i, "", [], [("", "x", 3)]) for i in range(5)], kinds), links)
+    assert sorted((x.id, x.place, x.mechanism) for x in silent.collect()) == sorted((i, p + 1, f"m{p}") for i in range(5) for p in range(20))
+    plan = silent._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    top = next(i for i, line in enumerate(plan) if "windowspecdefinition(id" in line)
+    below = list(takewhile(lambda line: depth(line) > depth(plan[top]), plan[top + 1 :]))
+    assert not any("Cross" in line for line in below)
+    named = impact.trend_cascades(spark.createDataFrame([(1, "arc", ["c3", "s3", "S7"], [("N1", " pays ", 9), (" ", "x", 3)])], kinds), links)
+    assert [tuple(x)[1:6] for x in named.orderBy("place").collect()] == [(1, "S3", "C3", "m3", 1), (2, "S7", "C7", "m7", 1), (3, "arc", "N1", "pays", 4)]

@@ -86,11 +86,13 @@ def trend_cascades(trends: DataFrame, links: DataFrame, most: int = CASCADE_LINK
     lower = F.array_distinct(F.filter(F.transform(F.concat(F.coalesce("named", F.array().cast("array<string>")), F.coalesce(F.transform("claims", lambda c: c["entity"]), F.array().cast("array<string>"))), F.lower), lambda x: x.isNotNull() & (x != "")))
     own = trends.select("id", "name", "claims", lower.alias("names"))
     ends = listed.select("rank", F.explode(F.array_distinct(F.array(F.lower("from_entity"), F.lower("to_entity")))).alias("n"))
-    touched = own.select("id", F.explode("names").alias("n")).join(F.broadcast(ends), "n").select("id", "rank").distinct()
-    silent = own.where(F.size("names") == 0).select("id").crossJoin(F.broadcast(listed.select("rank")))  # MOST_LINKS rows
-    graph = touched.unionByName(silent).join(F.broadcast(listed), "rank").select("id", "rank", "from_entity", "to_entity", "mechanism", "order", "confidence")
+    touched = own.where(F.size("names") > 0).select("id", F.explode("names").alias("n")).join(F.broadcast(ends), "n").select("id", "rank").distinct()
     claims = own.select("id", "name", F.posexplode(F.slice("claims", 1, CLAIMS)).alias("pos", "c")).where("trim(c.entity) <> '' AND trim(c.mechanism) <> ''")
     order = F.greatest(F.lit(2), F.least(F.lit(MOST_ORDER), F.coalesce(F.nullif("c.order", F.lit(0)), F.lit(2))))
     said = claims.select("id", (F.col("pos") + MOST_LINKS + 1).alias("rank"), F.substring(F.coalesce(F.nullif("name", F.lit("")), F.lit("trend")), 1, 120).alias("from_entity"), F.trim("c.entity").alias("to_entity"), F.trim("c.mechanism").alias("mechanism"), order.alias("order"), F.lit(CLAIM_CONFIDENCE).alias("confidence"))
-    place = F.row_number().over(Window.partitionBy("id").orderBy("rank"))  # MOST_LINKS + CLAIMS rows an id
-    return graph.unionByName(said).withColumn("place", place).where(F.col("place") <= most).select("id", "place", "from_entity", "to_entity", "mechanism", "order", "confidence")
+    told = ["from_entity", "to_entity", "mechanism", "order", "confidence"]
+    placed = touched.unionByName(said, allowMissingColumns=True).withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("rank"))).where(F.col("place") <= most)  # ranks of links, not their texts, are sorted
+    link = F.broadcast(listed.select("rank", F.struct(*told).alias("link")))
+    named = placed.join(link, "rank", "left").select("id", "place", *[F.coalesce(f"link.{c}", c).alias(c) for c in told])
+    silent = own.where(F.size("names") == 0).select("id").crossJoin(F.broadcast(listed.where(F.col("rank") <= most))).select("id", F.col("rank").alias("place"), *told)  # it has no claim either
+    return named.unionByName(silent)
