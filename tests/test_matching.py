@@ -172,6 +172,18 @@ def test_terms_are_counted_where_an_article_lies(spark):
     assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
 
 
+def test_stored_and_built_chains_come_of_one_pass(spark, monkeypatch):
+    from tests.oracle import SF
+    from tidewire.plans import matching
+
+    if not SF.exists():
+        pytest.skip("needs the generated tables")
+    read, load = [], matching.t.load
+    monkeypatch.setattr(matching.t, "load", lambda spark, sf_dir, name: read.append(name) or load(spark, sf_dir, name))
+    assert matching.chain_upsert(spark, str(SF)).columns[0] == "signature"
+    assert read.count("lineitem") == 1
+
+
 def test_story_upsert_rules(spark):
     prior = [(1, 101, ["a", "b"], ["t1"]), (2, None, ["c", "d"], []), (3, None, [f"x{i}" for i in range(30)] + ["e"], ["t2"]), (4, None, ["a"], ["dead"]), (5, 104, ["g"], ["t1"]), (6, None, ["h"], ["t2"])]
     events = [(101, ["a", "b", "n1"], ["t1"]), (102, ["c", "n2"], []), (103, ["e"], ["t2"]), (104, ["g"], ["t1", "t2"]), (105, ["n3", "h"], ["t2"]), (106, [], ["t1"]), (107, ["n4"], ["t1"])]
