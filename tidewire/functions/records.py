@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ TERM_KEYS = ("name", "entity", "text", "label", "title", "value")
 IGNORED_PATHS = ("/admin", "/live/stream", "/robots.txt", "/sitemap.xml", "/favicon", "/track", "/docs", "/openapi.json", "/redoc")
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value evaluated once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def first_json(text: Column) -> Column:
     """The first JSON object or array in free text, from its opening to the last closing bracket; null if it does not parse."""
     blob = F.nullif(F.regexp_extract(text, r"(?s)\{.*\}|\[.*\]", 0), F.lit(""))
@@ -24,15 +31,17 @@ def as_object(blob: Column) -> Column:
 
 def items_of(blob: Column, key: str, bare: bool = True) -> Column:
     """The array under a key, or a bare array (unless not asked for); empty otherwise."""
-    inner = F.get_json_object(blob, f"$.{key}")
-    array = F.when(F.ltrim(blob).startswith("["), blob if bare else F.lit("[]")).when(F.ltrim(inner).startswith("["), inner).otherwise(F.lit("[]"))
-    return F.coalesce(F.from_json(array, "array<string>"), F.array().cast("array<string>"))
+
+    def array(blob: Column) -> Column:
+        bare_one = F.ltrim(blob).startswith("[")
+        return F.when(bare_one, blob if bare else F.lit("[]")).otherwise(_once(F.get_json_object(blob, f"$.{key}"), lambda inner: F.when(F.ltrim(inner).startswith("["), inner).otherwise(F.lit("[]"))))
+
+    return F.coalesce(F.from_json(_once(blob, array), "array<string>"), F.array().cast("array<string>"))
 
 
 def item_place(item: Column, position: Column) -> Column:
     """The place an item of a batch answers to, from 0: its own 1-based index, or its position if it has none; null for junk."""
-    told = F.get_json_object(item, "$.i")
-    return F.when(told.isNull(), position).otherwise(told.try_cast("int") - 1)
+    return _once(F.get_json_object(item, "$.i"), lambda told: F.when(told.isNull(), position).otherwise(told.try_cast("int") - 1))
 
 
 def terms(items: Column) -> Column:

@@ -94,7 +94,8 @@ def batch_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     array = F.concat(F.lit("["), F.array_join(item, ","), F.lit("]"))
     blob = F.when(form == 3, array).otherwise(F.concat(F.lit('{"items": '), array, F.lit("}")))
     own = lines.select("l_orderkey", F.posexplode(records.items_of(blob, "items")).alias("pos", "item"))
-    return own.select("l_orderkey", records.item_place(F.col("item"), F.col("pos")).cast("long").alias("place"), F.explode(records.terms(F.array("item"))).alias("term")).where("place IS NOT NULL")
+    placed = own.select("l_orderkey", "item", records.item_place(F.col("item"), F.col("pos")).cast("long").alias("place")).where("place IS NOT NULL")
+    return placed.select("l_orderkey", "place", F.explode(records.terms(F.array("item"))).alias("term"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, q AS prompt, CASE WHEN odd THEN c + l_linenumber ELSE c END AS completion, CASE WHEN odd THEN 3 WHEN l_partkey % 3 = 0 THEN 7 ELSE 5 END AS cached,
