@@ -110,3 +110,35 @@ def test_least_ranks():
         want = [min(ranks[j] for j in np.flatnonzero(valid) if (text[j : j + width] == text[i : i + width]).all()) if valid[i] else ranks[i] for i in range(len(text))]
         for module in (suffix_dedup, fm_dedup):
             assert module.least_ranks(text, valid, ranks, width).tolist() == want
+
+
+def test_shards_take_segments_together(monkeypatch):
+    """op7_suffix_dedup: what a shard does for each of its segments takes no arrays of their own; spans are those of brute force."""
+    from tidewire.llm import anchors
+
+    rng = random.Random(5)
+    shard, want, calls = anchors._Shard(suffix_dedup.BYTES, suffix_dedup._symbols, suffix_dedup.least_ranks), {}, []
+    stack = np.stack
+    monkeypatch.setattr(np, "stack", lambda *a, **k: (calls.append(1), stack(*a, **k))[1])
+    for i in range(1000):
+        shared = bytes(rng.choices(range(97, 123), k=rng.choice([49, 50, 55])))
+        first, second = b"%04d" % i + shared, shared + b"%04d" % i
+        shard.add([(c, doc, 0, np.array([at], np.int64).tobytes()) for c, doc, at in ((second, 2 * i + 1, 7), (first, 2 * i, 3))])
+        if len(shared) >= 50:
+            want[2 * i + 1] = [(7, 7 + len(shared))]
+    out = shard.settle()
+    got = {doc: [tuple(x) for x in np.frombuffer(spans, np.int64).reshape(-1, 2).tolist()] for doc, spans in zip(out.column("doc").to_pylist(), out.column("spans").to_pylist(), strict=True)}
+    assert got == want
+    assert len(calls) < 10  # 2,000 and more before
+
+
+def test_suffix_array_in_blocks_of_one_root(monkeypatch):
+    """op7_suffix_dedup: the size of the queue's blocks and what goes to disk leave the order as it is."""
+    from tidewire.llm import induced
+
+    rng = np.random.RandomState(11)
+    for name, value in (("BLOCK_ITEMS", 1), ("BLOCK_ROOTS", 1), ("MEMORY_ITEMS", 20), ("POP_ITEMS", 7)):
+        monkeypatch.setattr(induced, name, value)
+    for symbols in (1, 2, 26):
+        text = np.append(rng.randint(1, symbols + 1, 700), 0).astype(np.int64)
+        assert suffix_array(text).tolist() == sorted(range(len(text)), key=lambda i: text[i:].tolist())

@@ -299,13 +299,6 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(id_key(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
-def _spans(starts: np.ndarray, window: int) -> np.ndarray:
-    """Stretches (from, to) covered by windows at sorted starts."""
-    first = np.flatnonzero(np.append(True, starts[1:] > starts[:-1] + window))
-    last = np.append(first[1:] - 1, len(starts) - 1)
-    return np.stack([starts[first], starts[last] + window], 1)
-
-
 def segment_rows(asked: DataFrame, unit: Unit) -> DataFrame:
     """Rows (key, content, doc, mark, starts) of the segments asked for; or content null, and stretches already known to repeat.
 
@@ -388,8 +381,17 @@ class _Shard:
                 self.tell(doc, mark, numbers.reshape(-1, 2))
             else:
                 by.setdefault(content, []).append((doc, mark, numbers))
+        several = len(by) > 1
         for content, places in by.items():
             length = self.unit.count(content)
+            if len(places) == 1 and len(places[0][2]) == 1:  # nothing in its group equals it
+                if several:
+                    doc, mark, starts = places[0]
+                    at = int(starts[0])
+                    self.contents.append(content)
+                    self.leads.append((doc, at, [(mark, at)]))
+                    self.size += length
+                continue
             lead, at = min((doc, int(starts.min())) for doc, _, starts in places)
             stay = []
             for doc, mark, starts in places:
@@ -401,7 +403,7 @@ class _Shard:
                 later = starts[~first]
                 self.tell(doc, mark, np.stack([later, later + length], 1))
             # equal windows of one segment have one place, so a group of one content has no more to find
-            if len(by) > 1:
+            if several:
                 self.contents.append(content)
                 self.leads.append((lead, at, stay))
                 self.size += length
@@ -412,27 +414,35 @@ class _Shard:
             texts = self.symbols_of(self.contents)
             sizes = np.array([len(t) for t in texts])
             begin = np.cumsum(sizes + 1) - sizes - 1
-            joined = np.zeros(int(sizes.sum()) + len(texts), np.int64)
-            doc, pos = np.full(len(joined), -1, np.int64), np.zeros(len(joined), np.int64)
-            valid = np.zeros(len(joined), bool)
-            for t, b, (lead, at, _) in zip(texts, begin.tolist(), self.leads, strict=True):
-                joined[b : b + len(t)] = t + 1  # 0 separates
-                valid[b : b + len(t) - window + 1] = True
-                doc[b : b + len(t)] = lead
-                pos[b : b + len(t)] = np.arange(at, at + len(t))
-            order = np.lexsort((pos, doc)) if self.unit.within else np.argsort(doc, kind="stable")
-            d, p = doc[order], pos[order]
-            step = d[1:] != d[:-1]
-            ranks = np.empty(len(joined), np.int64)
-            ranks[order] = np.cumsum(np.append(0, step | (p[1:] != p[:-1]) if self.unit.within else step))
-            least = self.index(joined, valid, ranks, window)
-            for b, size, (lead, _, stay) in zip(begin.tolist(), sizes.tolist(), self.leads, strict=True):
-                part = slice(b, b + size - window + 1)
-                repeats = np.flatnonzero(least[part] < ranks[part])
-                if len(repeats):
-                    spans = _spans(repeats, window)
+            leads, ats = (np.array([x[c] for x in self.leads], np.int64) for c in (0, 1))
+            # a 0 after each text separates
+            owner = np.repeat(np.arange(len(texts)), sizes + 1)
+            inner = np.arange(len(owner)) - begin[owner]
+            inside = inner < sizes[owner]
+            joined = np.zeros(len(owner), np.int64)
+            joined[inside] = np.concatenate(texts)
+            joined[inside] += 1
+            valid = inner <= (sizes - window)[owner]
+            if self.unit.within:
+                d, p = np.where(inside, leads[owner], -1), np.where(inside, inner + ats[owner], 0)
+                order = np.lexsort((p, d))
+                d, p = d[order], p[order]
+                ranks = np.empty(len(joined), np.int64)
+                ranks[order] = np.cumsum(np.append(0, (d[1:] != d[:-1]) | (p[1:] != p[:-1])))
+            else:
+                ranks = np.unique(leads, return_inverse=True)[1][owner]
+            hits = np.flatnonzero((self.index(joined, valid, ranks, window) < ranks) & valid)
+            if len(hits):
+                # stretches covered by windows of one text
+                apart = (owner[hits[1:]] != owner[hits[:-1]]) | (hits[1:] > hits[:-1] + window)
+                first = np.flatnonzero(np.append(True, apart))
+                of = owner[hits[first]]
+                spans = np.stack([hits[first], hits[np.append(first[1:] - 1, len(hits) - 1)] + window], 1) - begin[of][:, None]
+                cuts = [*np.flatnonzero(np.append(True, of[1:] != of[:-1])).tolist(), len(of)]
+                for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                    lead, _, stay = self.leads[of[x]]
                     for mark, at in stay:
-                        self.tell(lead, mark, spans + at)
+                        self.tell(lead, mark, spans[x:y] + at)
         if not self.spans:
             return None
         docs, marks = zip(*self.spans, strict=True)

@@ -23,8 +23,8 @@ import numpy as np
 
 #: Tuples waiting in memory before all blocks but the one in turn go to disk.
 MEMORY_ITEMS = 250_000
-#: Tuples that a block of the queue holds at least; else about the square root of all, which balances popping and pushing.
-BLOCK_ITEMS = 64
+#: Tuples that a block of the queue holds at least; else about so many square roots of all, which balances popping and pushing.
+BLOCK_ITEMS, BLOCK_ROOTS = 64, 4
 #: Tuples looked at for one pop.
 POP_ITEMS = 8192
 
@@ -36,7 +36,8 @@ class BlockQueue:
 
     def __init__(self, keys: np.ndarray, positions: np.ndarray, bounds: np.ndarray, scratch: str) -> None:
         self.bounds, self.scratch = bounds, scratch
-        self.blocks: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(len(bounds) + 1)]
+        self.numbers = np.uint16 if len(bounds) < 1 << 16 else np.int64  # short numbers are sorted by their digits
+        self.blocks: list[list[np.ndarray]] = [[] for _ in range(len(bounds) + 1)]  # pieces of a row of keys and a row of positions
         self.on_disk: list[list[tuple[str, int, int]]] = [[] for _ in range(len(bounds) + 1)]
         self.waiting, self.files, self.turn = 0, 0, -1
         self.keys = self.positions = np.zeros(0, np.int64)
@@ -45,23 +46,23 @@ class BlockQueue:
     def push(self, keys: np.ndarray, positions: np.ndarray) -> None:
         if not len(keys):
             return
-        block = np.searchsorted(self.bounds, keys, side="right")
-        order = np.argsort(block, kind="stable")
-        block, keys, positions = block[order], keys[order], positions[order]
-        cuts = np.flatnonzero(block[1:] != block[:-1]) + 1
-        starts, ends = [0, *cuts.tolist()], [*cuts.tolist(), len(block)]
-        for a, b in zip(starts, ends, strict=True):
-            at = int(block[a])
+        block = self.bounds.searchsorted(keys, side="right").astype(self.numbers)
+        order = block.argsort(kind="stable")
+        block = block[order]
+        both = np.empty((2, len(keys)), np.int64)
+        both[0], both[1] = keys[order], positions[order]
+        starts = [0, *((block[1:] != block[:-1]).nonzero()[0] + 1).tolist()]
+        for at, a, b in zip(block[starts].tolist(), starts, [*starts[1:], len(block)], strict=True):
             if at == self.turn:
-                self._sorted(np.concatenate([self.keys, keys[a:b]]), np.concatenate([self.positions, positions[a:b]]))
+                self._sorted(np.concatenate([self.keys, both[0, a:b]]), np.concatenate([self.positions, both[1, a:b]]))
             else:
-                self.blocks[at].append((keys[a:b], positions[a:b]))
+                self.blocks[at].append(both[:, a:b])
                 self.waiting += b - a
         if self.waiting > MEMORY_ITEMS:
             self._spill()
 
     def _sorted(self, keys: np.ndarray, positions: np.ndarray) -> None:
-        order = np.argsort(keys, kind="stable")
+        order = keys.argsort(kind="stable")
         self.keys, self.positions = keys[order], positions[order]
 
     def _spill(self) -> None:
@@ -71,7 +72,7 @@ class BlockQueue:
         with open(name, "wb") as out:
             for i, waiting in enumerate(self.blocks):
                 if waiting:
-                    keys, positions = (np.concatenate([w[c] for w in waiting]) for c in (0, 1))
+                    keys, positions = np.concatenate(waiting, axis=1)
                     out.write(keys.tobytes())
                     out.write(positions.tobytes())
                     self.on_disk[i].append((name, at, len(keys)))
@@ -83,13 +84,15 @@ class BlockQueue:
         parts = []
         for name, offset, n in self.on_disk[at]:
             raw = np.fromfile(name, np.int64, 2 * n, offset=offset)
-            parts.append((raw[:n], raw[n:]))
+            parts.append(raw.reshape(2, n))
         self.on_disk[at] = []
-        self.waiting -= sum(len(k) for k, _ in self.blocks[at])
+        stored = sum(p.shape[1] for p in parts)
         parts += self.blocks[at]
         self.blocks[at] = []
         if parts:
-            self._sorted(np.concatenate([k for k, _ in parts]), np.concatenate([p for _, p in parts]))
+            keys, positions = np.concatenate(parts, axis=1)
+            self.waiting -= len(keys) - stored
+            self._sorted(keys, positions)
 
     def pop(self, induced: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray] | None:
         """The next positions and the keys that they push (_NEVER: none)."""
@@ -101,15 +104,14 @@ class BlockQueue:
         keys, positions = self.keys[:POP_ITEMS], self.positions[:POP_ITEMS]
         pushed = induced(positions)
         # nothing pushed may belong between the tuples that are taken together
-        blocked = np.minimum.accumulate(pushed) < keys
-        n = int(blocked.argmax()) if blocked[-1] else len(keys)
+        n = len(keys) if pushed.min() >= keys[-1] else int((np.minimum.accumulate(pushed) < keys).argmax())
         self.keys, self.positions = self.keys[n:], self.positions[n:]
         return positions[:n], pushed[:n]
 
 
 def _bounds(keys: np.ndarray) -> np.ndarray:
     """Keys at which blocks begin."""
-    ordered, size = np.sort(keys), BLOCK_ITEMS + int(len(keys) ** 0.5)
+    ordered, size = np.sort(keys), BLOCK_ITEMS + BLOCK_ROOTS * int(len(keys) ** 0.5)
     return np.unique(ordered[size::size])
 
 
@@ -179,17 +181,14 @@ def suffix_array(text: np.ndarray, scratch: str | None = None) -> np.ndarray:
         _, dense = np.unique(names, return_inverse=True)
         ordered = seeds[suffix_array(dense.astype(np.int64), scratch)]
 
-    def pushes_l(at: np.ndarray) -> np.ndarray:
-        before = np.maximum(at - 1, 0)
-        return np.where((at > 0) & ~s_type[before], 2 * text[before], _NEVER)
+    def pushes(keys: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+        """The key of the suffix before each position."""
+        before = np.append(_NEVER, keys[:-1])
+        return lambda at: before[at]
 
     keys_l = 2 * text[~s_type]
-    both = _induce(2 * text[ordered] + 1, ordered, np.concatenate([keys_l, 2 * text[seeds] + 1]), pushes_l, scratch)
+    both = _induce(2 * text[ordered] + 1, ordered, np.concatenate([keys_l, 2 * text[seeds] + 1]), pushes(np.where(s_type, _NEVER, 2 * text)), scratch)
     l_ordered = both[~s_type[both]][::-1]
 
-    def pushes_s(at: np.ndarray) -> np.ndarray:
-        before = np.maximum(at - 1, 0)
-        return np.where((at > 0) & s_type[before], -(2 * text[before] + 1), _NEVER)
-
-    down = _induce(-2 * text[l_ordered], l_ordered, -(2 * text + s_type), pushes_s, scratch)
+    down = _induce(-2 * text[l_ordered], l_ordered, -(2 * text + s_type), pushes(np.where(s_type, -(2 * text + 1), _NEVER)), scratch)
     return np.append(n - 1, down[::-1])
