@@ -60,9 +60,10 @@ def upsert(stored: DataFrame, built: DataFrame, now: Column, board: int = BOARD,
 def sectors_of(chains: DataFrame, stories: DataFrame, most: int = MOST_SECTORS) -> DataFrame:
     """(signature, sectors): the distinct sectors of the stories (id, sectors) that a chain (signature, story_ids) rests on, in order of its stories, ``most`` at most."""
     told = chains.select("signature", F.posexplode("story_ids").alias("pos", "id")).join(stories.select("id", "sectors"), "id")
-    listed = F.array_sort(F.collect_list(F.struct("pos", "sectors")))
-    flat = F.flatten(F.transform(listed, lambda x: x["sectors"]))
-    return told.groupBy("signature").agg(F.slice(F.array_distinct(F.filter(flat, lambda s: s.isNotNull() & (s != ""))), 1, most).alias("sectors"))
+    each = told.select("signature", "pos", F.posexplode_outer("sectors").alias("place", "sector"))
+    first = each.groupBy("signature", "sector").agg(F.min(F.struct("pos", "place")).alias("at"))  # a chain's sectors are few, its stories' lines are not
+    listed = first.groupBy("signature").agg(F.sort_array(F.collect_list(F.when(F.col("sector") != "", F.struct("at", "sector")))).alias("s"))
+    return listed.select("signature", F.slice(F.col("s.sector"), 1, most).alias("sectors"))
 
 
 def in_domain(domain: str, *texts: Column, lists: Column) -> Column:
